@@ -89,7 +89,7 @@ def valid_event(df: DataFrame) -> Column:
 def cancellable(today: Column | None = None) -> Column:
     """FLT-05: step SENDER, pk date parses, and the pk date is not today."""
     today = F.current_date() if today is None else today
-    pk_date = F.try_to_date(F.split(F.col("pk"), "~").getItem(0), F.lit("yyyy-MM-dd"))
+    pk_date = F.try_to_date(F.split(F.col("pk"), "~").getItem(0), "yyyy-MM-dd")
     return ((F.col("workflow_step") == C.STEP_SENDER) & pk_date.isNotNull()
             & (pk_date != today))
 

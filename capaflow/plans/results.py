@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from capaflow.operators.ledger import ledger_history
 from capaflow.plans import weekly as W
 
 _CACHE: dict = {}
@@ -23,6 +24,7 @@ class PlanResults:
     sender: W.SenderStep
     caps: W.CapacitySteps
     released: DataFrame
+    ledger: DataFrame
 
 
 def plan_results(spark: SparkSession, sf_dir: str) -> PlanResults:
@@ -32,7 +34,9 @@ def plan_results(spark: SparkSession, sf_dir: str) -> PlanResults:
         snd = W.sender_step(inp)
         caps = W.capacity_steps(snd.split, inp.capacity)
         rel = W.print_step(caps, inp.print_config)
-        _CACHE[key] = PlanResults(inp, snd, caps, rel)
+        hist = W.materialize(ledger_history(inp.shipments, snd.split, caps.driver,
+                                            caps.residual, rel))
+        _CACHE[key] = PlanResults(inp, snd, caps, rel, hist)
     return _CACHE[key]
 
 

@@ -198,3 +198,228 @@ SELECT {d('delivery_week')} AS delivery_week, count(*) AS number_of_shipments,
        count(*) FILTER (WHERE NOT released) AS sent_to_next_week,
        count(*) FILTER (WHERE released) >= count(*) AS stop_send_to_phase_two
 FROM release_plan GROUP BY delivery_week""")
+
+# ====================== keys, filters, ledger, lookups, maintenance ======================
+from oracle.sql import EVENTS, HISTORY  # noqa: E402
+
+SK = """CASE workflow_step
+  WHEN 'EVALUATE_SENDER_LIMIT' THEN concat_ws('~', province, rank_date, request_id)
+  WHEN 'EVALUATE_DRIVER_CAPACITY' THEN concat_ws('~', unified_delivery_driver, province, CAST(priority AS VARCHAR), rank_date, request_id)
+  WHEN 'EVALUATE_RESIDUAL_CAPACITY' THEN concat_ws('~', unified_delivery_driver, province, rank_date, request_id)
+  ELSE concat_ws('~', CAST(priority AS VARCHAR), rank_date, request_id) END"""
+RANKED_LEDGER = """ledger_r AS (
+  SELECT *, CASE WHEN upper(product_type) = 'RS' OR attempt = 1 THEN prepare_request_date
+                 ELSE notification_sent_at END AS rank_date FROM ledger)"""
+
+q("prj_02", *HISTORY, RANKED_LEDGER, select=f"SELECT request_id, pk, {SK} AS sk FROM ledger_r")
+
+q("prj_03", *HISTORY, select=f"""
+SELECT {d('delivery_week')} AS delivery_week, workflow_step, pk, request_id, iun, product_type,
+       CAST(attempt AS BIGINT) AS attempt, sender_pa_id, province, cap, unified_delivery_driver,
+       CAST(priority AS BIGINT) AS priority, prepare_request_date, notification_sent_at, created_at
+FROM ledger""")
+
+q("prj_05", BASE, select="""
+SELECT s.request_id, CASE WHEN pm.priority IS NOT NULL AND s.attempt IN (0, 1) THEN CAST(pm.priority AS BIGINT) END AS priority,
+       CASE WHEN pm.priority IS NOT NULL AND s.attempt IN (0, 1) THEN 'OK' ELSE 'QUARANTINE' END AS status
+FROM shipments s LEFT JOIN (SELECT priority_key, min(priority) AS priority FROM priority_map GROUP BY 1) pm
+  ON pm.priority_key = 'PRODUCT_' || s.product_type || '.ATTEMPT_' || CAST(s.attempt AS VARCHAR)""")
+
+q("prj_06", EVENTS, select=f"""
+SELECT event_id, {d("CAST(ts AS DATE) + CAST(8 - isodow(CAST(ts AS DATE)) AS INTEGER)")} AS delivery_week FROM event_records""")
+
+q("prj_07", EVENTS, select=f"""
+SELECT event_id, {d("CAST(ts AS DATE) - CAST(isodow(CAST(ts AS DATE)) - 1 AS INTEGER)")} AS planning_week FROM event_records""")
+
+q("flt_01", EVENTS, select="""
+SELECT event_id, attempt IS NOT NULL AND coalesce(length(prepare_request_date) > 0, false)
+                 AND coalesce(length(notification_sent_at) > 0, false) AS valid
+FROM event_records""")
+
+q("flt_03", *HISTORY, RANKED_LEDGER, select=f"""
+SELECT pk, sk, request_id FROM (SELECT pk, request_id, {SK} AS sk FROM ledger_r
+                                 WHERE workflow_step = 'EVALUATE_DRIVER_CAPACITY')
+WHERE starts_with(sk, 'DRV_A~')""")
+
+q("flt_04", BASE, select=f"""
+SELECT pa_id, product_type, province, {d('delivery_date')} AS delivery_date,
+       epoch_ms(CAST(delivery_date AS TIMESTAMP)) // 1000 + 90 * 86400 AS ttl
+FROM estimates
+WHERE epoch_ms(CAST(delivery_date AS TIMESTAMP)) // 1000 + 90 * 86400 > epoch_ms(TIMESTAMP '1999-01-01') // 1000""")
+
+LATEST = """latest AS (
+  SELECT request_id, arg_max(workflow_step, created_at) AS workflow_step, arg_max(pk, created_at) AS pk,
+         max(created_at) AS created_at
+  FROM ledger GROUP BY request_id)"""
+
+q("flt_05", *HISTORY, LATEST.replace("latest AS", "latest_row AS"), select="""
+SELECT request_id, workflow_step,
+       workflow_step = 'EVALUATE_SENDER_LIMIT'
+       AND try_strptime(split_part(pk, '~', 1), '%Y-%m-%d') IS NOT NULL
+       AND CAST(try_strptime(split_part(pk, '~', 1), '%Y-%m-%d') AS DATE) <> DATE '1998-01-05' AS cancellable
+FROM latest_row""")
+
+q("flt_06", BASE, select="""
+SELECT iun, request_id AS element_id,
+       CASE WHEN product_type = 'RS' THEN 'PREPARE_SIMPLE_REGISTERED_LETTER' ELSE 'PREPARE_ANALOG_DOMICILE' END AS category
+FROM shipments""")
+
+q("agg_01", BASE, select=f"""
+SELECT {d('delivery_week')} AS delivery_week, sender_pa_id, product_type, province, count(*) AS n
+FROM shipments GROUP BY ALL""")
+
+q("agg_02", BASE, select=f"""
+SELECT {d('delivery_week')} AS delivery_week, 'cap' AS level, cap AS k1, NULL AS k2, NULL AS k3, count(*) AS n
+FROM shipments GROUP BY delivery_week, cap
+UNION ALL
+SELECT {d('delivery_week')}, 'cap_product', cap, product_type, NULL, count(*)
+FROM shipments GROUP BY delivery_week, cap, product_type
+UNION ALL
+SELECT {d('delivery_week')}, 'pa_product_province', sender_pa_id, product_type, province, count(*)
+FROM shipments GROUP BY delivery_week, sender_pa_id, product_type, province""")
+
+q("agg_06", *HISTORY, select=f"""
+SELECT {d('delivery_week')} AS delivery_week, province, product_type, arg_min(n, src) AS number_of_shipments
+FROM (SELECT delivery_week, province, product_type, number_of_shipments AS n, 1 AS src FROM exempt_counters
+      UNION ALL
+      SELECT delivery_week, province, product_type, count(*), 2 FROM ledger
+      WHERE workflow_step = 'EVALUATE_SENDER_LIMIT' AND (upper(product_type) = 'RS' OR attempt = 1)
+      GROUP BY ALL)
+GROUP BY ALL""")
+
+STRICT_DRIVERS = f"""
+SELECT pw.tender_id, pw.province, {{wk}} AS {{wkname}}, c.unified_delivery_driver,
+       CAST(arg_max(c.capacity, c.activation_from) AS BIGINT) AS capacity,
+       array_to_string(arg_max(c.products, c.activation_from), ',') AS products
+FROM (SELECT DISTINCT tender_id, province, {{wkexpr}} AS wk FROM shipments) pw
+JOIN capacity c ON c.tender_id = pw.tender_id AND c.province = pw.province AND c.geo_key = c.province
+WHERE c.activation_from < strftime(CAST(pw.wk AS TIMESTAMP), {TS})
+  AND (c.activation_to IS NULL OR c.activation_to = '' OR c.activation_to > strftime(CAST(pw.wk AS TIMESTAMP), {TS}))
+GROUP BY ALL"""
+
+q("join_03", BASE, select=STRICT_DRIVERS.format(wk=d('pw.wk'), wkname="delivery_week", wkexpr="delivery_week"))
+q("lkp_05", BASE, select=STRICT_DRIVERS.format(wk=d('pw.wk'), wkname="at_date", wkexpr="delivery_week + 3"))
+
+q("join_06", BASE, select="""
+SELECT DISTINCT s.tender_id, s.cap, s.product_type FROM shipments s
+WHERE NOT EXISTS (SELECT 1 FROM coverage c WHERE c.tender_id = s.tender_id AND c.cap = s.cap
+                  AND c.product_type = s.product_type)""")
+
+STRICT = """strict AS (
+  SELECT s.*, CASE WHEN pm.priority IS NOT NULL AND s.attempt IN (0, 1) THEN pm.priority END AS priority,
+         CASE WHEN upper(s.product_type) = 'RS' OR s.attempt = 1 THEN s.prepare_request_date
+              ELSE s.notification_sent_at END AS rank_date
+  FROM shipments s LEFT JOIN (SELECT priority_key, min(priority) AS priority FROM priority_map GROUP BY 1) pm
+    ON pm.priority_key = 'PRODUCT_' || s.product_type || '.ATTEMPT_' || CAST(s.attempt AS VARCHAR))"""
+
+q("alc_14", BASE, STRICT, select=f"""
+SELECT request_id, {d('delivery_week')} AS delivery_week,
+       CASE WHEN priority IS NOT NULL THEN 'EVALUATE_PRINT_CAPACITY' ELSE 'QUARANTINE' END AS workflow_step,
+       CAST(priority AS BIGINT) AS priority,
+       CASE WHEN priority IS NOT NULL THEN concat_ws('~', CAST(priority AS VARCHAR), rank_date, request_id) END AS sk
+FROM strict""")
+
+q("alc_15", BASE, STRICT, select=f"""
+SELECT request_id, {d('delivery_week')} AS delivery_week, switch_pos,
+       CAST(ceil(switch_pos / 5000) AS BIGINT) AS batch_no, 'SENT_TO_PREPARE_PHASE_2' AS workflow_step,
+       CAST(priority AS BIGINT) AS priority
+FROM (SELECT *, row_number() OVER (PARTITION BY delivery_week
+                                   ORDER BY concat_ws('~', province, rank_date, request_id)) AS switch_pos
+      FROM strict WHERE priority IS NOT NULL)""")
+
+q("alc_17", *HISTORY, LATEST.replace("latest AS", "latest_row AS"),
+  select="SELECT request_id, workflow_step, pk, created_at FROM latest_row")
+
+q("set_03", EVENTS, select="""
+SELECT request_id, min(sequence_number) AS sequence_number FROM event_records GROUP BY request_id""")
+
+q("fn_01", *HISTORY, select="""
+SELECT request_id, pk, split_part(pk, '~', 1) AS pk_week, split_part(pk, '~', 2) AS pk_step,
+       concat_ws('~', sender_pa_id, product_type, province) AS sender_key,
+       starts_with(pk, '19') AS pk_1900s, lower(product_type) = lower('rs') AS is_rs,
+       trim('  ' || cap || ' ') AS cap_trim
+FROM ledger""")
+
+q("fn_02", BASE, select=f"""
+SELECT {d('w')} AS delivery_week, {d('w + 7')} AS next_week, {d('w - 7')} AS last_week,
+       {d("CAST(date_trunc('month', w) AS DATE)")} AS month_start,
+       CAST(day(last_day(w)) AS BIGINT) AS days_in_month,
+       CAST(datediff('day', CAST(date_trunc('month', w) AS DATE), w) AS BIGINT) AS days_from_month_start,
+       strftime(CAST(w AS TIMESTAMP), {TS}) AS iso
+FROM (SELECT DISTINCT delivery_week AS w FROM shipments)""")
+
+q("fn_03", BASE, select="""
+SELECT unified_delivery_driver, geo_key, activation_from,
+       CAST(floor(capacity / 7) AS BIGINT) AS floor7, CAST(ceil(capacity / 7) AS BIGINT) AS ceil7,
+       CAST(floor(capacity / 7 + 0.5) AS BIGINT) AS round7,
+       CAST(least(capacity, 100) AS BIGINT) AS least100, CAST(greatest(capacity, 10) AS BIGINT) AS greatest10,
+       CAST(capacity - capacity % 3 AS BIGINT) AS down3
+FROM capacity""")
+
+q("fn_04", select="""
+SELECT event_id, coalesce(json_extract_string(props, '$.missing'), json_extract_string(props, '$.k')) AS first_non_null,
+       TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(TRY_CAST('x' AS INTEGER) AS BIGINT) AS bad_cast,
+       CASE WHEN TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) > 50 THEN 'high' ELSE 'low' END AS band
+FROM events""")
+
+q("fn_05", select="SELECT event_id, epoch_us(ts) // 1000000 + 86400 AS ttl FROM events")
+
+q("fn_06", BASE, select="""
+SELECT unified_delivery_driver, geo_key, activation_from, list_contains(products, 'RS') AS has_rs,
+       array_to_string(products, ',') AS distinct_products,
+       array_to_string(list_reverse_sort(products), ',') AS desc_products,
+       list_has_any(products, ['AR', '890']) AS overlaps_estimated
+FROM capacity WHERE geo_level = 'PROVINCE'""")
+
+q("lkp_01", *HISTORY, select="""
+SELECT request_id, count(*) AS n_rows, string_agg(workflow_step, '>' ORDER BY created_at, workflow_step) AS steps
+FROM ledger GROUP BY request_id""")
+
+q("lkp_02", *HISTORY, RANKED_LEDGER, select=f"""
+SELECT pk, sk, request_id, CAST(ceil(row_number() OVER (PARTITION BY pk ORDER BY sk, request_id) / 1000) AS BIGINT) AS page_no
+FROM (SELECT pk, request_id, {SK} AS sk FROM ledger_r)""")
+
+q("lkp_03", BASE, select=f"""
+SELECT {d('delivery_date')} AS delivery_date, province, count(*) AS n_estimates,
+       CAST(sum(weekly_estimate) AS BIGINT) AS weekly_estimate
+FROM estimates GROUP BY ALL""")
+
+q("lkp_04", *PLAN, select=f"""
+SELECT unified_delivery_driver, geo_key, {d('delivery_week')} AS delivery_week,
+       CAST(used_capacity AS BIGINT) AS used_capacity, CAST(declared_capacity AS BIGINT) AS declared_capacity
+FROM used2""")
+
+q("lkp_06", *PLAN, select=f"""
+SELECT 'PRINT' AS pk, {d('delivery_week')} AS sk, count(*) AS number_of_shipments,
+       CAST(min(weekly_print_capacity) AS BIGINT) AS weekly_print_capacity,
+       count(*) FILTER (WHERE released) AS sent_to_phase_two
+FROM release_plan GROUP BY delivery_week""")
+
+q("lkp_07", *PLAN, select=f"""
+SELECT unified_delivery_driver || '~' || geo_key AS unified_delivery_driver_geokey,
+       {d('delivery_week')} AS delivery_date, unified_delivery_driver, geo_key,
+       CAST(used_capacity AS BIGINT) AS used_capacity, CAST(declared_capacity AS BIGINT) AS declared_capacity
+FROM used2""")
+
+q("lkp_08", BASE, select="""
+SELECT DISTINCT 'province' AS kind, province AS value FROM shipments
+UNION
+SELECT DISTINCT 'driver', unified_delivery_driver FROM capacity""")
+
+q("mnt_01", *PLAN, select="""
+SELECT 'used_capacity' AS "table", count(*) AS n FROM used2
+WHERE delivery_week <> (SELECT max(delivery_week) FROM shipments)
+UNION ALL
+SELECT 'used_sender_limit', count(*) FROM (
+  SELECT DISTINCT delivery_week, province, sender_pa_id, product_type FROM sender_split
+  WHERE NOT exempt AND next_step = 'EVALUATE_DRIVER_CAPACITY'
+    AND delivery_week <> (SELECT max(delivery_week) FROM shipments))
+UNION ALL
+SELECT 'print_counter', count(DISTINCT delivery_week) FROM release_plan
+WHERE delivery_week <> (SELECT max(delivery_week) FROM shipments)""")
+
+TAIL = "tail AS (SELECT request_id FROM release_plan WHERE NOT released)"
+q("join_14", *HISTORY, TAIL, select="""
+SELECT pk, request_id, workflow_step FROM ledger WHERE request_id IN (SELECT request_id FROM tail)""")
+q("mnt_02", *HISTORY, TAIL, select="""
+SELECT pk, count(*) AS n FROM ledger WHERE request_id NOT IN (SELECT request_id FROM tail) GROUP BY pk""")

@@ -342,7 +342,57 @@ release_plan AS (
 
 
 def with_ctes(*blocks: str, select: str) -> str:
+    if not blocks:
+        return select
     return "WITH " + ",\n".join(b.strip().rstrip(",") for b in blocks) + "\n" + select
 
 
 PLAN = (BASE, SENDER, CAPACITY, PRINT)
+
+
+def _ledger_part(src: str, step: str, week: str, hours: int, driver: str = "unified_delivery_driver",
+                 prio: str = "priority", where: str = "") -> str:
+    return f"""
+  SELECT {week} AS delivery_week, '{step}' AS workflow_step,
+         strftime({week}, '%Y-%m-%d') || '~{step}' AS pk, request_id, iun, product_type, attempt,
+         sender_pa_id, province, cap, {driver} AS unified_delivery_driver, {prio} AS priority,
+         prepare_request_date, notification_sent_at,
+         strftime(CAST(delivery_week AS TIMESTAMP) + INTERVAL {hours} HOUR, {TS}) AS created_at
+  FROM {src} {where}"""
+
+
+LEDGER = "ledger AS (" + "\n  UNION ALL".join([
+    _ledger_part("shipments", "EVALUATE_SENDER_LIMIT", "delivery_week", 0,
+                 "CAST(NULL AS VARCHAR)", "CAST(NULL AS INTEGER)"),
+    _ledger_part("sender_split", "EVALUATE_DRIVER_CAPACITY", "delivery_week", 1,
+                 where="WHERE next_step = 'EVALUATE_DRIVER_CAPACITY'"),
+    _ledger_part("sender_split", "EVALUATE_RESIDUAL_CAPACITY", "delivery_week", 1,
+                 where="WHERE next_step = 'EVALUATE_RESIDUAL_CAPACITY'"),
+    _ledger_part("release_plan", "EVALUATE_PRINT_CAPACITY", "delivery_week", 2),
+    _ledger_part("release_plan", "SENT_TO_PREPARE_PHASE_2", "delivery_week", 3, where="WHERE released"),
+    _ledger_part("drv", "EVALUATE_SENDER_LIMIT", "delivery_week + 7", 4, where="WHERE NOT accepted"),
+    _ledger_part("res", "EVALUATE_SENDER_LIMIT", "delivery_week + 7", 4, where="WHERE NOT accepted"),
+    _ledger_part("release_plan", "EVALUATE_SENDER_LIMIT", "delivery_week + 7", 4, where="WHERE NOT released"),
+]) + ")"
+
+HISTORY = PLAN + (LEDGER,)
+
+# events as shipment records (stream source mapping; see capaflow.sources.events)
+EVENTS = f"""
+event_records AS (
+  SELECT event_id, lpad(CAST(event_id AS VARCHAR), 12, '0') AS sequence_number, ts,
+         'EVT-' || CAST(user_id * 100 + CAST(json_extract_string(props, '$.k') AS BIGINT) AS VARCHAR) AS request_id,
+         'IUN-E' || CAST(event_id AS VARCHAR) AS iun,
+         CASE event_type WHEN 'click' THEN 'AR' WHEN 'view' THEN '890' WHEN 'purchase' THEN 'RS'
+                         WHEN 'signup' THEN 'AR' ELSE '890' END AS product_type,
+         CASE WHEN event_type = 'error' THEN NULL
+              WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 = 7 THEN 1 ELSE 0 END AS attempt,
+         'PA' || lpad(CAST(user_id % 20 AS VARCHAR), 2, '0') AS sender_pa_id,
+         'NATION_' || CAST(user_id % 25 AS VARCHAR) AS province,
+         lpad(CAST(user_id % 25 AS VARCHAR), 2, '0')
+           || lpad(CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS VARCHAR), 3, '0') AS cap,
+         CASE WHEN event_type = 'view' AND CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 = 0 THEN ''
+              ELSE strftime(ts - INTERVAL 1 DAY, {TS}) END AS notification_sent_at,
+         strftime(ts, {TS}) AS prepare_request_date
+  FROM events)
+"""
