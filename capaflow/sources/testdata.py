@@ -184,6 +184,8 @@ def sender_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("sender_pa_id").alias("pa_id"), "product_type", "province",
         dd.alias("delivery_date"),
         ((F.col("n") * 4) / 5).cast("bigint").cast("int").alias("weekly_estimate"),
+        (((F.col("n") * 4) / 5).cast("bigint") * 4).cast("double").alias("monthly_estimate"),
+        F.col("n").cast("int").alias("original_estimate"),
         F.concat(F.date_format(dd, "yyyy-MM-dd"), F.lit("T00:00:00.000Z")).alias("last_update"),
         F.concat(F.lit("orders/"), F.col("sender_pa_id"), F.lit("/"),
                  F.date_format(dd, "yyyy-MM-dd"), F.lit(".json")).alias("file_key"),

@@ -80,6 +80,8 @@ estimates AS (
   SELECT sender_pa_id AS pa_id, product_type, province,
          CAST(date_trunc('week', delivery_week + INTERVAL 3 MONTH) AS DATE) - 7 AS delivery_date,
          CAST((n * 4) // 5 AS INTEGER) AS weekly_estimate,
+         CAST(((n * 4) // 5) * 4 AS DOUBLE) AS monthly_estimate,
+         CAST(n AS INTEGER) AS original_estimate,
          strftime(CAST(date_trunc('week', delivery_week + INTERVAL 3 MONTH) AS DATE) - 7, '%Y-%m-%d')
            || 'T00:00:00.000Z' AS last_update,
          'orders/' || sender_pa_id || '/'
