@@ -590,3 +590,68 @@ SELECT {d('delivery_week')} AS delivery_week, unified_delivery_driver, geo_key,
        CAST(used_capacity AS VARCHAR) AS used_capacity, CAST(declared_capacity AS VARCHAR) AS declared_capacity,
        province, CAST(overflow AS VARCHAR) AS overflow
 FROM drv_report""")
+
+# ====================== streaming ======================
+INGEST = """
+ev_ext AS (
+  SELECT r.*, e.event_type, CAST(json_extract_string(e.props, '$.k') AS BIGINT) AS k
+  FROM event_records r JOIN events e USING (event_id)),
+decoded AS (SELECT * FROM ev_ext WHERE NOT (event_type = 'signup' AND k % 4 = 0)),
+valid AS (
+  SELECT * FROM decoded WHERE attempt IS NOT NULL AND coalesce(length(prepare_request_date) > 0, false)
+                          AND coalesce(length(notification_sent_at) > 0, false)),
+days AS (SELECT day, dense_rank() OVER (ORDER BY day) - 1 AS day_idx
+         FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events)),
+ingested AS (
+  SELECT v.*, CAST(ts AS DATE) + CAST(8 - isodow(CAST(ts AS DATE)) AS INTEGER) AS delivery_week,
+         (SELECT day_idx FROM days WHERE days.day = CAST(v.ts AS DATE)) // 7 AS batch_id
+  FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY sequence_number) AS rn FROM valid) v
+  WHERE rn = 1)
+"""
+INGEST_SELECT = f"""
+SELECT request_id, iun, product_type, CAST(attempt AS BIGINT) AS attempt, sender_pa_id, province, cap,
+       notification_sent_at, prepare_request_date, sequence_number, {d('delivery_week')} AS delivery_week,
+       strftime(ts, {TS}) AS created_at, 'EVALUATE_SENDER_LIMIT' AS workflow_step,
+       strftime(delivery_week, '%Y-%m-%d') || '~EVALUATE_SENDER_LIMIT' AS pk, CAST(batch_id AS BIGINT) AS batch_id
+FROM ingested"""
+
+q("src_01", EVENTS, INGEST, select="""
+SELECT sequence_number, request_id, iun, product_type, sender_pa_id, CAST(attempt AS BIGINT) AS attempt,
+       notification_sent_at, prepare_request_date, cap, province FROM decoded""")
+q("src_02", select="""
+SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS sequence_number, 'IUN-' || o_orderkey AS iun
+FROM orders WHERE o_orderstatus = 'P'""")
+q("src_03", *HISTORY, select="SELECT request_id, iun FROM ledger WHERE workflow_step = 'SENT_TO_PREPARE_PHASE_2'")
+q("str_01", EVENTS, INGEST, select=INGEST_SELECT)
+q("str_04", EVENTS, INGEST, select=INGEST_SELECT)
+q("str_03", EVENTS, INGEST, select="SELECT CAST(batch_id AS BIGINT) AS batch_id, count(*) AS n FROM ingested GROUP BY 1")
+q("str_07", EVENTS, INGEST, select=f"""
+SELECT {d('delivery_week')} AS delivery_week, province, product_type, count(*) AS number_of_shipments
+FROM ingested WHERE upper(product_type) = 'RS' OR attempt = 1 GROUP BY ALL""")
+q("join_08", EVENTS, select="""
+SELECT a.request_id, a.sequence_number FROM event_records a
+WHERE a.ts >= TIMESTAMP '2024-01-15' AND a.attempt IS NOT NULL
+  AND coalesce(length(a.prepare_request_date) > 0, false) AND coalesce(length(a.notification_sent_at) > 0, false)
+  AND a.request_id NOT IN (
+    SELECT request_id FROM event_records b WHERE b.ts < TIMESTAMP '2024-01-15' AND b.attempt IS NOT NULL
+      AND coalesce(length(b.prepare_request_date) > 0, false) AND coalesce(length(b.notification_sent_at) > 0, false))""")
+
+CANCEL = """
+cancel_targets AS (
+  SELECT lpad(CAST(o.o_orderkey AS VARCHAR), 12, '0') AS sequence_number, s.iun, s.request_id
+  FROM orders o JOIN shipments s ON s.iun = 'IUN-' || o.o_orderkey
+  WHERE o.o_orderstatus = 'P'),
+latest_row AS (
+  SELECT request_id, arg_max(workflow_step, created_at) AS workflow_step, arg_max(pk, created_at) AS pk
+  FROM ledger GROUP BY request_id),
+cancel_join AS (
+  SELECT t.iun, t.request_id, l.workflow_step, l.pk,
+         l.workflow_step = 'EVALUATE_SENDER_LIMIT'
+         AND try_strptime(split_part(l.pk, '~', 1), '%Y-%m-%d') IS NOT NULL
+         AND CAST(try_strptime(split_part(l.pk, '~', 1), '%Y-%m-%d') AS DATE) <> DATE '1998-01-05' AS cancellable
+  FROM cancel_targets t JOIN latest_row l USING (request_id))
+"""
+q("join_09", *HISTORY, CANCEL, select="SELECT iun, request_id, workflow_step, cancellable FROM cancel_join")
+q("str_05", *HISTORY, CANCEL, select="""
+SELECT DISTINCT 'DELETED~' || pk AS pk, request_id, workflow_step FROM cancel_join WHERE cancellable""")
+q("str_06", *HISTORY, select="SELECT request_id, iun FROM ledger WHERE workflow_step = 'SENT_TO_PREPARE_PHASE_2'")
