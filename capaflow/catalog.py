@@ -296,7 +296,8 @@ def agg_12(spark, sf_dir):
 def all_queries() -> dict[str, Query]:
     # side modules register the remaining operator families
     import importlib
-    for mod in ("capaflow.catalog_more", "capaflow.catalog_reports", "capaflow.catalog_stream"):
+    for mod in ("capaflow.catalog_more", "capaflow.catalog_reports", "capaflow.catalog_stream",
+                "capaflow.catalog_estimates", "capaflow.catalog_sources"):
         try:
             importlib.import_module(mod)
         except ModuleNotFoundError as e:

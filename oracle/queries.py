@@ -655,3 +655,93 @@ q("join_09", *HISTORY, CANCEL, select="SELECT iun, request_id, workflow_step, ca
 q("str_05", *HISTORY, CANCEL, select="""
 SELECT DISTINCT 'DELETED~' || pk AS pk, request_id, workflow_step FROM cancel_join WHERE cancellable""")
 q("str_06", *HISTORY, select="SELECT request_id, iun FROM ledger WHERE workflow_step = 'SENT_TO_PREPARE_PHASE_2'")
+
+# ====================== estimates ======================
+ESTIMATES = """
+doc_rows AS (
+  SELECT sender_pa_id AS pa_id, CAST(substr(notification_sent_at, 1, 7) || '-01' AS DATE) AS month,
+         product_type, 'V' || CAST(attempt + 1 AS VARCHAR) AS variant, region, count(*) AS value
+  FROM shipments GROUP BY ALL),
+doc_idx AS (
+  SELECT *, 'orders/' || pa_id || '/' || strftime(month, '%Y-%m') || '.json' AS file_key,
+         strftime(month, '%m-%Y') AS periodo_riferimento,
+         dense_rank() OVER (PARTITION BY pa_id, month ORDER BY product_type) - 1 AS product_idx,
+         dense_rank() OVER (PARTITION BY pa_id, month, product_type ORDER BY variant) - 1 AS variant_idx,
+         dense_rank() OVER (PARTITION BY pa_id, month, product_type, variant ORDER BY region) - 1 AS region_idx
+  FROM doc_rows),
+regional AS (
+  SELECT * FROM doc_idx WHERE product_type IN ('AR', '890') AND NOT (product_type = '890' AND variant = 'V2')),
+ctx AS (
+  SELECT periodo_riferimento, week_start,
+         datediff('day', greatest(week_start, first), least(week_start + 6, last)) + 1 AS days_in_week,
+         CASE WHEN greatest(week_start, first) = week_start AND datediff('day', greatest(week_start, first), least(week_start + 6, last)) + 1 < 7 THEN 'PARTIAL_END'
+              WHEN greatest(week_start, first) <> week_start THEN 'PARTIAL_START' ELSE 'FULL' END AS week_type,
+         day(last) AS days_in_month
+  FROM (SELECT *, CAST(unnest(generate_series(CAST(date_trunc('week', first) AS TIMESTAMP), CAST(last AS TIMESTAMP),
+                                              INTERVAL 7 DAY)) AS DATE) AS week_start
+        FROM (SELECT DISTINCT periodo_riferimento, month AS first, last_day(month) AS last FROM regional))),
+cust AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1),
+dist AS (
+  SELECT r_name AS region, n_name AS province,
+         CASE WHEN r_regionkey = 3 THEN NULL ELSE CAST((n * 100) // tot AS INTEGER) END AS percentage
+  FROM (SELECT r_regionkey, r_name, n_name, n, sum(n) OVER (PARTITION BY r_regionkey) AS tot
+        FROM nation JOIN cust ON n_nationkey = c_nationkey JOIN region ON n_regionkey = r_regionkey
+        WHERE r_regionkey <> 4)),
+records AS (
+  SELECT g.file_key, g.pa_id, g.product_type, p.province, g.region, g.variant, g.periodo_riferimento,
+         g.product_idx, g.variant_idx, g.region_idx, c.week_start AS delivery_date, c.week_type, c.days_in_week,
+         CAST(floor(CAST(g.value AS DOUBLE) * coalesce(p.percentage, 100) / 100 / c.days_in_month * c.days_in_week + 0.5) AS BIGINT) AS weekly_estimate,
+         CAST(g.value AS DOUBLE) * coalesce(p.percentage, 100) / 100 AS monthly_estimate,
+         g.value AS original_estimate, g.month,
+         CASE c.week_type WHEN 'FULL' THEN 0 WHEN 'PARTIAL_START' THEN 1 ELSE 2 END AS type_ord
+  FROM regional g JOIN dist p ON p.region = g.region JOIN ctx c ON c.periodo_riferimento = g.periodo_riferimento)
+"""
+SEQ = "(month, pa_id, product_idx, variant_idx, region_idx, type_ord, province)"
+
+q("est_01", BASE, ESTIMATES, select="""
+SELECT file_key, pa_id, periodo_riferimento, product_type, variant, region, value FROM regional""")
+q("est_02", BASE, ESTIMATES, select=f"""
+SELECT periodo_riferimento, {d('week_start')} AS week_start, CAST(days_in_week AS BIGINT) AS days_in_week,
+       week_type, CAST(days_in_month AS BIGINT) AS days_in_month FROM ctx""")
+q("est_03", BASE, ESTIMATES, select=f"""
+SELECT file_key, pa_id, product_type, province, region, variant, {d('delivery_date')} AS delivery_date,
+       week_type, CAST(days_in_week AS BIGINT) AS days_in_week, weekly_estimate, monthly_estimate, original_estimate
+FROM records""")
+q("est_04", BASE, ESTIMATES, select=f"""
+SELECT pk, {d('delivery_date')} AS delivery_date, pa_id, product_type, province,
+       CASE WHEN full_w IS NOT NULL THEN full_w ELSE coalesce(first_w, 0) + coalesce(second_w, 0) END AS weekly_estimate,
+       CASE WHEN full_w IS NOT NULL THEN full_m ELSE first_m END AS monthly_estimate,
+       CASE WHEN full_w IS NOT NULL THEN full_o ELSE first_o END AS original_estimate,
+       CASE WHEN full_w IS NOT NULL THEN full_f ELSE first_f END AS file_key,
+       CASE WHEN full_w IS NOT NULL THEN NULL ELSE first_w END AS first_week_weekly_estimate,
+       CASE WHEN full_w IS NOT NULL THEN NULL ELSE second_w END AS second_week_weekly_estimate
+FROM (
+  SELECT pa_id || '~' || product_type || '~' || province AS pk, delivery_date, pa_id, product_type, province,
+         arg_max(weekly_estimate, {SEQ}) FILTER (WHERE week_type = 'FULL') AS full_w,
+         arg_max(monthly_estimate, {SEQ}) FILTER (WHERE week_type = 'FULL') AS full_m,
+         arg_max(original_estimate, {SEQ}) FILTER (WHERE week_type = 'FULL') AS full_o,
+         arg_max(file_key, {SEQ}) FILTER (WHERE week_type = 'FULL') AS full_f,
+         arg_max(weekly_estimate, {SEQ}) FILTER (WHERE week_type = 'PARTIAL_END') AS first_w,
+         arg_max(weekly_estimate, {SEQ}) FILTER (WHERE week_type = 'PARTIAL_START') AS second_w,
+         arg_min(monthly_estimate, {SEQ}) AS first_m, arg_min(original_estimate, {SEQ}) AS first_o,
+         arg_min(file_key, {SEQ}) AS first_f
+  FROM records GROUP BY ALL)""")
+q("est_05", BASE, ESTIMATES, select="""
+SELECT file_key, pa_id, strftime(month, '%Y-%m') AS month, 'product' AS level, product_type AS sk, sum(value) AS value
+FROM doc_idx GROUP BY ALL
+UNION ALL
+SELECT file_key, pa_id, strftime(month, '%Y-%m'), 'variant', product_type || '~' || variant, sum(value)
+FROM doc_idx GROUP BY ALL
+UNION ALL
+SELECT file_key, pa_id, strftime(month, '%Y-%m'), 'region', product_type || '~' || variant || '~' || region, value
+FROM doc_idx WHERE NOT (product_type = '890' AND variant = 'V2')""")
+q("est_06", BASE, ESTIMATES, select="""
+SELECT file_key, false AS rejected,
+       count(DISTINCT CASE WHEN product_type = '890' AND variant = 'V2' THEN variant END) AS variants_without_distribution
+FROM doc_idx GROUP BY file_key""")
+q("join_10", BASE, ESTIMATES, select="""
+SELECT region, count(*) AS skipped_rows FROM regional
+WHERE region NOT IN (SELECT region FROM dist) GROUP BY region""")
+q("src_06", BASE, ESTIMATES, select="""
+SELECT file_key, pa_id AS idEnte, periodo_riferimento, count(DISTINCT product_type) AS n_products
+FROM doc_idx WHERE month >= DATE '1996-01-01' GROUP BY ALL""")
