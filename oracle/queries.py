@@ -745,3 +745,45 @@ WHERE region NOT IN (SELECT region FROM dist) GROUP BY region""")
 q("src_06", BASE, ESTIMATES, select="""
 SELECT file_key, pa_id AS idEnte, periodo_riferimento, count(DISTINCT product_type) AS n_products
 FROM doc_idx WHERE month >= DATE '1996-01-01' GROUP BY ALL""")
+
+# ====================== CSV imports and upsert ======================
+q("src_04", BASE, select="""
+SELECT request_id, notification_sent_at, prepare_request_date, product_type, sender_pa_id, province, cap,
+       CAST(attempt AS BIGINT) AS attempt, iun, 'EVALUATE_SENDER_LIMIT' AS workflow_step,
+       strftime(delivery_week, '%Y-%m-%d') || '~EVALUATE_SENDER_LIMIT' AS pk,
+       concat_ws('~', province, CASE WHEN upper(product_type) = 'RS' OR attempt = 1 THEN prepare_request_date
+                                     ELSE notification_sent_at END, request_id) AS sk
+FROM shipments""")
+
+q("src_05", BASE, select="""
+SELECT 'TENDER_1~' || unified_delivery_driver || '~' || geo_key AS pk, 'TENDER_1~' || geo_key AS tender_id_geo_key,
+       unified_delivery_driver, geo_key,
+       CASE WHEN capacity = 0 THEN NULL ELSE CAST(capacity AS BIGINT) END AS capacity,
+       CAST(capacity * 2 AS BIGINT) AS peak_capacity, activation_from,
+       CASE WHEN bad_date THEN '1998-06-31T23:59:59.999Z' ELSE activation_to END AS activation_to,
+       CASE WHEN products IS NULL THEN NULL ELSE array_to_string(products, ',') END AS products,
+       CASE WHEN capacity = 0 OR bad_date THEN 'QUARANTINE' ELSE 'OK' END AS status,
+       CASE WHEN capacity = 0 THEN 'capacity' WHEN bad_date THEN 'activationDateTo' END AS reason
+FROM (SELECT *, geo_level = 'PROVINCE' AND unified_delivery_driver = 'DRV_C'
+                AND coalesce(activation_to = '1998-06-30T23:59:59.999Z', false) AS bad_date FROM capacity)""")
+
+UPSERT = """
+first_put AS (
+  SELECT pk, request_id, iun, product_type, attempt, unified_delivery_driver, priority, delivery_week, workflow_step
+  FROM ledger WHERE workflow_step = 'EVALUATE_SENDER_LIMIT' AND ends_with(created_at, 'T00:00:00.000Z')),
+second_put AS (
+  SELECT f.pk, f.request_id, f.iun, f.product_type, f.attempt, e.unified_delivery_driver, e.priority,
+         f.delivery_week, f.workflow_step
+  FROM first_put f JOIN enriched e USING (request_id)
+  WHERE upper(f.product_type) = 'RS' OR f.attempt = 1
+  UNION ALL
+  SELECT pk, request_id, iun, product_type, attempt, unified_delivery_driver, priority, delivery_week, workflow_step
+  FROM ledger WHERE workflow_step = 'EVALUATE_PRINT_CAPACITY'),
+merged AS (
+  SELECT * FROM second_put
+  UNION ALL
+  SELECT * FROM first_put f WHERE NOT EXISTS (SELECT 1 FROM second_put s WHERE s.pk = f.pk AND s.request_id = f.request_id))
+"""
+q("src_10", *HISTORY, UPSERT, select=f"""
+SELECT pk, request_id, iun, product_type, CAST(attempt AS BIGINT) AS attempt, unified_delivery_driver,
+       CAST(priority AS BIGINT) AS priority, {d('delivery_week')} AS delivery_week, workflow_step FROM merged""")
