@@ -115,14 +115,15 @@ def _avg_weekly(shp: DataFrame, cov: DataFrame, keys: list[str]) -> DataFrame:
         (F.sum("n") / F.count(F.lit(1))).cast("bigint").alias("base"))
 
 
-def driver_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+def driver_capacity(spark: SparkSession, sf_dir: str, shp: DataFrame | None = None,
+                    cov: DataFrame | None = None) -> DataFrame:
     """Versioned declared capacity per (tender, driver, geo_key).
 
     Capacity is a fraction of the average weekly volume of the key, with
     overlapping, expired, open-ended and zero versions.
     """
-    shp = shipments(spark, sf_dir)
-    cov = driver_coverage(spark, sf_dir)
+    shp = shp if shp is not None else shipments(spark, sf_dir)
+    cov = cov if cov is not None else driver_coverage(spark, sf_dir)
     prov_products = (cov.groupBy("province", "unified_delivery_driver")
                         .agg(F.sort_array(F.collect_set("product_type")).alias("products"),
                              F.first("nation_key").alias("nation_key")))
@@ -167,14 +168,14 @@ def driver_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prov_rows.unionByName(cap_rows)
 
 
-def sender_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sender_estimates(spark: SparkSession, sf_dir: str, shp: DataFrame | None = None) -> DataFrame:
     """Weekly estimates per (pa, product, province, delivery_date).
 
     The estimate for the next quarter's week is 80 % of this quarter's
     volume of the sender (AR and 890 only); ``delivery_date`` is the
     shipment date the planner reads, i.e. that week minus 7 days.
     """
-    s = shipments(spark, sf_dir)
+    s = shp if shp is not None else shipments(spark, sf_dir)
     counts = (s.filter(F.col("product_type").isin(*C.ESTIMATED_PRODUCTS))
                .groupBy("sender_pa_id", "product_type", "province", "delivery_week")
                .agg(F.count(F.lit(1)).alias("n")))
@@ -192,13 +193,13 @@ def sender_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def print_capacity_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+def print_capacity_config(spark: SparkSession, sf_dir: str, shp: DataFrame | None = None) -> DataFrame:
     """Print capacity versions (start_date, daily capacity, executions/day).
 
     Daily capacity is set from the volume so the weekly limit binds at every
     scale: one twelfth, then (from 1998) one ninth of the average week.
     """
-    s = shipments(spark, sf_dir)
+    s = shp if shp is not None else shipments(spark, sf_dir)
     wk = s.groupBy("delivery_week").agg(F.count(F.lit(1)).alias("n"))
     avg = wk.agg((F.sum("n") / F.count(F.lit(1))).cast("bigint").alias("avg_week"))
     versions = F.array(
