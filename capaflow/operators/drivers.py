@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from capaflow.session import stage_table
+
 GROUP = ["tender_id", "province", "delivery_week"]
 
 
@@ -68,9 +70,9 @@ def product_components(drivers: DataFrame, rounds: int = 2) -> DataFrame:
               .distinct())
     reach = pairs
     for _ in range(rounds):
-        # each squaring reads ``reach`` twice: checkpoint it (a few rows per
+        # each squaring reads ``reach`` twice: stage it (a few rows per
         # province-week) so the plan does not double with every round
-        reach = reach.checkpoint(eager=True)
+        reach = stage_table(reach, "reach")
         step = (reach.alias("x").join(reach.alias("y"),
                                       [F.col(f"x.{g}") == F.col(f"y.{g}") for g in GROUP]
                                       + [F.col("x.b") == F.col("y.a")])

@@ -10,15 +10,18 @@ Two physical strategies give the same numbers:
   key holding a third of the data would land in one task.
 * ``range``  -- the group is split over many tasks: range-partition on
   ``(keys, order)`` (sampled boundaries split a hot key), sort inside each
-  partition, checkpoint so partition ids and row ids are stable, count rows
+  partition, stage the rows with their partition id and row index as
+  columns (written under the checkpoint folder) so they are stable, count rows
   per (partition, key), turn the counts into offsets with a small window,
   and add the offset to the row index inside the partition. No task ever
   holds more than one range partition; the offset table has at most
   ``#keys + #partitions`` rows.
 
-``auto`` (default) measures the largest group with one aggregation (map-side
-combined, tiny output) and picks ``window`` only when that group is proven
-to fit one task (``capaflow.rank.maxGroupRows``, default 5 000 000 rows).
+``auto`` (default) stages the input as Parquet under the checkpoint folder,
+then proves a bound: the staged row count (footer metadata), else the
+largest group from one map-side-combined aggregation. ``window`` is used
+only when the bound fits one task (``capaflow.rank.maxGroupRows``, default
+5 000 000 rows); otherwise ``range``.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from capaflow.session import ensure_checkpoint_dir
+from capaflow.session import ensure_checkpoint_dir, stage_table
 
 STRATEGY_CONF = "capaflow.rank.strategy"
 MAX_GROUP_CONF = "capaflow.rank.maxGroupRows"
@@ -62,10 +65,12 @@ def positions(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
     if strategy == "auto":
         # measure on a checkpoint so the measurement and the rank read the
         # same materialized rows instead of recomputing the lineage twice
-        ensure_checkpoint_dir(df.sparkSession)
-        df = df.checkpoint(eager=True)
+        df = stage_table(df, "rank-input")
         limit = int(_conf(df, MAX_GROUP_CONF, "5000000"))
-        strategy = "window" if largest_group(df, by) <= limit else "range"
+        # a Parquet count reads footers only; group sizes are aggregated only
+        # when the whole input could exceed what one task should sort
+        fits = df.count() <= limit or largest_group(df, by) <= limit
+        strategy = "window" if fits else "range"
     if strategy == "window":
         w = Window.partitionBy(*by).orderBy(*_as_cols(order)) if by else \
             Window.orderBy(*_as_cols(order))
@@ -84,15 +89,17 @@ def _range_positions(df: DataFrame, by: list[str], order: list[Column], name: st
     staged = (df.repartitionByRange(n, *sort_cols)
                 .sortWithinPartitions(*sort_cols)
                 .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_row", F.monotonically_increasing_id())
-                .checkpoint(eager=True))
+                .withColumn("_row", F.monotonically_increasing_id()))
+    # partition id and row index are stored as columns, so the staged copy
+    # keeps them whatever the physical layout of the read-back
+    staged = stage_table(staged, "rank-staged")
     stats = staged.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_n"),
                                             F.min("_row").alias("_first"))
     w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_pid") \
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = (stats.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-                    .select("_pid", *by, (F.col("_before") - F.col("_first")).alias("_base"))
-                    .checkpoint(eager=True))
+                    .select("_pid", *by, (F.col("_before") - F.col("_first")).alias("_base")))
+    offsets = stage_table(offsets, "rank-offsets")
     max_bc = int(_conf(df, BROADCAST_ROWS_CONF, "2000000"))
     if offsets.limit(max_bc + 1).count() <= max_bc:
         offsets = F.broadcast(offsets)

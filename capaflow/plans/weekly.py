@@ -24,7 +24,7 @@ from capaflow.operators import drivers as D
 from capaflow.operators import printing as P
 from capaflow.operators import sender as S
 from capaflow.operators.capacity import drivers_on_province
-from capaflow.session import ensure_checkpoint_dir
+from capaflow.session import stage_table
 from capaflow.sources import testdata as T
 
 MATERIALIZE_CONF = "capaflow.materializeSteps"
@@ -62,11 +62,10 @@ def load_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
 
 
 def materialize(df: DataFrame, force: bool = False) -> DataFrame:
-    """Cut lineage with a reliable checkpoint (shared ``spark.checkpoint.dir``)."""
+    """Cut lineage: write the step result under the shared checkpoint folder, read it back."""
     if not force and df.sparkSession.conf.get(MATERIALIZE_CONF, "true") != "true":
         return df
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return stage_table(df)
 
 
 @dataclass

@@ -63,3 +63,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="capaflow-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
+
+
+def stage_table(df, name: str = "stage"):
+    """Cut lineage by writing ``df`` as Parquet under the shared checkpoint
+    folder and reading it back.
+
+    Unlike an eager ``DataFrame.checkpoint()`` (which runs the plan once to
+    count and again to write), the plan runs once; the read-back is a plain
+    file scan with column pruning and filter pushdown. Files live on the
+    cluster's shared file system, so a lost executor loses nothing.
+    """
+    import uuid
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
