@@ -35,7 +35,7 @@ def _limits(rows: DataFrame, capacity: DataFrame, used: DataFrame | None,
 
 
 def allocate(rows: DataFrame, capacity: DataFrame, step: str,
-             used: DataFrame | None = None) -> DataFrame:
+             used: DataFrame | None = None, row_bound: int | None = None) -> DataFrame:
     """ALC-03..06: flag each row of ``step`` as accepted or not.
 
     ``rows``: shipments of the step with ``tender_id, delivery_week,
@@ -55,13 +55,13 @@ def allocate(rows: DataFrame, capacity: DataFrame, step: str,
                     .alias("cap_residual")))
     with_lim = (rows.join(prov, DP, "left")
                     .join(cap, ["unified_delivery_driver", "cap", "delivery_week"], "left"))
-    cap_ranked = positions(with_lim, DP + ["cap"], order, name="cap_pos")
+    cap_ranked = positions(with_lim, DP + ["cap"], order, name="cap_pos", row_bound=row_bound)
     fits_cap = F.coalesce(F.col("cap_pos") <= F.col("cap_residual"), F.lit(False))
     eligible = cap_ranked.filter(fits_cap)
     blocked = (cap_ranked.filter(~fits_cap)
                          .withColumn("prov_pos", F.lit(None).cast("int"))
                          .withColumn("accepted", F.lit(False)))
-    prov_ranked = positions(eligible, DP, order, name="prov_pos")
+    prov_ranked = positions(eligible, DP, order, name="prov_pos", row_bound=row_bound)
     accepted = prov_ranked.withColumn(
         "accepted", F.coalesce(F.col("prov_pos") <= F.col("prov_residual"), F.lit(False)))
     return accepted.unionByName(blocked)

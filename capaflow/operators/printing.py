@@ -30,10 +30,12 @@ def slice_size(daily: F.Column, executions: F.Column) -> F.Column:
     return F.ceil(daily.cast("double") / executions.cast("double")).cast("int")
 
 
-def print_queue(print_rows: DataFrame, config: DataFrame, inclusive: bool = True) -> DataFrame:
+def print_queue(print_rows: DataFrame, config: DataFrame, inclusive: bool = True,
+                row_bound: int | None = None) -> DataFrame:
     """Rank the print rows of every week and attach the capacity in force."""
     cap = print_capacity_in_force(print_rows, config, inclusive)
-    ranked = positions(print_rows, ["delivery_week"], K.step_order(C.STEP_PRINT), name="print_pos")
+    ranked = positions(print_rows, ["delivery_week"], K.step_order(C.STEP_PRINT), name="print_pos",
+                       row_bound=row_bound)
     # the capacity table has one row per week: small, joined on the week
     out = ranked.join(F.broadcast(cap), "delivery_week")
     d = F.col("daily_print_capacity")

@@ -17,8 +17,8 @@ Two physical strategies give the same numbers:
   holds more than one range partition; the offset table has at most
   ``#keys + #partitions`` rows.
 
-``auto`` (default) stages the input as Parquet under the checkpoint folder,
-then proves a bound: the staged row count (footer metadata), else the
+``auto`` (default) stages the input in the checkpoint folder, then proves a
+bound: a row bound given by the caller, else the staged row count, else the
 largest group from one map-side-combined aggregation. ``window`` is used
 only when the bound fits one task (``capaflow.rank.maxGroupRows``, default
 5 000 000 rows); otherwise ``range``.
@@ -55,20 +55,25 @@ def largest_group(df: DataFrame, by: Sequence[str]) -> int:
 
 def positions(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
               name: str = "pos", strategy: str | None = None,
-              num_partitions: int | None = None) -> DataFrame:
+              num_partitions: int | None = None, row_bound: int | None = None) -> DataFrame:
     """Add column ``name`` = 1-based position of each row inside its ``by`` group.
 
     ``order`` must be a total order inside a group (end it with a unique
-    column) so the result is deterministic.
+    column) so the result is deterministic. ``row_bound`` is an upper bound
+    on the rows of ``df`` the caller has already proven (e.g. the row count
+    of the staged table it derives from); it lets ``auto`` skip measuring.
     """
     strategy = strategy or _conf(df, STRATEGY_CONF, "auto")
+    if strategy == "auto" and row_bound is not None \
+            and row_bound <= int(_conf(df, MAX_GROUP_CONF, "5000000")):
+        strategy = "window"
     if strategy == "auto":
         # measure on a checkpoint so the measurement and the rank read the
         # same materialized rows instead of recomputing the lineage twice
         df = stage_table(df, "rank-input")
         limit = int(_conf(df, MAX_GROUP_CONF, "5000000"))
-        # a Parquet count reads footers only; group sizes are aggregated only
-        # when the whole input could exceed what one task should sort
+        # count the staged rows first; group sizes are aggregated only when
+        # the whole input could exceed what one task should sort
         fits = df.count() <= limit or largest_group(df, by) <= limit
         strategy = "window" if fits else "range"
     if strategy == "window":

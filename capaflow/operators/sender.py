@@ -83,7 +83,7 @@ def sender_limits(estimates: DataFrame, net: DataFrame, totals: DataFrame) -> Da
 
 
 def split_by_sender_limit(enriched: DataFrame, limits: DataFrame,
-                          used: DataFrame | None = None) -> DataFrame:
+                          used: DataFrame | None = None, row_bound: int | None = None) -> DataFrame:
     """ALC-01/02: next step of each shipment of the sender step.
 
     ``enriched``: shipments with driver and priority. Non-exempt rows are
@@ -101,7 +101,8 @@ def split_by_sender_limit(enriched: DataFrame, limits: DataFrame,
                   .drop("_used"))
     flagged = enriched.withColumn("exempt", K.exempt())
     guarded = flagged.filter(~F.col("exempt")).join(lim, SENDER_KEY, "left")
-    ranked = positions(guarded, SENDER_KEY, K.step_order(C.STEP_SENDER), name="sender_rank")
+    ranked = positions(guarded, SENDER_KEY, K.step_order(C.STEP_SENDER), name="sender_rank",
+                       row_bound=row_bound)
     within = ranked.withColumn(
         "next_step", F.when(F.col("sender_rank") <= F.coalesce(F.col("sender_limit"), F.lit(0)),
                             F.lit(C.STEP_DRIVER)).otherwise(F.lit(C.STEP_RESIDUAL)))

@@ -68,6 +68,15 @@ def materialize(df: DataFrame, force: bool = False) -> DataFrame:
     return stage_table(df)
 
 
+def row_bound(staged: DataFrame) -> int:
+    """Row count of a staged step table (a scan of the staged files).
+
+    Every later step reads a subset of it, so it bounds every group a rank
+    of that step can see; one count replaces a group-size measurement per rank.
+    """
+    return staged.count()
+
+
 @dataclass
 class SenderStep:
     enriched: DataFrame
@@ -95,13 +104,13 @@ def sender_step(inp: Inputs) -> SenderStep:
     pw = shp.select("tender_id", "province", "delivery_week").distinct()
     drivers = small(drivers_on_province(pw, inp.capacity))
     comps = small(D.product_components(drivers))
-    excl = small(S.exempt_counters(shp))
+    excl = S.exempt_counters(shp)
     net = small(D.net_capacity(comps, excl))
     assigned = K.with_priority(D.assign_driver(shp, inp.coverage))
     enriched = D.sole_driver_shortcut(assigned, comps)
-    totals = small(S.estimate_totals(inp.estimates))
-    limits = small(S.sender_limits(inp.estimates, net, totals))
-    split = materialize(S.split_by_sender_limit(enriched, limits))
+    totals = S.estimate_totals(inp.estimates)
+    limits = S.sender_limits(inp.estimates, net, totals)
+    split = materialize(S.split_by_sender_limit(enriched, limits, row_bound=row_bound(shp)))
     return SenderStep(enriched, comps, net, excl, totals, limits, split)
 
 
@@ -114,11 +123,12 @@ class CapacitySteps:
 
 
 def capacity_steps(split: DataFrame, capacity: DataFrame) -> CapacitySteps:
+    bound = row_bound(split)
     drv = materialize(A.allocate(split.filter(F.col("next_step") == C.STEP_DRIVER),
-                                 capacity, C.STEP_DRIVER))
+                                 capacity, C.STEP_DRIVER, row_bound=bound))
     used1 = materialize(A.used_capacity(drv))
     res = materialize(A.allocate(split.filter(F.col("next_step") == C.STEP_RESIDUAL),
-                                 capacity, C.STEP_RESIDUAL, used=used1))
+                                 capacity, C.STEP_RESIDUAL, used=used1, row_bound=bound))
     used2 = A.used_capacity(res, previous=used1)
     return CapacitySteps(drv, used1, res, used2)
 
@@ -132,7 +142,8 @@ def print_step(steps: CapacitySteps, print_config: DataFrame) -> DataFrame:
     acc = (steps.driver.filter("accepted").select(*PRINT_COLS, F.lit(C.STEP_DRIVER).alias("via_step"))
            .unionByName(steps.residual.filter("accepted")
                         .select(*PRINT_COLS, F.lit(C.STEP_RESIDUAL).alias("via_step"))))
-    return materialize(P.release(P.print_queue(acc, print_config)))
+    bound = row_bound(steps.driver) + row_bound(steps.residual)
+    return materialize(P.release(P.print_queue(acc, print_config, row_bound=bound)))
 
 
 def weekly_plan(inp: Inputs) -> DataFrame:
