@@ -41,14 +41,16 @@ def capacity_in_force(needs: DataFrame, capacity: DataFrame, inclusive: bool = T
     """
     keys = ["tender_id", "unified_delivery_driver", "geo_key"]
     distinct_needs = needs.select(*keys, week_col).distinct()
-    cap = capacity.select(*keys, "activation_from", "activation_to", "capacity")
-    hits = (distinct_needs.join(cap, keys)
-                          .filter(valid_at(week_instant(F.col(week_col)), inclusive))
+    cap = capacity.select(*[F.col(k).alias(f"_c_{k}") for k in keys],
+                          "activation_from", "activation_to", "capacity")
+    # one left join carrying the validity interval, one aggregate per need
+    cond = valid_at(week_instant(F.col(week_col)), inclusive)
+    for k in keys:
+        cond = cond & (F.col(k) == F.col(f"_c_{k}"))
+    return (distinct_needs.join(cap, cond, "left")
                           .groupBy(*keys, week_col)
-                          .agg(F.max_by("capacity", "activation_from").alias("declared_capacity")))
-    return (distinct_needs.join(hits, [*keys, week_col], "left")
-                          .withColumn("declared_capacity",
-                                      F.coalesce(F.col("declared_capacity"), F.lit(0))))
+                          .agg(F.coalesce(F.max_by("capacity", "activation_from"), F.lit(0))
+                                .alias("declared_capacity")))
 
 
 def drivers_on_province(province_weeks: DataFrame, capacity: DataFrame,
