@@ -21,7 +21,9 @@ def test_every_query_has_an_oracle_or_is_rows_only():
 
 
 @pytest.mark.parametrize("name", ["weekly_plan", "alc_01", "alc_06", "agg_04", "agg_11", "alc_10",
-                                  "rpt_01", "rpt_02", "est_04", "lkp_02"])
+                                  "rpt_01", "rpt_02", "est_04", "lkp_02", "src_05", "src_10", "est_03",
+                                  "str_01", "str_05", "join_11", "join_13", "lkp_01", "mnt_02", "prj_05",
+                                  "alc_15", "src_06", "fn_04", "join_09", "agg_09", "src_01"])
 def test_query_matches_oracle(spark, name):
     con = duckdb.connect()
     for t in TABLES:
