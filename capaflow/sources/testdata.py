@@ -107,12 +107,19 @@ def driver_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _avg_weekly(shp: DataFrame, cov: DataFrame, keys: list[str]) -> DataFrame:
-    per_week = (shp.join(cov.select("cap", "product_type", "unified_delivery_driver"),
-                         ["cap", "product_type"])
-                   .groupBy(*keys, "delivery_week").agg(F.count(F.lit(1)).alias("n")))
-    return per_week.groupBy(*keys).agg(
-        (F.sum("n") / F.count(F.lit(1))).cast("bigint").alias("base"))
+def _weekly_counts(shp: DataFrame, cov: DataFrame) -> DataFrame:
+    """Shipments per (cap, province, driver, week): one aggregate over the
+    shipments (coverage is a per-cap dimension), rolled up by both levels."""
+    return (shp.join(cov.select("cap", "product_type", "unified_delivery_driver"),
+                     ["cap", "product_type"])
+               .groupBy("cap", "province", "unified_delivery_driver", "delivery_week")
+               .agg(F.count(F.lit(1)).alias("n")))
+
+
+def _avg_weekly(per_week: DataFrame, keys: list[str]) -> DataFrame:
+    """Average weekly volume of a key over the weeks in which it had shipments."""
+    wk = per_week.groupBy(*keys, "delivery_week").agg(F.sum("n").alias("n"))
+    return wk.groupBy(*keys).agg((F.sum("n") / F.count(F.lit(1))).cast("bigint").alias("base"))
 
 
 def driver_capacity(spark: SparkSession, sf_dir: str, shp: DataFrame | None = None,
@@ -127,7 +134,8 @@ def driver_capacity(spark: SparkSession, sf_dir: str, shp: DataFrame | None = No
     prov_products = (cov.groupBy("province", "unified_delivery_driver")
                         .agg(F.sort_array(F.collect_set("product_type")).alias("products"),
                              F.first("nation_key").alias("nation_key")))
-    prov = (_avg_weekly(shp, cov, ["province", "unified_delivery_driver"])
+    per_week = _weekly_counts(shp, cov)
+    prov = (_avg_weekly(per_week, ["province", "unified_delivery_driver"])
             .join(prov_products, ["province", "unified_delivery_driver"]))
     nk = F.col("nation_key")
     b = F.col("base")
@@ -149,7 +157,7 @@ def driver_capacity(spark: SparkSession, sf_dir: str, shp: DataFrame | None = No
                              F.col("v.t").alias("activation_to"),
                              F.col("v.c").cast("int").alias("capacity"), "products"))
     capk = F.substring(F.col("cap"), 3, 3).cast("int")
-    cap = (_avg_weekly(shp, cov, ["cap", "unified_delivery_driver"])
+    cap = (_avg_weekly(per_week, ["cap", "unified_delivery_driver"])
            .join(cov.select("cap", "province").distinct(), "cap"))
     cap_versions = F.array(
         F.struct(F.lit("1990-01-01T00:00:00.000Z").alias("f"), F.lit(None).cast("string").alias("t"),
