@@ -16,7 +16,6 @@ from capaflow import config as C
 from capaflow.functions import keys as K
 from capaflow.operators import capacity as CAP
 from capaflow.operators import printing as P
-from capaflow.operators.ranking import positions
 from capaflow.plans import weekly as W
 from capaflow.plans.results import normalize, plan_results
 

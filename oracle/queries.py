@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.sql import BASE, CAPACITY, PLAN, PRINT, SENDER, TS, with_ctes  # noqa: F401
+from oracle.sql import BASE, CAPACITY, PLAN, SENDER, TS, with_ctes
 
 ORACLES: dict[str, str] = {}
 
