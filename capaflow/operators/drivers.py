@@ -3,10 +3,9 @@
 * JOIN-05/06 -- shipments get their driver from the coverage table
   (cap x product -> driver); a cap x product without a driver is reported.
 * AGG-04 -- drivers of a province whose product sets intersect form one
-  component: connected components over the product graph, computed as a
-  transitive closure by repeated squaring of the product adjacency. Paths
-  in a graph of the five products have at most four edges, so two squarings
-  (reach 2, then 4) close it; ``rounds`` is a parameter for larger enums.
+  component: each driver's set is widened by the overlapping sets of its
+  province-week until it stops growing (a fixpoint with a bounded number of
+  steps), all inside one aggregate expression.
 * AGG-05 -- component capacity = sum of driver capacities minus the exempt
   counters of its products, floored at 0.
 """
@@ -16,7 +15,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capaflow.session import stage_table
 
 GROUP = ["tender_id", "province", "delivery_week"]
 
@@ -54,35 +52,29 @@ def sole_driver_shortcut(assigned: DataFrame, components: DataFrame) -> DataFram
                .drop("_sole"))
 
 
-def product_components(drivers: DataFrame, rounds: int = 2) -> DataFrame:
+def product_components(drivers: DataFrame) -> DataFrame:
     """AGG-04: group drivers by intersecting product sets.
 
     ``drivers``: one row per (tender, province, week, driver) with
     ``capacity`` and ``products``. Output: one row per component with
     ``component`` (smallest product), sorted ``products``, ``drivers`` and
     summed ``capacity``.
+
+    The product sets of a province-week (one per driver: a list bounded by
+    the drivers of one province) are gathered once; each driver's set is then
+    widened by every set that overlaps it, repeated as many times as there
+    are sets -- a fixpoint, so the result is the whole connected component.
+    Two small shuffles, no iteration on the driver.
     """
     d = drivers.withColumn(
         "_prods", F.when(F.size(F.coalesce("products", F.array())) > 0, F.col("products"))
                    .otherwise(F.array(F.concat(F.lit("#"), F.col("unified_delivery_driver")))))
-    pairs = (d.select(*GROUP, F.explode("_prods").alias("a"), "_prods")
-              .select(*GROUP, "a", F.explode("_prods").alias("b"))
-              .distinct())
-    reach = pairs
-    for _ in range(rounds):
-        # each squaring reads ``reach`` twice: stage it (a few rows per
-        # province-week) so the plan does not double with every round
-        reach = stage_table(reach, "reach")
-        step = (reach.alias("x").join(reach.alias("y"),
-                                      [F.col(f"x.{g}") == F.col(f"y.{g}") for g in GROUP]
-                                      + [F.col("x.b") == F.col("y.a")])
-                     .select(*[F.col(f"x.{g}").alias(g) for g in GROUP],
-                             F.col("x.a").alias("a"), F.col("y.b").alias("b"))
-                     .distinct())
-        reach = step
-    comp_of = reach.groupBy(*GROUP, "a").agg(F.min("b").alias("component"))
-    with_comp = (d.withColumn("a", F.element_at("_prods", 1))
-                  .join(comp_of, [*GROUP, "a"]))
+    sets = d.groupBy(*GROUP).agg(F.collect_list("_prods").alias("_sets"))
+    widened = F.aggregate(
+        F.sequence(F.lit(1), F.size("_sets")), F.col("_prods"),
+        lambda acc, _i: F.array_distinct(F.flatten(F.filter(F.col("_sets"),
+                                                            lambda s: F.arrays_overlap(s, acc)))))
+    with_comp = d.join(sets, GROUP).withColumn("component", F.array_min(widened))
     return (with_comp.groupBy(*GROUP, "component")
                      .agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("products"))))
                            .alias("products"),

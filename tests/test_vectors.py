@@ -135,3 +135,12 @@ def test_priority_default_and_strict(spark):
     assert got == [2, 1, 3]
     ok, bad = K.split_by_priority(df)
     assert ok.count() == 2 and bad.count() == 1
+
+
+def test_components_need_several_widening_steps(spark):
+    # {AR} - {AR,890} - {890,RS} - {RS,RIR}: one component reached in three steps; {RIS} alone
+    comps = D.product_components(_drivers(spark, [("d1", 1, ["AR"]), ("d2", 2, ["AR", "890"]),
+                                                  ("d3", 4, ["890", "RS"]), ("d4", 8, ["RIR", "RS"]),
+                                                  ("d5", 16, ["RIS"])]))
+    got = {r["component"]: (tuple(r["products"]), r["capacity"]) for r in comps.collect()}
+    assert got == {"890": (("890", "AR", "RIR", "RS"), 15), "RIS": (("RIS",), 16)}
