@@ -27,13 +27,20 @@ def main() -> None:
     qs = all_queries()
     spark.range(1000).selectExpr("sum(id)").collect()   # JVM start-up, not a query
     times = {}
+    failed = {}
     for name in HEADLINE:
         t0 = time.time()
-        qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.time() - t0, 3)
+        try:
+            qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.time() - t0, 3)
+        except Exception as e:  # noqa: BLE001 -- report, keep the JSON line
+            failed[name] = str(e).splitlines()[0][:200]
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "sf": float(sf) if sf else sf_dir}))
+    out = {"metric": "headline_total", "value": round(sum(times.values()), 3),
+           "unit": "sec", "queries": times, "sf": float(sf) if sf else sf_dir}
+    if failed:
+        out["failed"] = failed
+    print(json.dumps(out))
     spark.stop()
 
 
