@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capaflow.llm import language_id, mixing, sentencepiece_bpe
+from capaflow.llm import fingerprints, language_id, minmax_dedup, mixing, pstable_dedup, secret_scan, sentencepiece_bpe
 from capaflow.llm.common import held_out, table
 
 TOKENIZER_MODEL = "piece_bpe_32k.model"
@@ -26,12 +26,48 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "explained"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bottom-k fingerprint of every document and of its edited text, and their likeness."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    df = fingerprints.fingerprints(docs)
+    return df.select(F.col("id").alias("doc_id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+                     fingerprints.packed(F.col("sketch")).alias("fingerprint"),
+                     fingerprints.packed(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+def op5_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate group of every document on word pairs at a resemblance of 0.8."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minmax_dedup.near_duplicates(docs, size=2).withColumnRenamed("id", "doc_id")
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: counts of the base kinds and all spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = F.col("_spans")
+    base = F.filter(spans, lambda x: x["k"] < len(secret_scan.BASE_RULES))
+
+    def count(kind: int):
+        return F.size(F.filter(spans, lambda x: x["k"] == kind)).cast("long")
+
+    counts = [count(k).alias(f"n_{r.kind}") for k, r in enumerate(secret_scan.BASE_RULES)]
+    return secret_scan.scan(docs).select(
+        "doc_id", *counts, F.sha2(secret_scan.named(base).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.named(spans).alias("spans"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document for a mix of all sources at the target weights."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of embeddings with a cosine of 0.9 or more."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return pstable_dedup.near_duplicates(vectors).withColumnRenamed("id", "vec_id")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and what they decode to, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -40,7 +76,11 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
+    "op4_fingerprints": op4_fingerprints,
+    "op5_minmax_near_dedup": op5_minmax_near_dedup,
+    "op7_secrets": op7_secrets,
     "op8_mix_sources": op8_mix_sources,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 ORACLES: dict[str, str] = {}

@@ -26,11 +26,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from capaflow.llm.common import WORD_PATTERN, splitmix
+from capaflow.llm.common import WORD_PATTERN, splitmix, staged
 
 
 def word_count(text: Column | str) -> Column:
@@ -100,7 +99,7 @@ def _meet(size: np.ndarray, p: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray
 def _pass(level: int, last: bool):
     """Meetings of one group; with ``last`` the row left is rounded by its own probability."""
     def work(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("_mark", "ascending"), ("size", "ascending"), ("_order", "ascending")])
+        rows = rows.sort_by([("size", "descending"), ("_mark", "ascending"), ("_order", "ascending")])  # large ones first: a small one is left
         mark = rows.column("_mark").to_numpy()
         with np.errstate(over="ignore"):
             mark = splitmix(mark.view(np.uint64) + np.uint64(2 * level + 1)).view(np.int64)
@@ -131,7 +130,6 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", keep: tuple
     targets = (targets.withColumn("_m", F.least(times, F.lit(float(most))))
                .withColumn("_whole", F.floor("_m")).withColumn("_frac", F.col("_m") - F.floor("_m"))
                .withColumn("_blocks", F.ceil(F.col("n") / F.lit(block_rows))).drop("_m"))
-    from capaflow.llm.common import staged
     targets = staged(targets, "mix-targets")
     rows = rows.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "n")
     rows = (rows.withColumn("_p", F.when(F.col("size") > 0, F.col("_frac")).otherwise(F.lit(0.0)))

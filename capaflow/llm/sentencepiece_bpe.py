@@ -28,6 +28,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
+from operator import itemgetter
 
 import ahocorasick
 import pyarrow as pa
@@ -194,22 +196,22 @@ class Encoder:
         if not self.by_word:
             ids = self.chunk(text)
             return ids, ",".join(map(str, ids))
-        all_ids, out, words, older = [], [], self.words, self.older
-        for w in self._WORD.findall(text):
-            got = words.get(w)
-            if got is None:
-                got = older.get(w)
-                if got is None:
-                    ids = self.chunk(w)
-                    got = (tuple(ids), ",".join(map(str, ids)))
-                if len(w) <= 64:
-                    if len(words) >= WORD_MEMORY:
-                        self.older, self.words = words, {}
-                        words, older = self.words, self.older
-                    words[w] = got
-            all_ids += got[0]
-            out.append(got[1])
-        return all_ids, ",".join(out)
+        got = self.words
+        found = [got.get(w) or self.word(w) for w in self._WORD.findall(text)]
+        return list(chain.from_iterable(map(itemgetter(0), found))), ",".join(map(itemgetter(1), found))
+
+    def word(self, w: str) -> tuple[tuple[int, ...], str]:
+        """Ids of a word (also as text), remembered if it is not too long."""
+        got = self.older.get(w)
+        if got is None:
+            ids = self.chunk(w)
+            got = (tuple(ids), ",".join(map(str, ids)))
+        if len(w) <= 64:
+            if len(self.words) >= WORD_MEMORY:
+                self.older = dict(self.words)
+                self.words.clear()
+            self.words[w] = got
+        return got
 
     def encode(self, text: str | None) -> list[int]:
         return self.encode_joined(text or "")[0]
