@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capaflow.llm import fingerprints, language_id, minmax_dedup, mixing, pstable_dedup, secret_scan, sentencepiece_bpe
+from capaflow.llm import (fingerprints, html_text, language_id, licence_scan, minmax_dedup, mixing, pstable_dedup,
+                          quality_classifier, secret_scan, sentencepiece_bpe)
 from capaflow.llm.common import held_out, table
 
 TOKENIZER_MODEL = "piece_bpe_32k.model"
@@ -18,6 +19,16 @@ def model_path(name: str = TOKENIZER_MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licence that a document's whole text is, with the digest of its canonical form."""
+    return licence_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from the labelled documents that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -41,6 +52,13 @@ def op5_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_duplicates(docs, size=2).withColumnRenamed("id", "doc_id")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the labelled documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.train(docs.where(~held_out("doc_id")), table(spark, sf_dir, "labels"))
+    return quality_classifier.predict(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: counts of the base kinds and all spans."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -75,12 +93,15 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licences": op1_licences,
+    "op2_html_text": op2_html_text,
     "op3_language_id": op3_language_id,
     "op4_fingerprints": op4_fingerprints,
     "op5_minmax_near_dedup": op5_minmax_near_dedup,
+    "op6_quality": op6_quality,
     "op7_secrets": op7_secrets,
     "op8_mix_sources": op8_mix_sources,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_licences": licence_scan.oracle_sql()}

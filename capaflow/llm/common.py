@@ -226,6 +226,12 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
             .union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
 
 
-def checked_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, taken exactly by name; others (whatever they are called) are left out."""
+def exactly(df: DataFrame, *names: str) -> DataFrame:
+    """Only the named columns; whatever others are called, they are left out."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def kept_beside(keep: tuple[str, ...], results: tuple[str, ...]) -> tuple[str, ...]:
+    """The columns to be kept whose names no result column has (a result column wins)."""
+    taken = {r.lower() for r in results}
+    return tuple(c for c in dict.fromkeys(keep) if c.lower() not in taken)

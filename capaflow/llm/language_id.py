@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capaflow.llm.common import checked_columns, splitmix
+from capaflow.llm.common import exactly, kept_beside, splitmix
 
 UNDETERMINED = "und"
 PIECE_CHARS = 1 << 20
@@ -117,7 +117,7 @@ def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
         yield from out()
 
     rows = docs.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
-    return (checked_columns(rows, text, lang).mapInArrow(work, "lang string, gram long, n long")
+    return (exactly(rows, text, lang).mapInArrow(work, "lang string, gram long, n long")
             .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
 
 
@@ -202,6 +202,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", min_share: floa
 def predict(docs: DataFrame, filters: Filters, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per row the kept columns, lang_pred, score (the winner's share of all languages'
     corrected hits) and explained (its share of the text's n-grams)."""
+    results = ("lang_pred", "score", "explained")
+    keep = kept_beside(keep, results)
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     rows = docs.select(F.col(f"`{text}`").alias("_text"), *[F.col(f"`{c}`") for c in keep])
     fields = [f"`{c}` {t}" for c, t in rows.dtypes[1:]]
@@ -213,6 +215,6 @@ def predict(docs: DataFrame, filters: Filters, text: str = "text", keep: tuple[s
                 names, score, known = own.score(texts)
                 yield pa.RecordBatch.from_arrays(
                     [*(c.slice(first, len(texts)) for c in batch.columns[1:]), pa.array(names, pa.string()),
-                     pa.array(score), pa.array(known)], names=[*keep, "lang_pred", "score", "explained"])
+                     pa.array(score), pa.array(known)], names=[*keep, *results])
 
     return rows.mapInArrow(work, ", ".join([*fields, "lang_pred string, score double, explained double"]))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from capaflow.llm.common import WORD_PATTERN, splitmix, staged
+from capaflow.llm.common import WORD_PATTERN, kept_beside, splitmix, staged
 
 
 def word_count(text: Column | str) -> Column:
@@ -116,14 +116,14 @@ def _pass(level: int, last: bool):
     return work
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", keep: tuple[str, ...] = ("doc_id",),
-        weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17,
-        block_rows: int = 2048, fan_in: int = 512) -> DataFrame:
-    """Per document the kept columns and size, source_size, target, copies and taken (words taken)."""
-    key = F.xxhash64(F.lit(seed), F.col(f"`{keep[0]}`"), F.xxhash64(F.col(f"`{text}`")))
+def _copies(docs: DataFrame, keep: tuple[str, ...], doc_id: str = "doc_id", text: str = "text", source: str = "source",
+            weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17,
+            block_rows: int = 2048, fan_in: int = 512) -> DataFrame:
+    """Per document the columns to be kept as k0, k1, ... and size, source_size, target and copies."""
+    key = F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`"), F.xxhash64(F.col(f"`{text}`")))
     kept = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
     rows = docs.select(*kept, F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"),
-                       key.alias("_mark"), F.col(f"`{keep[0]}`").cast("string").alias("_order"))
+                       key.alias("_mark"), F.col(f"`{doc_id}`").cast("string").alias("_order"))
     targets = source_targets(docs.select(F.col(f"`{source}`").alias("source"),
                                          word_count(F.col(f"`{text}`")).alias("size")), weights, share, most)
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -148,15 +148,21 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", keep: tuple
             rows = staged(rows.groupBy("source", "_block").applyInArrow(_pass(level, blocks <= 1), schema), "mix-level")
             closed, rows = closed.unionByName(rows.where("not _open")), rows.where("_open")
         done = closed
-    copies = (F.col("_whole") + F.col("_p")).cast("long")
-    return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "size", "source_size", "target",
-                       copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return done.select(*[f"k{i}" for i in range(len(keep))], "size", "source_size", "target",
+                       (F.col("_whole") + F.col("_p")).cast("long").alias("copies"))
+
+
+def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
+    """Per document the kept columns and size, source_size, target, copies and taken (words taken)."""
+    results = ("size", "source_size", "target", "copies", "taken")
+    keep = kept_beside(keep, results)
+    return (_copies(docs, keep, **options).withColumn("taken", F.col("copies") * F.col("size"))
+            .select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *results))
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with all its columns."""
     names = tuple(docs.columns)
-    first = ("doc_id", *[c for c in names if c != "doc_id"]) if "doc_id" in names else names
-    mixed = mix(docs, keep=first, **options)
-    return (mixed.where("copies > 0").select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"))
-            .drop("_copy"))
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return (_copies(docs, names, **options).where("copies > 0")
+            .select(*[F.col(f"k{i}") for i in range(len(names))], times).drop("col").toDF(*names))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capaflow.llm.common import pieces, random_words, splitmix, utf8_buffers, word_hashes, word_spans
+from capaflow.llm.common import kept_beside, pieces, random_words, splitmix, utf8_buffers, word_hashes, word_spans
 
 BUCKETS = 1 << 18
 SHAPE_ORDERS = (1, 2, 3)
@@ -225,6 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows:
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), cut: float = 0.7) -> DataFrame:
     """Per row the kept columns, score and predicted."""
+    keep = kept_beside(keep, ("score", "predicted"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(f"`{text}`").cast("string").alias("_text"), *[F.col(f"`{c}`") for c in keep])
     fields = [f"`{c}` {t}" for c, t in rows.dtypes[1:]]

@@ -28,7 +28,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capaflow.llm.common import staged
+from capaflow.llm.common import kept_beside, staged
 
 
 @dataclass(frozen=True)
@@ -194,6 +194,7 @@ def rule_spans(text: str, rule: Rule, number: int) -> Column:
 
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per row the kept columns, ``_text`` and ``_spans``: all spans (s, k, e) in order."""
+    keep = kept_beside(keep, ("_text", "_spans"))
     rows = docs.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
                        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
     queries = [(k, q) for k, r in enumerate(rules) if (q := trigram_query(r.pattern)) is not True]

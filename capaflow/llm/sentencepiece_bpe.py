@@ -36,11 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capaflow.llm.common import checked_columns
+from capaflow.llm.common import kept_beside
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-WORD_MEMORY = 150_000    # words remembered by a worker, twice; others are encoded again
+WORD_MEMORY = 400_000    # words remembered by a worker, twice; others are encoded again
 PAIR_MEMORY = 1_000_000  # compatibility answers remembered by a worker
 
 
@@ -255,9 +255,6 @@ def load(serialized: bytes) -> Encoder:
     return _encoders[key]
 
 
-SCHEMA = "n_tokens long, ids string, decoded string"
-
-
 def encode_decode(docs: DataFrame, model_file: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
                   digests: bool = False) -> DataFrame:
     """Per row: the kept columns, n_tokens, the ids joined by commas and the decoded text.
@@ -268,11 +265,10 @@ def encode_decode(docs: DataFrame, model_file: str, text: str = "text", keep: tu
     """
     with open(model_file, "rb") as f:
         serialized = f.read()
-    rows = checked_columns(docs, *dict.fromkeys((*keep, text))) if text in keep else docs.select(
-        *[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`"))
     names = ("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("n_tokens", "ids", "decoded")
-    fields = [f"`{c}` {t}" for c, t in rows.select(*[F.col(f"`{c}`") for c in keep]).dtypes]
-    schema = ", ".join([*fields, f"{names[0]} long", f"{names[1]} string", f"{names[2]} string"])
+    keep = kept_beside(keep, names)
+    rows = docs.select(F.col(f"`{text}`").cast("string").alias("_text"), *[F.col(f"`{c}`") for c in keep])
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes[1:]), f"{names[0]} long", f"{names[1]} string", f"{names[2]} string"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load(serialized)
@@ -281,14 +277,14 @@ def encode_decode(docs: DataFrame, model_file: str, text: str = "text", keep: tu
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 n, ids, back = [], [], []
-                for t in part.column(len(part.columns) - 1 if text not in keep else keep.index(text)):
+                for t in part.column(0):
                     tokens, joined = encoder.encode_joined(t.as_py() or "")
                     decoded = encoder.decode(tokens)
                     n.append(len(tokens))
                     ids.append(sha(joined) if digests else joined)
                     back.append(sha(decoded) if digests else decoded)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:len(keep)], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
+                    [*part.columns[1:], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
                     names=[*keep, *names])
 
     return rows.mapInArrow(work, schema)
