@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from capaflow.llm import (fingerprints, html_text, language_id, licence_scan, minmax_dedup, mixing, pstable_dedup,
                           quality_classifier, secret_scan, sentencepiece_bpe)
 from capaflow.llm.common import held_out, table
+from capaflow.llm.oracles import ORACLES  # noqa: F401
 
 TOKENIZER_MODEL = "piece_bpe_32k.model"
 
@@ -104,4 +105,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
-ORACLES: dict[str, str] = {"op1_licences": licence_scan.oracle_sql()}
