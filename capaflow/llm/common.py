@@ -60,8 +60,8 @@ def splitmix(x: np.ndarray) -> np.ndarray:
 
 def random_words(n: int, seed: int) -> np.ndarray:
     """``n`` fixed pseudo-random 64-bit words."""
-    start = np.uint64((seed * 0x9E3779B97F4A7C15) & _MASK)
     with np.errstate(over="ignore"):
+        start = splitmix(np.array([seed * 0xD1342543DE82EF95 & _MASK], np.uint64))  # streams of different seeds are apart
         return splitmix(start + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 

@@ -59,6 +59,8 @@ def text_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     code = np.where(letter, code, np.uint32(32))
     keep = np.ones(len(code), bool)
     keep[1:] = letter[1:] | edge[1:] | ~gap[:-1]
+    code, edge, letter = code[keep], edge[keep], letter[keep]
+    keep = letter | edge | ~np.append(edge[1:], True)  # a gap before the edge is the edge's
     code, edge, letter = code[keep].astype(np.uint64), edge[keep], letter[keep]
     row = np.cumsum(edge) - 1
     has_letter = np.bincount(row[letter], minlength=len(texts) + 1)[:len(texts)] > 0

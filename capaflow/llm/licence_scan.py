@@ -39,12 +39,13 @@ SPELLINGS = (
     ("catalogue", "catalog"), ("categorise", "categorize"), ("centre", "center"), ("copyright owner", "copyright holder"),
     ("emphasised", "emphasized"), ("favour", "favor"), ("favourite", "favorite"), ("fulfil", "fulfill"),
     ("fulfilment", "fulfillment"), ("https", "http"), ("initialise", "initialize"), ("judgement", "judgment"),
-    ("labelling", "labeling"), ("labour", "labor"), ("licence", "license"), ("licenced", "licensed"), ("maximise", "maximize"),
+    ("labelling", "labeling"), ("labour", "labor"), ("licence", "license"), ("licences", "licenses"),
+    ("licenced", "licensed"), ("maximise", "maximize"),
     ("modelled", "modeled"), ("modelling", "modeling"), ("non commercial", "noncommercial"),
     ("non infringement", "noninfringement"), ("offence", "offense"), ("optimise", "optimize"), ("organisation", "organization"),
     ("organise", "organize"), ("per cent", "percent"), ("practise", "practice"), ("programme", "program"),
     ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"), ("sub license", "sublicense"),
-    ("sub licence", "sublicense"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"),
+    ("sub licence", "sublicense"), ("sublicence", "sublicense"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"),
 )
 
 
