@@ -49,52 +49,44 @@ def set_01(spark, sf_dir):
 
 
 def _caps(spark, sf_dir):
-    r = plan_results(spark, sf_dir)
-    return R.weekly_capacities(R.used_capacity_images(r.caps.used_after_driver,
-                                                      r.caps.used_after_residual))
+    return plan_results(spark, sf_dir).weekly_caps
 
 
 @query("alc_16")
 def alc_16(spark, sf_dir):
     """Latest used-capacity image per (driver, geo key, week)."""
-    return _caps(spark, sf_dir)
+    r = plan_results(spark, sf_dir)
+    return R.weekly_capacities(R.used_capacity_images(r.caps.used_after_driver, r.caps.used_after_residual))
 
 
 @query("join_12")
 def join_12(spark, sf_dir):
     """Used capacities with the province of the week's shipments (cap or province match)."""
-    r = plan_results(spark, sf_dir)
-    return R.capacities_with_province(_caps(spark, sf_dir), R.cutoff(r.ledger))
+    return R.capacities_with_province(_caps(spark, sf_dir), R.cutoff(plan_results(spark, sf_dir).ledger))
 
 
 @query("set_02")
 def set_02(spark, sf_dir):
     """Distinct (week, geo key, province) pairs of the weekly cutoff."""
-    cut = R.cutoff(plan_results(spark, sf_dir).ledger)
-    return (cut.select("delivery_week", F.col("cap").alias("geo_key"), "province")
-            .unionByName(cut.select("delivery_week", F.col("province").alias("geo_key"), "province"))
-            .distinct())
+    return R.geo_provinces(R.cutoff(plan_results(spark, sf_dir).ledger))
 
 
 @query("join_13")
 def join_13(spark, sf_dir):
     """Overflow rows: pushed requests of the cutoff matched to saturated capacities."""
-    r = plan_results(spark, sf_dir)
-    return R.overflow_rows(r.ledger, _caps(spark, sf_dir), R.cutoff(r.ledger)).distinct()
+    return R.overflow_rows(plan_results(spark, sf_dir).ledger, _caps(spark, sf_dir))
 
 
 @query("agg_15")
 def agg_15(spark, sf_dir):
     """Distinct overflowing requests per (week, driver, geo key)."""
-    r = plan_results(spark, sf_dir)
-    return R.overflow_counts(R.overflow_rows(r.ledger, _caps(spark, sf_dir), R.cutoff(r.ledger)))
+    return R.overflow_counts(R.overflow_rows(plan_results(spark, sf_dir).ledger, _caps(spark, sf_dir)))
 
 
 @query("rpt_02")
 def rpt_02(spark, sf_dir):
     """Weekly driver x geo key report with overflow where saturated."""
-    r = plan_results(spark, sf_dir)
-    return R.driver_report(r.ledger, r.caps.used_after_driver, r.caps.used_after_residual)
+    return R.driver_report(plan_results(spark, sf_dir).ledger, _caps(spark, sf_dir))
 
 
 @query("alc_18")
@@ -161,6 +153,6 @@ def src_09(spark, sf_dir):
     rep = rpt_02(spark, sf_dir)
     out = rep.select(*[F.col(c).cast("string").alias(c) for c in rep.columns])
     base = sinks.output_dir(spark, "reports")
-    path = f"{base}/SettimanaleRecapitista"
+    path = f"{base}/driver_weekly"
     out.write.mode("overwrite").option("header", True).partitionBy("delivery_week").csv(path)
     return sinks.read_csv_strings(spark, path, out.columns)

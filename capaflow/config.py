@@ -38,7 +38,7 @@ SWITCH_OFF_EXECUTION_LIMIT = 5000
 DELIVERY_WEEKDAY = "Mon"
 
 # --- fixed values: the report source table names ------------------------------
-CDC_TIMELINE_TABLE = "pn-Timelines"
+CDC_TIMELINE_TABLE = "timelines"
 CANCELLATION_CATEGORY = "NOTIFICATION_CANCELLATION_REQUEST"
 PREPARE_CATEGORIES = ["PREPARE_ANALOG_DOMICILE", "PREPARE_SIMPLE_REGISTERED_LETTER"]
 

@@ -1,13 +1,13 @@
 """Weekly dashboard reports, computed for every week of the ledger at once.
 
-RPT-01 (sender x province x product) combines six per-key aggregates. The
-original chains five FULL JOINs to the first input and re-groups; here the
-six aggregates are tagged, ``unionByName``-ed and grouped once (JOIN-11):
-one shuffle on the key instead of five joins.
-
-RPT-02 (driver x geo key) needs two ``a = x OR a = y`` joins, which Spark
-can only plan as nested loops; both are rewritten as the union of two
-equi-joins on de-duplicated keys (JOIN-12, JOIN-13).
+RPT-01 (sender x province x product): one pass over the ledger marks, per
+(week, key, request), in which steps the request was; counting the marks gives every
+column of the report. Declared values join in as rows of the same shape, so
+the whole report is one ``groupBy`` on (key, request) and one on the key.
+
+RPT-02 (driver x geo key): a shipment belongs to two geo keys, its cap and its
+province. Exploding the two keys once turns every "cap or province" match
+into one equi-join.
 """
 
 from __future__ import annotations
@@ -25,28 +25,47 @@ def _step(ledger: DataFrame, step: str) -> DataFrame:
     return ledger.filter(F.col("workflow_step") == step)
 
 
-def _keyed(df: DataFrame) -> DataFrame:
-    return df.withColumnRenamed("sender_pa_id", "pa_id")
+def _week_marks(ledger: DataFrame) -> DataFrame:
+    """Ledger rows as marks on (week, request).
 
+    A sender-step row of week w marks w as input and, if it carries on, w - 7 as
+    "back in next week's queue"; print and phase-2 rows mark their own week.
+    """
+    step = F.col("workflow_step")
+    week = F.col("delivery_week")
+    marks = F.when(step == C.STEP_SENDER, F.array(
+        F.struct(week.alias("delivery_week"), F.lit("input").alias("mark")),
+        F.struct(F.date_sub(week, 7).alias("delivery_week"), F.lit("again").alias("mark")))) \
+        .when(step == C.STEP_PRINT, F.array(F.struct(week.alias("delivery_week"), F.lit("passed").alias("mark")))) \
+        .when(step == C.STEP_PHASE_2, F.array(F.struct(week.alias("delivery_week"), F.lit("phase_2").alias("mark"))))
+    return (ledger.select("request_id", F.col("sender_pa_id").alias("pa_id"), "province", "product_type", "attempt",
+                          F.explode(marks).alias("m"))
+            .select("m.delivery_week", "pa_id", "province", "product_type", "request_id", "attempt", "m.mark"))
 
-def sender_counts(ledger: DataFrame) -> DataFrame:
-    """AGG-13: distinct requests, distinct RS, distinct second attempts of the
-    week's sender-step input per key (conditional distinct counts)."""
-    t = _keyed(_step(ledger, C.STEP_SENDER))
-    return t.groupBy(*KEY).agg(
-        F.count_distinct("request_id").alias("shipments"),
-        F.count_distinct(F.when(F.col("product_type") == "RS", F.col("request_id"))).alias("rs"),
-        F.count_distinct(F.when(F.col("attempt") == 1, F.col("request_id"))).alias("second_attempts"))
 
+def request_flags(ledger: DataFrame) -> DataFrame:
+    """One row per (week, key, request): its part in the week."""
+    mark, second = F.col("mark"), F.coalesce(F.col("attempt") == 1, F.lit(False))
+
+    def some(cond: Column) -> Column:
+        return F.coalesce(F.bool_or(cond), F.lit(False))
 
-def passed_counts(ledger: DataFrame) -> DataFrame:
-    return (_keyed(_step(ledger, C.STEP_PRINT)).groupBy(*KEY)
-            .agg(F.count_distinct("request_id").alias("passed")))
+    flags = _week_marks(ledger).groupBy(*KEY, "request_id").agg(
+        some((mark == "input") & second).alias("in_second"), some((mark == "input") & ~second).alias("in_first"),
+        some((mark == "again") & second).alias("again_second"), some((mark == "again") & ~second).alias("again_first"),
+        some(mark == "passed").alias("passed"), some(mark == "phase_2").alias("phase_2"))
+    second_back = F.col("in_second") & F.col("again_second")
+    return flags.select(*KEY, "request_id", (F.col("in_first") | F.col("in_second")).alias("is_input"), "in_second",
+                        (second_back | (F.col("in_first") & F.col("again_first"))).alias("is_back"),
+                        second_back.alias("second_back"), "passed", "phase_2")
 
 
-def phase2_counts(ledger: DataFrame) -> DataFrame:
-    return (_keyed(_step(ledger, C.STEP_PHASE_2)).groupBy(*KEY)
-            .agg(F.count_distinct("request_id").alias("in_prepare_phase_2")))
+def sender_counts(ledger: DataFrame) -> DataFrame:
+    """AGG-13: distinct requests, distinct RS, distinct second attempts of the week's input per key."""
+    flags = request_flags(_step(ledger, C.STEP_SENDER)).filter("is_input")
+    rs = F.col("product_type") == "RS"
+    return flags.groupBy(*KEY).agg(F.count(F.lit(1)).alias("shipments"), F.count_if(rs).alias("rs"),
+                                   F.count_if("in_second").alias("second_attempts"))
 
 
 def not_passed(ledger: DataFrame) -> DataFrame:
@@ -58,16 +77,6 @@ def not_passed(ledger: DataFrame) -> DataFrame:
     return nxt.intersect(cur)
 
 
-def not_passed_counts(ledger: DataFrame) -> DataFrame:
-    n = _keyed(not_passed(ledger))
-    return n.groupBy(*KEY).agg(
-        F.count_distinct("request_id").alias("not_passed"),
-        F.count_distinct(F.when(F.col("attempt") == 1, F.col("request_id")))
-         .alias("not_passed_second_attempts"),
-        F.count_distinct(F.when(F.col("product_type") == "RS", F.col("request_id")))
-         .alias("not_passed_rs"))
-
-
 def estimate_view(estimates: DataFrame) -> DataFrame:
     """Declared estimates of the week (latest image per key: unique here)."""
     return estimates.select(F.col("delivery_date").alias("delivery_week"), "pa_id", "province",
@@ -84,35 +93,37 @@ def limit_view(used_limits: DataFrame) -> DataFrame:
 
 MAX_COLS = ["monthly_regional_estimate", "monthly_provincial_estimate",
             "weekly_provincial_estimate", "guaranteed_limit"]
-SUM_COLS = ["shipments", "rs", "second_attempts", "passed", "not_passed",
-            "not_passed_second_attempts", "not_passed_rs", "in_prepare_phase_2"]
 
 
-def tagged_inputs(ledger: DataFrame, estimates: DataFrame, used_limits: DataFrame) -> list[DataFrame]:
-    return [estimate_view(estimates), limit_view(used_limits), sender_counts(ledger),
-            passed_counts(ledger), not_passed_counts(ledger), phase2_counts(ledger)]
+def _report_rows(ledger: DataFrame, estimates: DataFrame, used_limits: DataFrame) -> DataFrame:
+    """Flags of requests and declared values, one kind of row per input."""
+    flags = request_flags(ledger)
+    return (flags.unionByName(estimate_view(estimates).withColumn("declared", F.lit(True)), allowMissingColumns=True)
+            .unionByName(limit_view(used_limits).withColumn("limited", F.lit(True)), allowMissingColumns=True))
+
+
+#: Only keys that some input of the report holds: a queue row of a later week alone is none.
+_HELD = "declared or limited or is_input or passed or phase_2"
 
 
 def key_coverage(ledger: DataFrame, estimates: DataFrame, used_limits: DataFrame) -> DataFrame:
-    """JOIN-11: which of the six inputs hold each key (the full-join coverage)."""
-    names = ["in_estimates", "in_limits", "in_total", "in_passed", "in_not_passed", "in_phase_2"]
-    parts = [df.select(*KEY, F.lit(i).alias("src")) for i, df in
-             enumerate(tagged_inputs(ledger, estimates, used_limits))]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    srcs = F.collect_set("src")
-    return u.groupBy(*KEY).agg(*[F.array_contains(srcs, i).alias(n) for i, n in enumerate(names)])
+    """JOIN-11: which of the six inputs hold each key."""
+    rows = _report_rows(ledger, estimates, used_limits).filter(_HELD)
+    names = {"in_estimates": "declared", "in_limits": "limited", "in_total": "is_input", "in_passed": "passed",
+             "in_not_passed": "is_back", "in_phase_2": "phase_2"}
+    return rows.groupBy(*KEY).agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in names.items()])
 
 
 def sender_report(ledger: DataFrame, estimates: DataFrame, used_limits: DataFrame) -> DataFrame:
-    """RPT-01 / AGG-14: MAX of declared values, SUM of counts, 0 when absent."""
-    u = None
-    for df in tagged_inputs(ledger, estimates, used_limits):
-        u = df if u is None else u.unionByName(df, allowMissingColumns=True)
-    aggs = [F.coalesce(F.max(c), F.lit(0)).alias(c) for c in MAX_COLS] + \
-           [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in SUM_COLS]
-    return u.groupBy(*KEY).agg(*aggs)
+    """RPT-01 / AGG-14: largest declared values, counts of distinct requests, 0 when absent."""
+    rows = _report_rows(ledger, estimates, used_limits).filter(_HELD)
+    rs = F.col("product_type") == "RS"
+    return rows.groupBy(*KEY).agg(
+        *[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in MAX_COLS],
+        F.count_if("is_input").alias("shipments"), F.count_if(F.col("is_input") & rs).alias("rs"),
+        F.count_if("in_second").alias("second_attempts"), F.count_if("passed").alias("passed"),
+        F.count_if("is_back").alias("not_passed"), F.count_if("second_back").alias("not_passed_second_attempts"),
+        F.count_if(F.col("is_back") & rs).alias("not_passed_rs"), F.count_if("phase_2").alias("in_prepare_phase_2"))
 
 
 # --- RPT-02 -------------------------------------------------------------------------
@@ -132,37 +143,43 @@ def weekly_capacities(images: DataFrame) -> DataFrame:
                         "approx_creation_time").drop("approx_creation_time")
 
 
+def _geo_keys() -> Column:
+    """Both geo keys of a shipment, once each."""
+    return F.explode(F.array_distinct(F.array("cap", "province"))).alias("geo_key")
+
+
 def cutoff(ledger: DataFrame) -> DataFrame:
     return _step(ledger, C.STEP_SENDER).select("delivery_week", "request_id", "cap", "province")
 
 
+def geo_provinces(cut: DataFrame) -> DataFrame:
+    """SET-02: distinct (week, geo key, province) of the week's shipments."""
+    return cut.select("delivery_week", _geo_keys(), "province").distinct()
+
+
 def capacities_with_province(caps: DataFrame, cut: DataFrame) -> DataFrame:
-    """JOIN-12 / SET-02: capacity rows with the province of the week's shipments
-    whose cap *or* province equals the geo key -- as two equi-joins on a
-    de-duplicated (week, geo key) -> province map, then left join + distinct."""
-    keymap = (cut.select("delivery_week", F.col("cap").alias("geo_key"), "province")
-              .unionByName(cut.select("delivery_week", F.col("province").alias("geo_key"), "province"))
-              .distinct())
-    return caps.join(keymap, ["delivery_week", "geo_key"], "left").distinct()
-
-
-def overflow_rows(ledger: DataFrame, caps: DataFrame, cut: DataFrame) -> DataFrame:
-    """JOIN-13: next week's sender rows of this week's cutoff requests, matched to
-    saturated capacities (used = declared) by cap or by province."""
-    t1 = (_step(ledger, C.STEP_SENDER)
-          .select(F.date_sub("delivery_week", 7).alias("delivery_week"), "request_id",
-                  "unified_delivery_driver", "cap", "province")
-          .join(cut.select("delivery_week", "request_id"), ["delivery_week", "request_id"], "left_semi"))
-    sat = (caps.filter(F.col("used_capacity") == F.col("declared_capacity"))
-               .select("delivery_week", "unified_delivery_driver", "geo_key"))
-    by_cap = t1.join(sat, (t1.delivery_week == sat.delivery_week)
-                     & (t1.unified_delivery_driver == sat.unified_delivery_driver)
-                     & (t1.cap == sat.geo_key))
-    by_prov = t1.join(sat, (t1.delivery_week == sat.delivery_week)
-                      & (t1.unified_delivery_driver == sat.unified_delivery_driver)
-                      & (t1.province == sat.geo_key))
-    cols = [t1.delivery_week, t1.unified_delivery_driver, sat.geo_key, t1.request_id]
-    return by_cap.select(*cols).unionByName(by_prov.select(*cols))
+    """JOIN-12: capacity rows with the provinces of the week's shipments under their geo key."""
+    return caps.join(geo_provinces(cut), ["delivery_week", "geo_key"], "left")
+
+
+def overflow_rows(ledger: DataFrame, caps: DataFrame) -> DataFrame:
+    """JOIN-13: requests of a week that are queued again next week, under each saturated geo key (used = declared)."""
+    sender = _step(ledger, C.STEP_SENDER)
+    here = F.bool_or(F.col("shift") == 0)
+    # one shuffle on (week, request): was it input of the week, and who was to deliver it next week
+    both = sender.select("request_id", "unified_delivery_driver", "cap", "province",
+                         F.explode(F.array(F.struct(F.col("delivery_week").alias("w"), F.lit(0).alias("shift")),
+                                           F.struct(F.date_sub("delivery_week", 7).alias("w"), F.lit(1).alias("shift")))).alias("x"))
+    again = (both.select(F.col("x.w").alias("delivery_week"), "request_id", F.col("x.shift").alias("shift"),
+                         F.when(F.col("x.shift") == 1, F.struct("unified_delivery_driver", "cap", "province")).alias("next"))
+             .groupBy("delivery_week", "request_id").agg(here.alias("here"), F.collect_set("next").alias("next"))
+             .filter("here").select("delivery_week", "request_id", F.explode("next").alias("n"))
+             .select("delivery_week", "request_id", "n.*"))
+    full = (caps.filter(F.col("used_capacity") == F.col("declared_capacity"))
+            .select("delivery_week", "unified_delivery_driver", "geo_key"))
+    keyed = again.select("delivery_week", "unified_delivery_driver", "request_id", _geo_keys())
+    return keyed.join(full, ["delivery_week", "unified_delivery_driver", "geo_key"]).select(
+        "delivery_week", "unified_delivery_driver", "geo_key", "request_id")
 
 
 def overflow_counts(rows: DataFrame) -> DataFrame:
@@ -171,14 +188,11 @@ def overflow_counts(rows: DataFrame) -> DataFrame:
                 .agg(F.count_distinct("request_id").alias("overflow")))
 
 
-def driver_report(ledger: DataFrame, used_after_driver: DataFrame,
-                  used_after_residual: DataFrame) -> DataFrame:
+def driver_report(ledger: DataFrame, caps: DataFrame) -> DataFrame:
     """RPT-02: declared, used, province and overflow per (week, driver, geo key)."""
-    caps = weekly_capacities(used_capacity_images(used_after_driver, used_after_residual))
-    cut = cutoff(ledger)
-    cwp = capacities_with_province(caps, cut)
-    ecc = overflow_counts(overflow_rows(ledger, caps, cut))
-    return cwp.join(ecc, ["delivery_week", "unified_delivery_driver", "geo_key"], "left")
+    overflow = overflow_counts(overflow_rows(ledger, caps))
+    return (capacities_with_province(caps, cutoff(ledger))
+            .join(overflow, ["delivery_week", "unified_delivery_driver", "geo_key"], "left"))
 
 
 def report_order() -> list[Column]:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from capaflow.operators.ledger import ledger_history
+from capaflow.plans import reports as R
 from capaflow.plans import weekly as W
 
 _CACHE: dict = {}
@@ -25,10 +26,16 @@ class PlanResults:
     caps: W.CapacitySteps
     released: DataFrame
     ledger: DataFrame
+    weekly_caps: DataFrame
+
+
+def session_key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Key of per-session state: the application's id, which no later one has, and the input folder."""
+    return spark.sparkContext.applicationId, sf_dir
 
 
 def plan_results(spark: SparkSession, sf_dir: str) -> PlanResults:
-    key = (id(spark), sf_dir)
+    key = session_key(spark, sf_dir)
     if key not in _CACHE:
         inp = W.load_inputs(spark, sf_dir)
         snd = W.sender_step(inp)
@@ -36,7 +43,8 @@ def plan_results(spark: SparkSession, sf_dir: str) -> PlanResults:
         rel = W.print_step(caps, inp.print_config)
         hist = W.materialize(ledger_history(inp.shipments, snd.split, caps.driver,
                                             caps.residual, rel))
-        _CACHE[key] = PlanResults(inp, snd, caps, rel, hist)
+        weekly = W.small(R.weekly_capacities(R.used_capacity_images(caps.used_after_driver, caps.used_after_residual)))
+        _CACHE[key] = PlanResults(inp, snd, caps, rel, hist, weekly)
     return _CACHE[key]
 
 

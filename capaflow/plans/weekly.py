@@ -49,7 +49,7 @@ def load_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
     executor loss and cuts the derivation lineage, so every later plan starts
     from a short scan instead of re-embedding the five-table join.
     """
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INPUTS:
         shp = materialize(T.shipments(spark, sf_dir), force=True)
         cov = materialize(T.driver_coverage(spark, sf_dir), force=True)
@@ -109,7 +109,7 @@ def sender_step(inp: Inputs) -> SenderStep:
     assigned = K.with_priority(D.assign_driver(shp, inp.coverage))
     enriched = D.sole_driver_shortcut(assigned, comps)
     totals = S.estimate_totals(inp.estimates)
-    limits = S.sender_limits(inp.estimates, net, totals)
+    limits = small(S.sender_limits(inp.estimates, net, totals))
     split = materialize(S.split_by_sender_limit(enriched, limits, row_bound=row_bound(shp)))
     return SenderStep(enriched, comps, net, excl, totals, limits, split)
 
@@ -129,7 +129,7 @@ def capacity_steps(split: DataFrame, capacity: DataFrame) -> CapacitySteps:
     used1 = materialize(A.used_capacity(drv))
     res = materialize(A.allocate(split.filter(F.col("next_step") == C.STEP_RESIDUAL),
                                  capacity, C.STEP_RESIDUAL, used=used1, row_bound=bound))
-    used2 = A.used_capacity(res, previous=used1)
+    used2 = small(A.used_capacity(res, previous=used1))
     return CapacitySteps(drv, used1, res, used2)
 
 

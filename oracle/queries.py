@@ -425,117 +425,101 @@ q("mnt_02", *HISTORY, TAIL, select="""
 SELECT pk, count(*) AS n FROM ledger WHERE request_id NOT IN (SELECT request_id FROM tail) GROUP BY pk""")
 
 # ====================== reports ======================
+# Each week's part of a request, from the definition of the report: one row per (week, key, request).
 REPORT = """
-r_commessa AS (
-  SELECT delivery_date AS delivery_week, pa_id, province, product_type,
-         original_estimate, monthly_estimate, weekly_estimate FROM estimates),
-r_limite AS (
+part AS (
+  SELECT delivery_week, sender_pa_id AS pa_id, province, product_type, request_id, attempt,
+         CASE workflow_step WHEN 'EVALUATE_SENDER_LIMIT' THEN 1 WHEN 'EVALUATE_PRINT_CAPACITY' THEN 2
+                            WHEN 'SENT_TO_PREPARE_PHASE_2' THEN 3 END AS place
+  FROM ledger),
+queued AS (SELECT DISTINCT * EXCLUDE (place) FROM part WHERE place = 1),
+back AS (SELECT q.* FROM queued q WHERE EXISTS (
+  SELECT 1 FROM queued n WHERE n.request_id = q.request_id AND n.delivery_week = q.delivery_week + 7
+     AND n.pa_id = q.pa_id AND n.province = q.province AND n.product_type = q.product_type AND n.attempt = q.attempt)),
+marks AS (
+  SELECT delivery_week, pa_id, province, product_type, request_id,
+         bool_or(m = 'q') AS was_queued, bool_or(m = 'q' AND attempt = 1) AS queued_second,
+         bool_or(m = 'b') AS came_back, bool_or(m = 'b' AND attempt = 1) AS second_came_back,
+         bool_or(m = 'p') AS was_printed, bool_or(m = 'f') AS was_prepared
+  FROM (SELECT *, 'q' AS m FROM queued UNION ALL SELECT *, 'b' FROM back
+        UNION ALL SELECT * EXCLUDE (place), CASE place WHEN 2 THEN 'p' ELSE 'f' END FROM part WHERE place > 1)
+  GROUP BY ALL),
+guarantee AS (
   SELECT delivery_week, sender_pa_id AS pa_id, province, product_type, max(sender_limit) AS sender_limit
   FROM sender_split WHERE NOT exempt AND next_step = 'EVALUATE_DRIVER_CAPACITY' GROUP BY ALL),
-r_total AS (
-  SELECT delivery_week, sender_pa_id, province, product_type,
-         count(DISTINCT request_id) AS spedizioni,
-         count(DISTINCT CASE WHEN product_type = 'RS' THEN request_id END) AS rs,
-         count(DISTINCT CASE WHEN attempt = 1 THEN request_id END) AS secondi_tentativi
-  FROM ledger WHERE workflow_step = 'EVALUATE_SENDER_LIMIT' GROUP BY ALL),
-r_passed AS (
-  SELECT delivery_week, sender_pa_id, province, product_type, count(DISTINCT request_id) AS tot_passed
-  FROM ledger WHERE workflow_step = 'EVALUATE_PRINT_CAPACITY' GROUP BY ALL),
-r_np_rows AS (
-  SELECT delivery_week - 7 AS delivery_week, request_id, attempt, product_type, sender_pa_id, province
-  FROM ledger WHERE workflow_step = 'EVALUATE_SENDER_LIMIT'
-  INTERSECT
-  SELECT delivery_week, request_id, attempt, product_type, sender_pa_id, province
-  FROM ledger WHERE workflow_step = 'EVALUATE_SENDER_LIMIT'),
-r_not_passed AS (
-  SELECT delivery_week, sender_pa_id, province, product_type,
-         count(DISTINCT request_id) AS tot_not_passed,
-         count(DISTINCT CASE WHEN attempt = 1 THEN request_id END) AS tot_not_passed_sec_tent,
-         count(DISTINCT CASE WHEN product_type = 'RS' THEN request_id END) AS tot_not_passed_rs
-  FROM r_np_rows GROUP BY ALL),
-r_fase2 AS (
-  SELECT delivery_week, sender_pa_id, province, product_type, count(DISTINCT request_id) AS in_prepare_fase_2
-  FROM ledger WHERE workflow_step = 'SENT_TO_PREPARE_PHASE_2' GROUP BY ALL),
-r_joined AS (
-  SELECT coalesce(c.delivery_week, l.delivery_week, t.delivery_week, p.delivery_week, n.delivery_week, f.delivery_week) AS delivery_week,
-         coalesce(c.pa_id, t.sender_pa_id, p.sender_pa_id, n.sender_pa_id, l.pa_id, f.sender_pa_id) AS pa_id,
-         coalesce(c.province, t.province, p.province, n.province, l.province, f.province) AS province,
-         coalesce(c.product_type, t.product_type, p.product_type, n.product_type, l.product_type, f.product_type) AS product_type,
-         c.original_estimate, c.monthly_estimate, c.weekly_estimate, l.sender_limit,
-         t.spedizioni, t.rs, t.secondi_tentativi, p.tot_passed, n.tot_not_passed,
-         n.tot_not_passed_sec_tent, n.tot_not_passed_rs, f.in_prepare_fase_2
-  FROM r_commessa c
-  FULL JOIN r_limite l ON c.delivery_week = l.delivery_week AND c.pa_id = l.pa_id AND c.province = l.province AND c.product_type = l.product_type
-  FULL JOIN r_total t ON c.delivery_week = t.delivery_week AND c.pa_id = t.sender_pa_id AND c.province = t.province AND c.product_type = t.product_type
-  FULL JOIN r_passed p ON c.delivery_week = p.delivery_week AND c.pa_id = p.sender_pa_id AND c.province = p.province AND c.product_type = p.product_type
-  FULL JOIN r_not_passed n ON c.delivery_week = n.delivery_week AND c.pa_id = n.sender_pa_id AND c.province = n.province AND c.product_type = n.product_type
-  FULL JOIN r_fase2 f ON c.delivery_week = f.delivery_week AND c.pa_id = f.sender_pa_id AND c.province = f.province AND c.product_type = f.product_type)
+report_keys AS (
+  SELECT delivery_week, pa_id, province, product_type FROM marks
+  UNION SELECT delivery_date, pa_id, province, product_type FROM estimates
+  UNION SELECT delivery_week, pa_id, province, product_type FROM guarantee),
+counted AS (
+  SELECT delivery_week, pa_id, province, product_type,
+         count(*) FILTER (was_queued) AS shipments, count(*) FILTER (was_queued AND product_type = 'RS') AS rs,
+         count(*) FILTER (queued_second) AS second_attempts, count(*) FILTER (was_printed) AS passed,
+         count(*) FILTER (came_back) AS not_passed, count(*) FILTER (second_came_back) AS not_passed_second_attempts,
+         count(*) FILTER (came_back AND product_type = 'RS') AS not_passed_rs,
+         count(*) FILTER (was_prepared) AS in_prepare_phase_2
+  FROM marks GROUP BY ALL),
+full_report AS (
+  SELECT k.*, e.original_estimate, e.monthly_estimate, e.weekly_estimate, g.sender_limit,
+         c.* EXCLUDE (delivery_week, pa_id, province, product_type)
+  FROM report_keys k
+  LEFT JOIN (SELECT * EXCLUDE (delivery_date), delivery_date AS delivery_week FROM estimates) e
+       USING (delivery_week, pa_id, province, product_type)
+  LEFT JOIN guarantee g USING (delivery_week, pa_id, province, product_type)
+  LEFT JOIN counted c USING (delivery_week, pa_id, province, product_type))
 """
 
+_COUNTS = ["shipments", "rs", "second_attempts", "passed", "not_passed", "not_passed_second_attempts",
+           "not_passed_rs", "in_prepare_phase_2"]
 SENDER_REPORT = f"""
 SELECT {d('delivery_week')} AS delivery_week, pa_id, province, product_type,
-       CAST(coalesce(max(original_estimate), 0) AS BIGINT) AS monthly_regional_estimate,
-       coalesce(max(monthly_estimate), 0) AS monthly_provincial_estimate,
-       CAST(coalesce(max(weekly_estimate), 0) AS BIGINT) AS weekly_provincial_estimate,
-       CAST(coalesce(max(sender_limit), 0) AS BIGINT) AS guaranteed_limit,
-       CAST(coalesce(sum(spedizioni), 0) AS BIGINT) AS shipments,
-       CAST(coalesce(sum(rs), 0) AS BIGINT) AS rs,
-       CAST(coalesce(sum(secondi_tentativi), 0) AS BIGINT) AS second_attempts,
-       CAST(coalesce(sum(tot_passed), 0) AS BIGINT) AS passed,
-       CAST(coalesce(sum(tot_not_passed), 0) AS BIGINT) AS not_passed,
-       CAST(coalesce(sum(tot_not_passed_sec_tent), 0) AS BIGINT) AS not_passed_second_attempts,
-       CAST(coalesce(sum(tot_not_passed_rs), 0) AS BIGINT) AS not_passed_rs,
-       CAST(coalesce(sum(in_prepare_fase_2), 0) AS BIGINT) AS in_prepare_phase_2
-FROM r_joined GROUP BY delivery_week, pa_id, province, product_type"""
+       CAST(coalesce(original_estimate, 0) AS BIGINT) AS monthly_regional_estimate,
+       coalesce(monthly_estimate, 0) AS monthly_provincial_estimate,
+       CAST(coalesce(weekly_estimate, 0) AS BIGINT) AS weekly_provincial_estimate,
+       CAST(coalesce(sender_limit, 0) AS BIGINT) AS guaranteed_limit,
+       {", ".join(f"coalesce({c}, 0) AS {c}" for c in _COUNTS)}
+FROM full_report"""
 
 q("rpt_01", *HISTORY, REPORT, select=SENDER_REPORT)
 q("agg_14", *HISTORY, REPORT, select=SENDER_REPORT)
 
 q("join_11", *HISTORY, REPORT, select=f"""
-SELECT {d('k.delivery_week')} AS delivery_week, k.pa_id, k.province, k.product_type,
-       EXISTS (SELECT 1 FROM r_commessa x WHERE x.delivery_week = k.delivery_week AND x.pa_id = k.pa_id AND x.province = k.province AND x.product_type = k.product_type) AS in_estimates,
-       EXISTS (SELECT 1 FROM r_limite x WHERE x.delivery_week = k.delivery_week AND x.pa_id = k.pa_id AND x.province = k.province AND x.product_type = k.product_type) AS in_limits,
-       EXISTS (SELECT 1 FROM r_total x WHERE x.delivery_week = k.delivery_week AND x.sender_pa_id = k.pa_id AND x.province = k.province AND x.product_type = k.product_type) AS in_total,
-       EXISTS (SELECT 1 FROM r_passed x WHERE x.delivery_week = k.delivery_week AND x.sender_pa_id = k.pa_id AND x.province = k.province AND x.product_type = k.product_type) AS in_passed,
-       EXISTS (SELECT 1 FROM r_not_passed x WHERE x.delivery_week = k.delivery_week AND x.sender_pa_id = k.pa_id AND x.province = k.province AND x.product_type = k.product_type) AS in_not_passed,
-       EXISTS (SELECT 1 FROM r_fase2 x WHERE x.delivery_week = k.delivery_week AND x.sender_pa_id = k.pa_id AND x.province = k.province AND x.product_type = k.product_type) AS in_phase_2
-FROM (SELECT DISTINCT delivery_week, pa_id, province, product_type FROM r_joined) k""")
+SELECT {d('r.delivery_week')} AS delivery_week, r.pa_id, r.province, r.product_type,
+       r.weekly_estimate IS NOT NULL AS in_estimates, r.sender_limit IS NOT NULL AS in_limits,
+       coalesce(shipments > 0, false) AS in_total, coalesce(passed > 0, false) AS in_passed,
+       coalesce(not_passed > 0, false) AS in_not_passed, coalesce(in_prepare_phase_2 > 0, false) AS in_phase_2
+FROM full_report r""")
 
 q("agg_13", *HISTORY, REPORT, select=f"""
-SELECT {d('delivery_week')} AS delivery_week, sender_pa_id AS pa_id, province, product_type,
-       spedizioni AS shipments, rs, secondi_tentativi AS second_attempts FROM r_total""")
+SELECT {d('delivery_week')} AS delivery_week, pa_id, province, product_type, shipments, rs, second_attempts
+FROM counted WHERE shipments > 0""")
 
 q("set_01", *HISTORY, REPORT, select=f"""
 SELECT {d('delivery_week')} AS delivery_week, request_id, CAST(attempt AS BIGINT) AS attempt, product_type,
-       sender_pa_id, province FROM r_np_rows""")
+       pa_id AS sender_pa_id, province FROM back""")
 
+# Used capacity as last written, where each request is counted under its cap and under its province.
 DRIVER_REPORT = """
-u_images AS (
-  SELECT unified_delivery_driver, geo_key, delivery_week, used_capacity, declared_capacity, 1 AS t FROM used1
-  UNION ALL
-  SELECT unified_delivery_driver, geo_key, delivery_week, used_capacity, declared_capacity, 2 FROM used2),
 weekly_caps AS (
-  SELECT * EXCLUDE (rn, t) FROM (
-    SELECT *, row_number() OVER (PARTITION BY unified_delivery_driver, geo_key, delivery_week ORDER BY t DESC) AS rn
-    FROM u_images) WHERE rn = 1),
-cut AS (SELECT delivery_week, request_id, cap, province FROM ledger WHERE workflow_step = 'EVALUATE_SENDER_LIMIT'),
-caps_prov AS (
-  SELECT DISTINCT c.*, b.province FROM weekly_caps c
-  LEFT JOIN cut b ON b.delivery_week = c.delivery_week AND (c.geo_key = b.cap OR c.geo_key = b.province)),
-ovf_rows AS (
-  SELECT DISTINCT t1.delivery_week - 7 AS delivery_week, c.unified_delivery_driver, c.geo_key, t1.request_id
-  FROM ledger t1
-  JOIN cut b ON t1.request_id = b.request_id AND b.delivery_week = t1.delivery_week - 7
-  JOIN weekly_caps c ON t1.unified_delivery_driver = c.unified_delivery_driver AND c.delivery_week = t1.delivery_week - 7
-                    AND (t1.cap = c.geo_key OR t1.province = c.geo_key)
-  WHERE t1.workflow_step = 'EVALUATE_SENDER_LIMIT' AND c.used_capacity = c.declared_capacity),
-eccessi AS (
-  SELECT delivery_week, unified_delivery_driver, geo_key, count(DISTINCT request_id) AS overflow
-  FROM ovf_rows GROUP BY ALL),
+  SELECT coalesce(l.unified_delivery_driver, f.unified_delivery_driver) AS unified_delivery_driver,
+         coalesce(l.geo_key, f.geo_key) AS geo_key, coalesce(l.delivery_week, f.delivery_week) AS delivery_week,
+         coalesce(l.used_capacity, f.used_capacity) AS used_capacity,
+         coalesce(l.declared_capacity, f.declared_capacity) AS declared_capacity
+  FROM used2 l FULL JOIN used1 f USING (unified_delivery_driver, geo_key, delivery_week)),
+sender_queue AS (
+  SELECT DISTINCT delivery_week, request_id, unified_delivery_driver, geo_key, province
+  FROM (SELECT *, unnest([cap, province]) AS geo_key FROM ledger WHERE workflow_step = 'EVALUATE_SENDER_LIMIT')),
+geo AS (SELECT DISTINCT delivery_week, geo_key, province FROM sender_queue),
+caps_prov AS (SELECT c.*, g.province FROM weekly_caps c LEFT JOIN geo g USING (delivery_week, geo_key)),
+pushed AS (
+  SELECT DISTINCT q.delivery_week - 7 AS delivery_week, q.unified_delivery_driver, q.geo_key, q.request_id FROM sender_queue q
+  WHERE EXISTS (SELECT 1 FROM sender_queue w WHERE w.request_id = q.request_id AND w.delivery_week = q.delivery_week - 7)
+    AND EXISTS (SELECT 1 FROM weekly_caps c WHERE c.delivery_week = q.delivery_week - 7 AND c.geo_key = q.geo_key
+                AND c.unified_delivery_driver = q.unified_delivery_driver AND c.used_capacity = c.declared_capacity)),
+over_by_key AS (
+  SELECT delivery_week, unified_delivery_driver, geo_key, count(*) AS overflow FROM pushed GROUP BY ALL),
 drv_report AS (
-  SELECT c.*, e.overflow FROM caps_prov c
-  LEFT JOIN eccessi e ON c.delivery_week = e.delivery_week AND c.unified_delivery_driver = e.unified_delivery_driver
-                     AND c.geo_key = e.geo_key)
+  SELECT c.*, o.overflow FROM caps_prov c LEFT JOIN over_by_key o USING (delivery_week, unified_delivery_driver, geo_key))
 """
 
 DRV_COLS = f"""{d('delivery_week')} AS delivery_week, unified_delivery_driver, geo_key,
@@ -544,13 +528,11 @@ DRV_COLS = f"""{d('delivery_week')} AS delivery_week, unified_delivery_driver, g
 q("alc_16", *HISTORY, DRIVER_REPORT, select=f"SELECT {DRV_COLS} FROM weekly_caps")
 q("join_12", *HISTORY, DRIVER_REPORT, select=f"SELECT {DRV_COLS}, province FROM caps_prov")
 q("set_02", *HISTORY, DRIVER_REPORT, select=f"""
-SELECT DISTINCT {d('delivery_week')} AS delivery_week, cap AS geo_key, province FROM cut
-UNION
-SELECT DISTINCT {d('delivery_week')}, province, province FROM cut""")
+SELECT {d('delivery_week')} AS delivery_week, geo_key, province FROM geo""")
 q("join_13", *HISTORY, DRIVER_REPORT, select=f"""
-SELECT {d('delivery_week')} AS delivery_week, unified_delivery_driver, geo_key, request_id FROM ovf_rows""")
+SELECT {d('delivery_week')} AS delivery_week, unified_delivery_driver, geo_key, request_id FROM pushed""")
 q("agg_15", *HISTORY, DRIVER_REPORT, select=f"""
-SELECT {d('delivery_week')} AS delivery_week, unified_delivery_driver, geo_key, overflow FROM eccessi""")
+SELECT {d('delivery_week')} AS delivery_week, unified_delivery_driver, geo_key, overflow FROM over_by_key""")
 q("rpt_02", *HISTORY, DRIVER_REPORT, select=f"SELECT {DRV_COLS}, province, overflow FROM drv_report")
 q("alc_18", *HISTORY, DRIVER_REPORT, select=f"""
 SELECT {DRV_COLS}, province, overflow,
