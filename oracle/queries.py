@@ -584,11 +584,22 @@ valid AS (
                           AND coalesce(length(notification_sent_at) > 0, false)),
 days AS (SELECT day, dense_rank() OVER (ORDER BY day) - 1 AS day_idx
          FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events)),
+daily AS (  -- the first record of a request in a day's batch stands for the batch
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT v.*, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY request_id, CAST(ts AS DATE) ORDER BY sequence_number) AS rn
+    FROM valid v) WHERE rn = 1),
+accepted AS (  -- after an accepted record the next one that comes when it has expired
+  WITH RECURSIVE a(request_id, event_id, ts) AS (
+    SELECT request_id, arg_min(event_id, day), arg_min(ts, day) FROM daily GROUP BY request_id
+    UNION ALL
+    SELECT d.request_id, arg_min(d.event_id, d.day), arg_min(d.ts, d.day) FROM a JOIN daily d
+      ON d.request_id = a.request_id AND d.day > CAST(a.ts AS DATE) AND epoch(d.ts)::BIGINT >= epoch(a.ts)::BIGINT + 86400
+    GROUP BY d.request_id)
+  SELECT event_id FROM a),
 ingested AS (
   SELECT v.*, CAST(ts AS DATE) + CAST(8 - isodow(CAST(ts AS DATE)) AS INTEGER) AS delivery_week,
-         (SELECT day_idx FROM days WHERE days.day = CAST(v.ts AS DATE)) // 7 AS batch_id
-  FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY sequence_number) AS rn FROM valid) v
-  WHERE rn = 1)
+         (SELECT day_idx FROM days WHERE days.day = v.day) AS batch_id
+  FROM daily v WHERE event_id IN (SELECT event_id FROM accepted))
 """
 INGEST_SELECT = f"""
 SELECT request_id, iun, product_type, CAST(attempt AS BIGINT) AS attempt, sender_pa_id, province, cap,
@@ -611,12 +622,26 @@ q("str_07", EVENTS, INGEST, select=f"""
 SELECT {d('delivery_week')} AS delivery_week, province, product_type, count(*) AS number_of_shipments
 FROM ingested WHERE upper(product_type) = 'RS' OR attempt = 1 GROUP BY ALL""")
 q("join_08", EVENTS, select="""
-SELECT a.request_id, a.sequence_number FROM event_records a
-WHERE a.ts >= TIMESTAMP '2024-01-15' AND a.attempt IS NOT NULL
-  AND coalesce(length(a.prepare_request_date) > 0, false) AND coalesce(length(a.notification_sent_at) > 0, false)
-  AND a.request_id NOT IN (
-    SELECT request_id FROM event_records b WHERE b.ts < TIMESTAMP '2024-01-15' AND b.attempt IS NOT NULL
-      AND coalesce(length(b.prepare_request_date) > 0, false) AND coalesce(length(b.notification_sent_at) > 0, false))""")
+SELECT request_id, sequence_number FROM (
+  SELECT request_id, sequence_number, ts,
+         lag(ts) OVER (PARTITION BY request_id ORDER BY ts, sequence_number) AS before
+  FROM event_records WHERE attempt IS NOT NULL
+    AND coalesce(length(prepare_request_date) > 0, false) AND coalesce(length(notification_sent_at) > 0, false))
+WHERE before IS NULL OR before + INTERVAL 1 DAY <= ts""")
+
+# A request is forgotten once the watermark (a day behind the newest record of the batches before)
+# has passed the end of its own day; it is kept again in the first batch after that.
+q("str_02", EVENTS, INGEST, """
+newest AS (SELECT d.day, (SELECT max(ts) FROM decoded x WHERE CAST(x.ts AS DATE) < d.day - 1) AS seen_until FROM days d),
+remembered AS (
+  WITH RECURSIVE a(request_id, event_id, ts) AS (
+    SELECT request_id, arg_min(event_id, day), arg_min(ts, day) FROM daily GROUP BY request_id
+    UNION ALL
+    SELECT d.request_id, arg_min(d.event_id, d.day), arg_min(d.ts, d.day)
+    FROM a JOIN daily d ON d.request_id = a.request_id AND d.day > CAST(a.ts AS DATE) JOIN newest w ON w.day = d.day
+    WHERE w.seen_until >= a.ts + INTERVAL 2 DAY GROUP BY d.request_id)
+  SELECT event_id FROM a)""", select="""
+SELECT request_id, strftime(day, '%Y-%m-%d') AS kept_on FROM daily WHERE event_id IN (SELECT event_id FROM remembered)""")
 
 CANCEL = """
 cancel_targets AS (
