@@ -36,20 +36,13 @@ def query(name: str):
 def weekly_plan(spark, sf_dir):
     """Final placement of every shipment: phase 2 (with release day/no) or next week."""
     r = plan_results(spark, sf_dir)
-    rejected = (r.caps.driver.filter(~F.col("accepted"))
-                .select("request_id", "delivery_week", "unified_delivery_driver", "priority",
-                        F.lit(C.STEP_DRIVER).alias("via_step"))
-                .unionByName(r.caps.residual.filter(~F.col("accepted"))
-                             .select("request_id", "delivery_week", "unified_delivery_driver",
-                                     "priority", F.lit(C.STEP_RESIDUAL).alias("via_step")))
-                .select("*", F.lit(C.STEP_SENDER).alias("final_step"),
-                        F.date_add("delivery_week", 7).alias("final_week"),
-                        F.lit(None).cast("int").alias("release_day"),
-                        F.lit(None).cast("int").alias("release_no")))
-    printed = r.released.select("request_id", "delivery_week", "unified_delivery_driver",
-                                "priority", "via_step", F.col("next_step").alias("final_step"),
-                                F.col("next_week").alias("final_week"), "release_day", "release_no")
-    return printed.unionByName(rejected)
+    return W.placements(r.sender, r.caps, r.released)
+
+
+@query("weekly_plan_chained")
+def weekly_plan_chained(spark, sf_dir):
+    """Two rounds of chained weeks: what a week cannot place is planned again in the next week."""
+    return W.run_weeks(spark, W.load_inputs(spark, sf_dir), rounds=2)
 
 
 # --- sender step ----------------------------------------------------------------
@@ -275,9 +268,14 @@ def alc_11(spark, sf_dir):
 
 @query("alc_12")
 def alc_12(spark, sf_dir):
-    """Bounded page: the first 1000 rows of each week's print queue (a top-k report)."""
+    """Bounded pages of each week's print queue: the first, the one after its cursor, and the first from the end."""
     rel = plan_results(spark, sf_dir).released
-    return rel.filter(F.col("print_pos") <= 1000).select("delivery_week", "print_pos", "request_id")
+    pages = {"first": P.page(rel), "next": P.page(rel, after=P.PAGE_ROWS), "last": P.page(rel, descending=True)}
+    out = None
+    for name, page in pages.items():
+        part = page.select("delivery_week", "print_pos", "request_id", F.lit(name).alias("page"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("alc_13")

@@ -152,9 +152,7 @@ def agg_06(spark, sf_dir):
     recount = (r.ledger.filter(F.col("workflow_step") == C.STEP_SENDER).filter(K.exempt())
                .groupBy("delivery_week", "province", "product_type")
                .agg(F.count(F.lit(1)).alias("number_of_shipments")).withColumn("src", F.lit(2)))
-    both = ingest.unionByName(recount)
-    return (both.groupBy("delivery_week", "province", "product_type")
-                .agg(F.min_by("number_of_shipments", "src").alias("number_of_shipments")))
+    return D.first_counters(ingest.unionByName(recount))
 
 
 # --- joins ---------------------------------------------------------------------------------
@@ -189,15 +187,10 @@ def alc_14(spark, sf_dir):
 
 @query("alc_15")
 def alc_15(spark, sf_dir):
-    """Switch-off: each week's sender queue in key order, in batches of 5000, to phase 2."""
-    shp = W.load_inputs(spark, sf_dir).shipments
-    ok, _ = K.split_by_priority(shp)
-    keyed = ok.withColumn("_sk", K.sort_key(C.STEP_SENDER))
-    ranked = positions(keyed, ["delivery_week"], [F.col("_sk")], name="switch_pos")
-    return ranked.select("request_id", "delivery_week", "switch_pos",
-                         F.ceil(F.col("switch_pos") / F.lit(C.SWITCH_OFF_EXECUTION_LIMIT))
-                          .cast("int").alias("batch_no"),
-                         F.lit(C.STEP_PHASE_2).alias("workflow_step"), "priority")
+    """Switch-off: each week's sender queue in key order, in batches of 5000, to phase 2; rows without a priority are returned as rejected."""
+    moved, rejected = P.switch_off(W.load_inputs(spark, sf_dir).shipments)
+    return moved.select("request_id", "delivery_week", "switch_pos", "batch_no", "workflow_step", "priority").unionByName(
+        rejected.select("request_id", "delivery_week", F.lit("REJECTED").alias("workflow_step")), allowMissingColumns=True)
 
 
 @query("alc_17")

@@ -14,8 +14,10 @@ STEP_PRINT = "EVALUATE_PRINT_CAPACITY"
 STEP_PHASE_2 = "SENT_TO_PREPARE_PHASE_2"
 DELETED_PREFIX = "DELETED~"
 
+#: Final step of a shipment that no driver covers (a value of our own).
+NO_DRIVER = "NO_DRIVER"
+
 # --- fixed values: products ---------------------------------------------------
-PRODUCTS = ["AR", "890", "RS", "RIR", "RIS"]
 PRODUCT_RS = "RS"
 ESTIMATED_PRODUCTS = ["AR", "890"]
 
@@ -27,8 +29,7 @@ PRIORITY_MAP = {
 }
 DEFAULT_PRIORITY = 3
 
-# --- fixed values: print capacity ("start date;daily capacity") --------------
-PRINT_CAPACITY = ["1970-01-01;180000"]
+# --- fixed values: print capacity ---------------------------------------------
 PRINT_WEEKLY_WORKING_DAYS = 7
 PRINT_EXECUTIONS_PER_DAY = 17
 

@@ -94,12 +94,6 @@ def cancellable(today: Column | None = None) -> Column:
             & (pk_date != today))
 
 
-def prepare_element(df: DataFrame) -> DataFrame:
-    """FLT-06: timeline elements of the two PREPARE categories."""
-    return df.filter(F.col("category").isin(*C.PREPARE_CATEGORIES)
-                     & F.col("element_id").startswith("PREPARE_"))
-
-
 def priority_table(spark: SparkSession) -> DataFrame:
     rows = [(p, k) for p, keys in sorted(C.PRIORITY_MAP.items()) for k in keys]
     return spark.createDataFrame(rows, "priority int, priority_key string")

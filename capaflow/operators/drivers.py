@@ -82,14 +82,21 @@ def product_components(drivers: DataFrame) -> DataFrame:
                           F.sum("capacity").cast("bigint").alias("capacity")))
 
 
+def first_counters(counters: DataFrame) -> DataFrame:
+    """AGG-06: of counters that share a key the one of the first source (least ``src``) counts."""
+    return (counters.groupBy("delivery_week", "province", "product_type")
+                    .agg(F.min_by("number_of_shipments", "src").alias("number_of_shipments")))
+
+
 def net_capacity(components: DataFrame, exempt_counters: DataFrame) -> DataFrame:
     """AGG-05: component capacity minus exempt counters of its products, >= 0.
 
-    ``exempt_counters``: (delivery_week, province, product_type, number_of_shipments).
-    AGG-06: should two counters share a key, the first (smallest) value counts.
+    ``exempt_counters``: (delivery_week, province, product_type, number_of_shipments), and ``src`` if several
+    sources were put together (AGG-06).
     """
-    counters = (exempt_counters.groupBy("delivery_week", "province", "product_type")
-                               .agg(F.min("number_of_shipments").alias("n")))
+    if "src" in exempt_counters.columns:
+        exempt_counters = first_counters(exempt_counters)
+    counters = exempt_counters.withColumnRenamed("number_of_shipments", "n")
     per_comp = (components.select(*GROUP, "component", F.explode("products").alias("product_type"))
                           .join(counters, ["delivery_week", "province", "product_type"])
                           .groupBy(*GROUP, "component").agg(F.sum("n").alias("_excl")))

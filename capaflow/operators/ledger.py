@@ -79,18 +79,6 @@ def latest_image(images: DataFrame, keys: list[str], time_col: str) -> DataFrame
                   .select(*keys, "r.*"))
 
 
-def range_scan(ledger: DataFrame, week: Column, step: str, sk_prefix: str | None = None) -> DataFrame:
-    """FLT-03: rows of one week and step whose sort key starts with a prefix.
-
-    Filters on the partition columns (``delivery_week``, ``workflow_step``)
-    prune partitions of the stored ledger; the prefix is a plain predicate.
-    """
-    out = ledger.filter((F.col("delivery_week") == week) & (F.col("workflow_step") == step))
-    if sk_prefix:
-        out = out.withColumn("sk", K.sort_key(step)).filter(F.col("sk").startswith(sk_prefix))
-    return out
-
-
 def delete_requests(ledger: DataFrame, request_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """JOIN-14 / MNT-02: (remaining ledger, deleted rows) for a request-id list."""
     ids = request_ids.select("request_id").distinct()

@@ -82,24 +82,24 @@ def print_counter(released: DataFrame) -> DataFrame:
                                 F.col("sent_to_phase_two") >= F.col("number_of_shipments")))
 
 
-def bypass_light(sender_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """ALC-14: every sender-step row of a week goes straight to the print step
-    with strict priority; the print counter is the count per week."""
-    prio = K.with_priority(sender_rows, strict=True)
-    moved = K.transition(prio, C.STEP_PRINT, F.col("delivery_week"))
-    counter = (moved.groupBy("delivery_week")
-                    .agg(F.count(F.lit(1)).alias("number_of_shipments")))
-    return moved, counter
-
-
-def switch_off(sender_rows: DataFrame, current_week: F.Column,
-               execution_limit: int = C.SWITCH_OFF_EXECUTION_LIMIT) -> DataFrame:
-    """ALC-15: sender-step rows of the current or next week, in key order
-    (week, sort key), numbered into batches of ``execution_limit`` and moved to
-    phase 2 of the current week with strict priority."""
-    rows = sender_rows.filter((F.col("delivery_week") == current_week)
-                              | (F.col("delivery_week") == F.date_add(current_week, 7)))
-    prio = K.with_priority(rows, strict=True).withColumn("_sk", K.sort_key(C.STEP_SENDER))
-    ranked = positions(prio, [], [F.col("delivery_week"), F.col("_sk")], name="switch_pos")
+PAGE_ROWS = 1000
+
+
+def page(queue: DataFrame, rows: int = PAGE_ROWS, after: int = 0, descending: bool = False) -> DataFrame:
+    """ALC-12: one page of each week's queue. ``after`` is the cursor: the number of rows already read,
+    from the head of the queue or, descending, from its tail."""
+    pos = F.col("print_pos")
+    if descending:
+        size = queue.groupBy("delivery_week").agg(F.max("print_pos").alias("_size"))
+        queue = queue.join(size, "delivery_week")
+        pos = F.col("_size") - F.col("print_pos") + 1
+    return queue.filter((pos > after) & (pos <= after + rows)).drop("_size")
+
+
+def switch_off(sender_rows: DataFrame, execution_limit: int = C.SWITCH_OFF_EXECUTION_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """ALC-15: the sender queue of each week in key order, numbered into batches of ``execution_limit``
+    and moved to phase 2 of that week, with strict priority. Returns the moved and the rejected rows."""
+    ok, rejected = K.split_by_priority(sender_rows)
+    ranked = positions(ok.withColumn("_sk", K.sort_key(C.STEP_SENDER)), ["delivery_week"], [F.col("_sk")], name="switch_pos")
     out = ranked.withColumn("batch_no", F.ceil(F.col("switch_pos") / F.lit(execution_limit)).cast("int"))
-    return K.transition(out.drop("_sk"), C.STEP_PHASE_2, current_week)
+    return K.transition(out.drop("_sk"), C.STEP_PHASE_2, F.col("delivery_week")), rejected

@@ -111,10 +111,3 @@ def _range_positions(df: DataFrame, by: list[str], order: list[Column], name: st
     out = staged.join(offsets, ["_pid", *by])
     return (out.withColumn(name, F.col("_row") + F.col("_base") + 1)
                .drop("_pid", "_row", "_base"))
-
-
-def take_first(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
-               limit: Column, name: str = "pos", strategy: str | None = None) -> DataFrame:
-    """Flag ``name <= limit`` as ``within`` (rows beyond the limit stay, flagged false)."""
-    ranked = positions(df, by, order, name=name, strategy=strategy)
-    return ranked.withColumn("within", F.col(name) <= limit)

@@ -6,12 +6,13 @@ driver) becomes the partitioning of the window keys. Step outputs are
 checkpointed into ``spark.checkpoint.dir`` (the ledger write of each step),
 which also cuts the lineage between steps.
 
-``run_weeks`` is the multi-week driver: weeks are sequential because the
-rejects of week *w* are input of week *w + 1*.
+``run_weeks`` is the multi-week driver: the rejects of week *w* are input of
+week *w + 1*.
 """
 
 from __future__ import annotations
 
+import datetime
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,6 +87,7 @@ class SenderStep:
     totals: DataFrame
     limits: DataFrame
     split: DataFrame
+    unassigned: DataFrame     # shipments that no driver covers: reported, not planned
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -104,14 +106,16 @@ def sender_step(inp: Inputs) -> SenderStep:
     pw = shp.select("tender_id", "province", "delivery_week").distinct()
     drivers = small(drivers_on_province(pw, inp.capacity))
     comps = small(D.product_components(drivers))
-    excl = S.exempt_counters(shp)
+    fresh = shp.filter(~F.col("carried")) if "carried" in shp.columns else shp
+    excl = S.exempt_counters(fresh)   # only the week's own shipments count, not those carried over
     net = small(D.net_capacity(comps, excl))
     assigned = K.with_priority(D.assign_driver(shp, inp.coverage))
     enriched = D.sole_driver_shortcut(assigned, comps)
     totals = S.estimate_totals(inp.estimates)
     limits = small(S.sender_limits(inp.estimates, net, totals))
-    split = materialize(S.split_by_sender_limit(enriched, limits, row_bound=row_bound(shp)))
-    return SenderStep(enriched, comps, net, excl, totals, limits, split)
+    covered = F.col("unified_delivery_driver").isNotNull()
+    split = materialize(S.split_by_sender_limit(enriched.filter(covered), limits, row_bound=row_bound(shp)))
+    return SenderStep(enriched, comps, net, excl, totals, limits, split, enriched.filter(~covered))
 
 
 @dataclass
@@ -146,50 +150,59 @@ def print_step(steps: CapacitySteps, print_config: DataFrame) -> DataFrame:
     return materialize(P.release(P.print_queue(acc, print_config, row_bound=bound)))
 
 
+def placements(snd: SenderStep, caps: CapacitySteps, rel: DataFrame) -> DataFrame:
+    """Where every shipment ends: phase 2 (with release day and number), next week, or nowhere for want of a driver."""
+    rejected = [df.filter(~F.col("accepted")).select("request_id", "delivery_week", "unified_delivery_driver", "priority",
+                                                     F.lit(step).alias("via_step"))
+                for df, step in ((caps.driver, C.STEP_DRIVER), (caps.residual, C.STEP_RESIDUAL))]
+    pushed = (rejected[0].unionByName(rejected[1])
+              .select("*", F.lit(C.STEP_SENDER).alias("final_step"), F.date_add("delivery_week", 7).alias("final_week")))
+    without = snd.unassigned.select("request_id", "delivery_week", "unified_delivery_driver", "priority",
+                                    F.lit(C.STEP_SENDER).alias("via_step"), F.lit(C.NO_DRIVER).alias("final_step"),
+                                    F.col("delivery_week").alias("final_week"))
+    printed = rel.select("request_id", "delivery_week", "unified_delivery_driver", "priority",
+                         "via_step", F.col("next_step").alias("final_step"),
+                         F.col("next_week").alias("final_week"), "release_day", "release_no")
+    return printed.unionByName(pushed, allowMissingColumns=True).unionByName(without, allowMissingColumns=True)
+
+
 def weekly_plan(inp: Inputs) -> DataFrame:
     """Flagship: final placement of every shipment of every week (one round)."""
     snd = sender_step(inp)
     caps = capacity_steps(snd.split, inp.capacity)
-    rel = print_step(caps, inp.print_config)
-    rejected = (caps.driver.filter(~F.col("accepted"))
-                .select("request_id", "delivery_week", "unified_delivery_driver", "priority",
-                        F.lit(C.STEP_DRIVER).alias("via_step"))
-                .unionByName(caps.residual.filter(~F.col("accepted"))
-                             .select("request_id", "delivery_week", "unified_delivery_driver",
-                                     "priority", F.lit(C.STEP_RESIDUAL).alias("via_step")))
-                .select("*", F.lit(C.STEP_SENDER).alias("final_step"),
-                        F.date_add("delivery_week", 7).alias("final_week"),
-                        F.lit(None).cast("int").alias("release_day"),
-                        F.lit(None).cast("int").alias("release_no")))
-    printed = rel.select("request_id", "delivery_week", "unified_delivery_driver", "priority",
-                         "via_step", F.col("next_step").alias("final_step"),
-                         F.col("next_week").alias("final_week"), "release_day", "release_no")
-    return printed.unionByName(rejected)
+    return placements(snd, caps, print_step(caps, inp.print_config))
 
 
-def run_weeks(spark: SparkSession, inp: Inputs, weeks: list) -> DataFrame:
-    """Multi-week driver: plan ``weeks`` in order, carrying rejects forward.
+def run_weeks(spark: SparkSession, inp: Inputs, rounds: int | None = None) -> DataFrame:
+    """Chained weeks: what a week cannot place is input of the next one.
 
-    Each week's input = shipments ingested for it + rows pushed to it by the
-    previous week. Every week's result is checkpointed before the next
-    starts, so lineage stays one week deep.
+    A week is planned once the week before it has nothing left to plan, so weeks
+    that follow each other are planned one after the other, and all weeks that
+    do not are planned together in one round. Ends after ``rounds`` rounds
+    or when every shipment is placed. Returns one row per shipment: its last placement
+    and ``attempts``, the number of weeks in which it was planned; rows whose turn has not
+    come are in the sender step of their week with the attempts so far.
     """
-    carry = None
-    placed = []
     base = inp.shipments
-    for wk in weeks:
-        week_rows = base.filter(F.col("delivery_week") == F.lit(wk).cast("date"))
-        if carry is not None:
-            cols = week_rows.columns
-            week_rows = week_rows.unionByName(carry.select(*cols))
-        week_inp = Inputs(week_rows, inp.coverage, inp.capacity, inp.estimates, inp.print_config)
-        plan = materialize(weekly_plan(week_inp))
-        placed.append(plan.filter(F.col("final_step") == C.STEP_PHASE_2))
-        moved = plan.filter(F.col("final_step") == C.STEP_SENDER).select("request_id", "final_week")
-        carry = materialize(
-            base.drop("delivery_week").join(moved, "request_id")
-                .withColumnRenamed("final_week", "delivery_week"))
-    out = placed[0]
-    for p in placed[1:]:
-        out = out.unionByName(p)
-    return out
+    pending = base.select(*base.columns, F.lit(False).alias("carried"), F.lit(0).alias("attempts"))
+    placed: list[DataFrame] = []
+    done = 0
+    while rounds is None or done < rounds:
+        weeks = sorted(r[0] for r in pending.select("delivery_week").distinct().collect())  # one row per week
+        ready = [w for w in weeks if w - datetime.timedelta(days=7) not in weeks]
+        if not ready:
+            break
+        done += 1
+        turn = pending.filter(F.col("delivery_week").isin(ready))
+        plan = weekly_plan(Inputs(turn, inp.coverage, inp.capacity, inp.estimates, inp.print_config))
+        plan = materialize(plan.join(turn.select("request_id", (F.col("attempts") + 1).alias("attempts")), "request_id"))
+        again = F.col("final_step") == C.STEP_SENDER
+        placed.append(plan.filter(~again))
+        moved = plan.filter(again).select("request_id", F.col("final_week").alias("delivery_week"), "attempts")
+        carried = base.drop("delivery_week").join(moved, "request_id").withColumn("carried", F.lit(True))
+        pending = materialize(pending.filter(~F.col("delivery_week").isin(ready)).unionByName(carried))
+    waiting = pending.select("request_id", "delivery_week", F.lit(C.STEP_SENDER).alias("final_step"),
+                             F.col("delivery_week").alias("final_week"), "attempts")
+    for plan in placed:
+        waiting = waiting.unionByName(plan, allowMissingColumns=True)
+    return waiting

@@ -34,8 +34,3 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", partition_by: list[str]
 def read_csv_strings(spark: SparkSession, path: str, columns: list[str], sep: str = ",") -> DataFrame:
     schema = ", ".join(f"`{c}` string" for c in columns)
     return spark.read.schema(schema).option("header", True).option("sep", sep).csv(path)
-
-
-def report_path(base: str, query_name: str, date: str) -> str:
-    """SRC-09: ``<base>/<query>/<date>.csv``."""
-    return f"{base}/{query_name}/{date}.csv"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.sql import BASE, CAPACITY, PLAN, SENDER, TS, with_ctes
+from oracle.sql import BASE, CAPACITY, PLAN, PRINT, SENDER, TS, with_ctes
 
 ORACLES: dict[str, str] = {}
 
@@ -15,20 +15,35 @@ def q(name: str, *blocks: str, select: str) -> None:
     ORACLES[name] = with_ctes(*blocks, select=select)
 
 
-q("weekly_plan", *PLAN, select=f"""
-SELECT request_id, {d('delivery_week')} AS delivery_week, unified_delivery_driver,
-       CAST(priority AS BIGINT) AS priority, via_step, next_step2 AS final_step,
-       {d('next_week')} AS final_week, CAST(release_day AS BIGINT) AS release_day,
+PLACED = """
+SELECT request_id, delivery_week, unified_delivery_driver, CAST(priority AS BIGINT) AS priority, via_step,
+       next_step2 AS final_step, next_week AS final_week, CAST(release_day AS BIGINT) AS release_day,
        CAST(release_no AS BIGINT) AS release_no
 FROM release_plan
 UNION ALL
-SELECT request_id, {d('delivery_week')}, unified_delivery_driver, CAST(priority AS BIGINT),
-       'EVALUATE_DRIVER_CAPACITY', 'EVALUATE_SENDER_LIMIT', {d('delivery_week + 7')}, NULL, NULL
-FROM drv WHERE NOT accepted
+SELECT request_id, delivery_week, unified_delivery_driver, CAST(priority AS BIGINT), via, 'EVALUATE_SENDER_LIMIT',
+       delivery_week + 7, NULL, NULL
+FROM (SELECT *, 'EVALUATE_DRIVER_CAPACITY' AS via FROM drv UNION ALL BY NAME
+      SELECT *, 'EVALUATE_RESIDUAL_CAPACITY' AS via FROM res) WHERE NOT accepted
 UNION ALL
-SELECT request_id, {d('delivery_week')}, unified_delivery_driver, CAST(priority AS BIGINT),
-       'EVALUATE_RESIDUAL_CAPACITY', 'EVALUATE_SENDER_LIMIT', {d('delivery_week + 7')}, NULL, NULL
-FROM res WHERE NOT accepted""")
+SELECT request_id, delivery_week, NULL, CAST(priority AS BIGINT), 'EVALUATE_SENDER_LIMIT', 'NO_DRIVER', delivery_week, NULL, NULL
+FROM enriched WHERE unified_delivery_driver IS NULL"""
+AS_TEXT = f"* REPLACE ({d('delivery_week')} AS delivery_week, {d('final_week')} AS final_week)"
+q("weekly_plan", *PLAN, f"placed AS ({PLACED})", select=f"SELECT {AS_TEXT} FROM placed")
+
+# The second round plans what the first pushed to its next week, where no other shipment is;
+# carried shipments are not counted as exempt ones again.
+_STEPS = ",\n".join(b.strip() for b in (SENDER, CAPACITY, PRINT))
+_LATER = _STEPS.replace("FROM shipments WHERE upper(product_type)", "FROM (FROM shipments WHERE false) WHERE upper(product_type)")
+q("weekly_plan_chained", BASE, f"""
+round1 AS (WITH {_STEPS} {PLACED}),
+later AS (SELECT s.* REPLACE (r.final_week AS delivery_week) FROM shipments s JOIN round1 r USING (request_id)
+          WHERE r.final_step = 'EVALUATE_SENDER_LIMIT'),
+round2 AS (WITH shipments AS (SELECT * FROM later), {_LATER} {PLACED}),
+placed AS (SELECT *, 1 AS attempts FROM round1 WHERE final_step <> 'EVALUATE_SENDER_LIMIT'
+           UNION ALL SELECT *, 2 FROM round2 WHERE final_step <> 'EVALUATE_SENDER_LIMIT'
+           UNION ALL SELECT request_id, final_week, NULL, NULL, NULL, final_step, final_week, NULL, NULL, 2
+           FROM round2 WHERE final_step = 'EVALUATE_SENDER_LIMIT')""", select=f"SELECT {AS_TEXT} FROM placed")
 
 q("alc_01", BASE, SENDER, select=f"""
 SELECT request_id, {d('delivery_week')} AS delivery_week, province, sender_pa_id, product_type,
@@ -180,7 +195,10 @@ q("alc_11", *PLAN, select=f"""
 SELECT request_id, print_pos, {d('next_week')} AS next_week FROM release_plan WHERE NOT released""")
 
 q("alc_12", *PLAN, select=f"""
-SELECT {d('delivery_week')} AS delivery_week, print_pos, request_id FROM release_plan WHERE print_pos <= 1000""")
+SELECT {d('delivery_week')} AS delivery_week, print_pos, request_id, page
+FROM (SELECT *, count(*) OVER (PARTITION BY delivery_week) AS n FROM release_plan),
+     (VALUES ('first', 0), ('next', 1000), ('last', NULL)) p(page, cursor)
+WHERE CASE WHEN page = 'last' THEN print_pos > n - 1000 ELSE print_pos > cursor AND print_pos <= cursor + 1000 END""")
 
 q("alc_13", *PLAN, select=f"""
 SELECT {d('delivery_week')} AS delivery_week, CAST(release_day AS BIGINT) AS release_day,
@@ -325,7 +343,9 @@ SELECT request_id, {d('delivery_week')} AS delivery_week, switch_pos,
        CAST(priority AS BIGINT) AS priority
 FROM (SELECT *, row_number() OVER (PARTITION BY delivery_week
                                    ORDER BY concat_ws('~', province, rank_date, request_id)) AS switch_pos
-      FROM strict WHERE priority IS NOT NULL)""")
+      FROM strict WHERE priority IS NOT NULL)
+UNION ALL
+SELECT request_id, {d('delivery_week')}, NULL, NULL, 'REJECTED', NULL FROM strict WHERE priority IS NULL""")
 
 q("alc_17", *HISTORY, LATEST.replace("latest AS", "latest_row AS"),
   select="SELECT request_id, workflow_step, pk, created_at FROM latest_row")

@@ -39,7 +39,8 @@ coverage AS (
                                                     WHEN n_nationkey % 3 = 1 THEN (CASE WHEN p = '890' THEN 1 ELSE 0 END)
                                                     ELSE (CASE WHEN k <= 2 THEN 0 WHEN p = 'AR' THEN 1 ELSE 2 END) END) % 4 AS INTEGER))
            AS unified_delivery_driver
-  FROM nation, range(5) t(k), (VALUES ('AR'), ('890'), ('RS')) pp(p)),
+  FROM nation, range(5) t(k), (VALUES ('AR'), ('890'), ('RS')) pp(p)
+  WHERE NOT (n_nationkey = 23 AND k = 4 AND p = 'RS')),
 ship_drv AS (
   SELECT s.*, c.unified_delivery_driver AS cov_driver
   FROM shipments s JOIN coverage c ON s.cap = c.cap AND s.product_type = c.product_type),
@@ -207,13 +208,13 @@ split AS (
   FROM enriched e LEFT JOIN sender_limits l
     ON l.delivery_week = e.delivery_week AND l.province = e.province
    AND l.sender_pa_id = e.sender_pa_id AND l.product_type = e.product_type
-  WHERE NOT e.exempt),
+  WHERE NOT e.exempt AND e.unified_delivery_driver IS NOT NULL),
 sender_split AS (
   SELECT *, CASE WHEN sender_rank <= coalesce(sender_limit, 0) THEN 'EVALUATE_DRIVER_CAPACITY'
                  ELSE 'EVALUATE_RESIDUAL_CAPACITY' END AS next_step FROM split
   UNION ALL BY NAME
   SELECT *, CAST(NULL AS INTEGER) AS sender_limit, CAST(NULL AS BIGINT) AS sender_rank,
-         'EVALUATE_DRIVER_CAPACITY' AS next_step FROM enriched WHERE exempt)
+         'EVALUATE_DRIVER_CAPACITY' AS next_step FROM enriched WHERE exempt AND unified_delivery_driver IS NOT NULL)
 """
 
 
