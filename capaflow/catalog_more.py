@@ -360,8 +360,7 @@ def _tail_requests(r):
 
 @query("mnt_01")
 def mnt_01(spark, sf_dir):
-    """Reset the last planned week: used capacities, used sender limits and print counter
-    of that week are removed; the remaining used-capacity rows are returned."""
+    """Reset the last planned week: used capacities, used sender limits and print counters without it."""
     from capaflow.operators.sender import used_sender_limits
     r = plan_results(spark, sf_dir)
     last = r.inputs.shipments.agg(F.max("delivery_week").alias("delivery_week"))
@@ -369,10 +368,9 @@ def mnt_01(spark, sf_dir):
     limits = used_sender_limits(r.sender.split).join(
         last.select(F.date_sub("delivery_week", 7).alias("delivery_date")), "delivery_date", "left_anti")
     counter = P.print_counter(r.released).join(last, "delivery_week", "left_anti")
-    def n(df, name):
-        return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table"), "n")
-    return n(used, "used_capacity").unionByName(n(limits, "used_sender_limit")) \
-                                   .unionByName(n(counter, "print_counter"))
+    return (L.table_rows("used_capacity", used, F.concat_ws("~", "unified_delivery_driver", "geo_key"), "delivery_week", "used_capacity")
+            .unionByName(L.table_rows("used_sender_limit", limits, F.col("pk"), "delivery_date", "number_of_shipment"))
+            .unionByName(L.table_rows("print_counter", counter, F.lit("PRINT"), "delivery_week", "number_of_shipments")))
 
 
 @query("join_14")
@@ -385,8 +383,6 @@ def join_14(spark, sf_dir):
 
 @query("mnt_02")
 def mnt_02(spark, sf_dir):
-    """Delete by request list: remaining ledger rows per (week, step) and recounted
-    print counters (only PRINT rows drive used capacity)."""
+    """Delete by request list: the ledger per (week, step), exempt and print counters and used capacity afterwards."""
     r = plan_results(spark, sf_dir)
-    remaining, _ = L.delete_requests(r.ledger, _tail_requests(r))
-    return remaining.groupBy("pk").agg(F.count(F.lit(1)).alias("n"))
+    return L.after_delete(r.ledger, _tail_requests(r), r.caps.used_after_residual)

@@ -426,23 +426,34 @@ SELECT DISTINCT 'province' AS kind, province AS value FROM shipments
 UNION
 SELECT DISTINCT 'driver', unified_delivery_driver FROM capacity""")
 
-q("mnt_01", *PLAN, select="""
-SELECT 'used_capacity' AS "table", count(*) AS n FROM used2
+q("mnt_01", *PLAN, select=f"""
+SELECT 'used_capacity' AS "table", unified_delivery_driver || '~' || geo_key AS "key", {d('delivery_week')} AS delivery_week,
+       CAST(used_capacity AS BIGINT) AS n FROM used2
 WHERE delivery_week <> (SELECT max(delivery_week) FROM shipments)
 UNION ALL
-SELECT 'used_sender_limit', count(*) FROM (
-  SELECT DISTINCT delivery_week, province, sender_pa_id, product_type FROM sender_split
-  WHERE NOT exempt AND next_step = 'EVALUATE_DRIVER_CAPACITY'
-    AND delivery_week <> (SELECT max(delivery_week) FROM shipments))
+SELECT 'used_sender_limit', sender_pa_id || '~' || product_type || '~' || province, {d('delivery_week - 7')}, count(*) FROM sender_split
+WHERE NOT exempt AND next_step = 'EVALUATE_DRIVER_CAPACITY' AND delivery_week <> (SELECT max(delivery_week) FROM shipments)
+GROUP BY delivery_week, province, sender_pa_id, product_type
 UNION ALL
-SELECT 'print_counter', count(DISTINCT delivery_week) FROM release_plan
-WHERE delivery_week <> (SELECT max(delivery_week) FROM shipments)""")
+SELECT 'print_counter', 'PRINT', {d('delivery_week')}, count(*) FROM release_plan
+WHERE delivery_week <> (SELECT max(delivery_week) FROM shipments) GROUP BY delivery_week""")
 
 TAIL = "tail AS (SELECT request_id FROM release_plan WHERE NOT released)"
 q("join_14", *HISTORY, TAIL, select="""
 SELECT pk, request_id, workflow_step FROM ledger WHERE request_id IN (SELECT request_id FROM tail)""")
-q("mnt_02", *HISTORY, TAIL, select="""
-SELECT pk, count(*) AS n FROM ledger WHERE request_id NOT IN (SELECT request_id FROM tail) GROUP BY pk""")
+q("mnt_02", *HISTORY, TAIL, "kept AS (SELECT * FROM ledger WHERE request_id NOT IN (SELECT request_id FROM tail))", select=f"""
+SELECT 'ledger' AS "table", pk AS "key", {d('delivery_week')} AS delivery_week, count(*) AS n FROM kept GROUP BY pk, delivery_week
+UNION ALL
+SELECT 'exempt_counter', province || '~' || product_type, {d('delivery_week')}, count(*) FROM shipments
+WHERE (upper(product_type) = 'RS' OR attempt = 1) AND request_id NOT IN (SELECT request_id FROM tail)
+GROUP BY province, product_type, delivery_week
+UNION ALL
+SELECT 'print_counter', 'PRINT', {d('delivery_week')}, count(*) FROM kept WHERE workflow_step = 'EVALUATE_PRINT_CAPACITY' GROUP BY delivery_week
+UNION ALL
+SELECT 'used_capacity', u.unified_delivery_driver || '~' || u.geo_key, {d('u.delivery_week')},
+       CAST(u.used_capacity - (SELECT count(*) FROM release_plan p WHERE NOT p.released AND p.delivery_week = u.delivery_week
+           AND p.unified_delivery_driver = u.unified_delivery_driver AND u.geo_key IN (p.cap, p.province)) AS BIGINT)
+FROM used2 u""")
 
 # ====================== reports ======================
 # Each week's part of a request, from the definition of the report: one row per (week, key, request).
@@ -679,8 +690,10 @@ cancel_join AS (
   FROM cancel_targets t JOIN latest_row l USING (request_id))
 """
 q("join_09", *HISTORY, CANCEL, select="SELECT iun, request_id, workflow_step, cancellable FROM cancel_join")
-q("str_05", *HISTORY, CANCEL, select="""
-SELECT DISTINCT 'DELETED~' || pk AS pk, request_id, workflow_step FROM cancel_join WHERE cancellable""")
+q("str_05", *HISTORY, CANCEL, "gone AS (SELECT DISTINCT pk, request_id FROM cancel_join WHERE cancellable)", select="""
+SELECT CASE WHEN g.pk IS NOT NULL THEN 'DELETED~' || l.pk ELSE l.pk END AS pk, l.request_id, l.workflow_step, g.pk IS NULL AS visible
+FROM ledger l LEFT JOIN gone g ON g.pk = l.pk AND g.request_id = l.request_id
+WHERE l.request_id IN (SELECT request_id FROM cancel_targets)""")
 q("str_06", *HISTORY, select="SELECT request_id, iun FROM ledger WHERE workflow_step = 'SENT_TO_PREPARE_PHASE_2'")
 
 # ====================== estimates ======================
