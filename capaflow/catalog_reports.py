@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from capaflow import config as C
 from capaflow.catalog import query
 from capaflow.operators.sender import used_sender_limits
 from capaflow.plans import reports as R
-from capaflow.plans.results import plan_results
+from capaflow.plans import weekly as W
+from capaflow.plans.results import plan_results, session_key
 from capaflow.sources import cdc
 from capaflow.sources import sinks
+from testbed import lake
 
 
 def _sender_inputs(spark, sf_dir):
@@ -99,28 +102,47 @@ def alc_18(spark, sf_dir):
 
 @query("rpt_03")
 def rpt_03(spark, sf_dir):
-    """Report parameters per week: last/next week and the partition day ranges."""
+    """Report parameters per week: the weeks around it, the day ranges of Q1 and Q3, the months of Q2, the keys read."""
     weeks = plan_results(spark, sf_dir).ledger.select("delivery_week").distinct()
     w = F.col("delivery_week")
-    return weeks.select(w, F.date_sub(w, 7).alias("last_week"), F.date_add(w, 7).alias("next_week"),
-                        F.date_format(w, "yyyy").alias("p_year"), F.date_format(w, "MM").alias("p_month"),
-                        F.date_format(w, "dd").alias("p_day"),
-                        F.concat(F.lit("'"), F.date_format(w, "yyyy-MM-dd"),
-                                 F.lit("~EVALUATE_SENDER_LIMIT'")).alias("q1_pk"))
+    last, next_ = F.date_sub(w, 7), F.date_add(w, 7)
+    text = F.date_format(w, "yyyy-MM-dd")
+    return weeks.select(w, last.alias("last_week"), next_.alias("next_week"),
+                        last.alias("q1_from"), w.alias("q1_to"), F.concat(text, F.lit(f"~{C.STEP_SENDER}")).alias("q1_pk"),
+                        F.date_format(F.add_months(last, -1), "yyyy-MM").alias("q2_from"),
+                        F.date_format(last, "yyyy-MM").alias("q2_to"),
+                        w.alias("q3_from"), next_.alias("q3_to"), F.concat(text, F.lit(f"~{C.STEP_PHASE_2}")).alias("q3_pk"))
+
+
+_LAKE: dict = {}
+
+
+def _lake(spark, sf_dir):
+    """Ledger images, stored once per session and input under their day folders."""
+    key = session_key(spark, sf_dir)
+    if key not in _LAKE:
+        _LAKE[key] = cdc.store(lake.ledger_images(plan_results(spark, sf_dir).ledger), sinks.output_dir(spark, "lake"))
+    return _LAKE[key]
 
 
 @query("src_07")
 def src_07(spark, sf_dir):
-    """CDC ledger images flattened to the typed view."""
-    return cdc.flatten_ledger(cdc.ledger_images(plan_results(spark, sf_dir).ledger))
+    """CDC ledger images of the stored lake, flattened to the typed view."""
+    return cdc.flatten_ledger(_lake(spark, sf_dir))
 
 
 @query("fn_07")
 def fn_07(spark, sf_dir):
-    """Ledger images per pk inside the Q1 partition range [week - 7, week] of their week."""
-    img = cdc.flatten_ledger(cdc.ledger_images(plan_results(spark, sf_dir).ledger))
-    inside = img.filter(cdc.in_day_range(F.date_sub("delivery_week", 7), F.col("delivery_week")))
-    return inside.groupBy("pk").agg(F.count(F.lit(1)).alias("n"))
+    """Rows per key that each report query of the last ingested week reads from the lake, by partition ranges."""
+    week = W.load_inputs(spark, sf_dir).shipments.agg(F.max("delivery_week")).first()[0]
+    if week is None:
+        return spark.createDataFrame([], "query string, pk string, n bigint")
+    periods, view = cdc.ReportPeriods(week, months_back=4), cdc.flatten_ledger(_lake(spark, sf_dir))
+    out = None
+    for name, inside in (("Q1", periods.q1()), ("Q2", periods.q2()), ("Q3", periods.q3())):
+        part = view.filter(inside).groupBy("pk").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("query"), "pk", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _export(spark, sf_dir, name):

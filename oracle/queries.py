@@ -573,8 +573,9 @@ FROM drv_report""")
 
 q("rpt_03", *HISTORY, select=f"""
 SELECT {d('w')} AS delivery_week, {d('w - 7')} AS last_week, {d('w + 7')} AS next_week,
-       strftime(w, '%Y') AS p_year, strftime(w, '%m') AS p_month, strftime(w, '%d') AS p_day,
-       '''' || strftime(w, '%Y-%m-%d') || '~EVALUATE_SENDER_LIMIT''' AS q1_pk
+       {d('w - 7')} AS q1_from, {d('w')} AS q1_to, {d('w')} || '~EVALUATE_SENDER_LIMIT' AS q1_pk,
+       strftime(w - 7 - INTERVAL 1 MONTH, '%Y-%m') AS q2_from, strftime(w - 7, '%Y-%m') AS q2_to,
+       {d('w')} AS q3_from, {d('w + 7')} AS q3_to, {d('w')} || '~SENT_TO_PREPARE_PHASE_2' AS q3_pk
 FROM (SELECT DISTINCT delivery_week AS w FROM ledger)""")
 
 q("src_07", *HISTORY, select=f"""
@@ -586,10 +587,17 @@ SELECT pk, request_id, iun, product_type, sender_pa_id, province, cap, unified_d
        strftime(strptime(created_at, {TS}), '%d') AS p_day
 FROM ledger""")
 
-q("fn_07", *HISTORY, select=f"""
-SELECT pk, count(*) AS n FROM ledger
-WHERE CAST(strptime(created_at, {TS}) AS DATE) BETWEEN delivery_week - 7 AND delivery_week
-GROUP BY pk""")
+q("fn_07", *HISTORY, f"""
+w AS (SELECT max(delivery_week) AS week FROM shipments),
+images AS (SELECT pk, CAST(strptime(created_at, {TS}) AS DATE) AS day FROM ledger)""", select=f"""
+SELECT 'Q1' AS query, pk, count(*) AS n FROM images, w
+WHERE day BETWEEN week - 7 AND week AND pk = {d('week')} || '~EVALUATE_SENDER_LIMIT' GROUP BY pk
+UNION ALL
+SELECT 'Q2', pk, count(*) FROM images, w
+WHERE date_trunc('month', day) BETWEEN date_trunc('month', week - 7) - INTERVAL 4 MONTH AND date_trunc('month', week - 7) GROUP BY pk
+UNION ALL
+SELECT 'Q3', pk, count(*) FROM images, w
+WHERE day BETWEEN week AND week + 7 AND pk = {d('week')} || '~SENT_TO_PREPARE_PHASE_2' GROUP BY pk""")
 
 EXPORT = f"""
 SELECT unified_delivery_driver || '~' || geo_key AS unified_delivery_driver_geokey,
