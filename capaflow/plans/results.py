@@ -7,6 +7,7 @@ print release, ...) share the same planned steps instead of replanning.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +26,17 @@ class PlanResults:
     sender: W.SenderStep
     caps: W.CapacitySteps
     released: DataFrame
-    ledger: DataFrame
-    weekly_caps: DataFrame
+
+    @cached_property
+    def ledger(self) -> DataFrame:
+        """All ledger rows of the round, staged when first asked for."""
+        return W.materialize(ledger_history(self.inputs.shipments, self.sender.split, self.caps.driver,
+                                            self.caps.residual, self.released))
+
+    @cached_property
+    def weekly_caps(self) -> DataFrame:
+        """Used capacity as last written, staged when first asked for."""
+        return W.small(R.weekly_capacities(R.used_capacity_images(self.caps.used_after_driver, self.caps.used_after_residual)))
 
 
 def session_key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
@@ -39,12 +49,9 @@ def plan_results(spark: SparkSession, sf_dir: str) -> PlanResults:
     if key not in _CACHE:
         inp = W.load_inputs(spark, sf_dir)
         snd = W.sender_step(inp)
-        caps = W.capacity_steps(snd.split, inp.capacity)
-        rel = W.print_step(caps, inp.print_config)
-        hist = W.materialize(ledger_history(inp.shipments, snd.split, caps.driver,
-                                            caps.residual, rel))
-        weekly = W.small(R.weekly_capacities(R.used_capacity_images(caps.used_after_driver, caps.used_after_residual)))
-        _CACHE[key] = PlanResults(inp, snd, caps, rel, hist, weekly)
+        caps = W.capacity_steps(snd.split, inp.capacity, snd.bound)
+        rel = W.print_step(caps, inp.print_config, snd.bound)
+        _CACHE[key] = PlanResults(inp, snd, caps, rel)
     return _CACHE[key]
 
 

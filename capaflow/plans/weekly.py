@@ -88,6 +88,7 @@ class SenderStep:
     limits: DataFrame
     split: DataFrame
     unassigned: DataFrame     # shipments that no driver covers: reported, not planned
+    bound: int                # rows of the input: no later step has a larger group
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -114,8 +115,9 @@ def sender_step(inp: Inputs) -> SenderStep:
     totals = S.estimate_totals(inp.estimates)
     limits = small(S.sender_limits(inp.estimates, net, totals))
     covered = F.col("unified_delivery_driver").isNotNull()
-    split = materialize(S.split_by_sender_limit(enriched.filter(covered), limits, row_bound=row_bound(shp)))
-    return SenderStep(enriched, comps, net, excl, totals, limits, split, enriched.filter(~covered))
+    bound = row_bound(shp)
+    split = materialize(S.split_by_sender_limit(enriched.filter(covered), limits, row_bound=bound))
+    return SenderStep(enriched, comps, net, excl, totals, limits, split, enriched.filter(~covered), bound)
 
 
 @dataclass
@@ -126,8 +128,8 @@ class CapacitySteps:
     used_after_residual: DataFrame
 
 
-def capacity_steps(split: DataFrame, capacity: DataFrame) -> CapacitySteps:
-    bound = row_bound(split)
+def capacity_steps(split: DataFrame, capacity: DataFrame, bound: int | None = None) -> CapacitySteps:
+    bound = row_bound(split) if bound is None else bound
     drv = materialize(A.allocate(split.filter(F.col("next_step") == C.STEP_DRIVER),
                                  capacity, C.STEP_DRIVER, row_bound=bound))
     used1 = materialize(A.used_capacity(drv))
@@ -142,11 +144,11 @@ PRINT_COLS = ["request_id", "iun", "tender_id", "delivery_week", "unified_delive
               "prepare_request_date", "notification_sent_at"]
 
 
-def print_step(steps: CapacitySteps, print_config: DataFrame) -> DataFrame:
+def print_step(steps: CapacitySteps, print_config: DataFrame, bound: int | None = None) -> DataFrame:
     acc = (steps.driver.filter("accepted").select(*PRINT_COLS, F.lit(C.STEP_DRIVER).alias("via_step"))
            .unionByName(steps.residual.filter("accepted")
                         .select(*PRINT_COLS, F.lit(C.STEP_RESIDUAL).alias("via_step"))))
-    bound = row_bound(steps.driver) + row_bound(steps.residual)
+    bound = row_bound(acc) if bound is None else bound
     return materialize(P.release(P.print_queue(acc, print_config, row_bound=bound)))
 
 
@@ -169,8 +171,8 @@ def placements(snd: SenderStep, caps: CapacitySteps, rel: DataFrame) -> DataFram
 def weekly_plan(inp: Inputs) -> DataFrame:
     """Flagship: final placement of every shipment of every week (one round)."""
     snd = sender_step(inp)
-    caps = capacity_steps(snd.split, inp.capacity)
-    return placements(snd, caps, print_step(caps, inp.print_config))
+    caps = capacity_steps(snd.split, inp.capacity, snd.bound)
+    return placements(snd, caps, print_step(caps, inp.print_config, snd.bound))
 
 
 def run_weeks(spark: SparkSession, inp: Inputs, rounds: int | None = None) -> DataFrame:

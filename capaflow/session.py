@@ -71,19 +71,18 @@ STAGE_FORMAT_CONF = "capaflow.stage.format"
 def stage_table(df, name: str = "stage"):
     """Cut lineage: materialise ``df`` in the shared checkpoint folder.
 
-    Default (``capaflow.stage.format=checkpoint``): a reliable
-    ``DataFrame.checkpoint()``, measured cheapest at the test scales.
-    ``parquet``: write Parquet under the same folder and read it back -- the
-    plan runs once and later scans get column pruning and filter pushdown,
-    which pays off when the staged table is wide and read partially.
+    Default (``capaflow.stage.format=parquet``): write Parquet under that folder
+    and read it back -- the plan runs once and later scans get column pruning
+    and filter pushdown. ``checkpoint``: a reliable ``DataFrame.checkpoint()``,
+    whole rows in row format, which Spark removes once nothing refers to it.
     Either way the files live on the cluster's shared file system, so a lost
     executor loses nothing.
     """
     import uuid
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    if spark.conf.get(STAGE_FORMAT_CONF, "checkpoint") != "parquet":
+    if spark.conf.get(STAGE_FORMAT_CONF, "parquet") != "parquet":
         return df.checkpoint(eager=True)
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
