@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from capaflow.session import ensure_checkpoint_dir
 
 PIECE_BYTES = 2 << 20
+BATCH_BYTES = 8 << 20
 WORD_SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SEPARATOR_PATTERN = r"[\x20\x09-\x0D]+"
@@ -30,6 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def in_batches(df: DataFrame, work, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches of at most BATCH_BYTES: a worker holds a batch and what it makes of it, and texts can be long."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key).rstrip("b")) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(work, schema)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared checkpoint folder and read back.
 

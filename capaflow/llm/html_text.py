@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capaflow.llm.common import kept_beside
+from capaflow.llm.common import in_batches, kept_beside
 
 WINDOW = 3
 SURGE = 80
@@ -242,4 +242,4 @@ def extract(pages: DataFrame, html_column: str = "html", keep: tuple[str, ...] =
                     [*part.columns[1:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                     names=[*keep, "text", "n_chars"])
 
-    return rows.mapInArrow(work, ", ".join([*fields, "text string, n_chars long"]))
+    return in_batches(rows, work, ", ".join([*fields, "text string, n_chars long"]))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capaflow.llm.common import exactly, kept_beside, splitmix
+from capaflow.llm.common import exactly, in_batches, kept_beside, splitmix
 
 UNDETERMINED = "und"
 PIECE_CHARS = 1 << 20
@@ -119,7 +119,7 @@ def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
         yield from out()
 
     rows = docs.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
-    return (exactly(rows, text, lang).mapInArrow(work, "lang string, gram long, n long")
+    return (in_batches(exactly(rows, text, lang), work, "lang string, gram long, n long")
             .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
 
 
@@ -219,4 +219,4 @@ def predict(docs: DataFrame, filters: Filters, text: str = "text", keep: tuple[s
                     [*(c.slice(first, len(texts)) for c in batch.columns[1:]), pa.array(names, pa.string()),
                      pa.array(score), pa.array(known)], names=[*keep, *results])
 
-    return rows.mapInArrow(work, ", ".join([*fields, "lang_pred string, score double, explained double"]))
+    return in_batches(rows, work, ", ".join([*fields, "lang_pred string, score double, explained double"]))

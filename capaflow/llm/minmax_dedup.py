@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capaflow.llm.common import (connected_components, distinct_sets, pieces, random_words, shingle_hashes,
+from capaflow.llm.common import (connected_components, distinct_sets, in_batches, pieces, random_words, shingle_hashes,
                                  splitmix, staged, utf8_buffers)
 
 CHUNK = 1 << 16  # set elements hashed at a time
@@ -93,8 +93,8 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int, bands: int, r
                     [batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(digest, pa.binary()), lists],
                     names=["id", "n_shingles", "digest", "keys"])
 
-    return (docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-            .mapInArrow(work, "id long, n_shingles long, digest binary, keys array<long>"))
+    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return in_batches(texts, work, "id long, n_shingles long, digest binary, keys array<long>")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -126,7 +126,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     joined = (pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
               .join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
               .select("a", "b", "ta", "tb"))
-    return joined.mapInArrow(work, "a long, b long")
+    return in_batches(joined, work, "a long, b long")
 
 
 def _tile_links(size: int, percent: int):

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capaflow.llm.common import connected_components, random_words, splitmix, staged
+from capaflow.llm.common import connected_components, in_batches, random_words, splitmix, staged
 
 
 def collision(distance: float, width: float) -> float:
@@ -99,8 +99,8 @@ def hashed(vectors: DataFrame, vec_id: str, embedding: str, m: int, tables: int,
                     [part.column(0), pa.array(digest, pa.binary()), pa.array(raw, pa.binary()), pa.array(keys, pa.list_(pa.int32()))],
                     names=["id", "digest", "vector", "keys"])
 
-    return (vectors.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{embedding}`").alias("e"))
-            .mapInArrow(work, "id long, digest binary, vector binary, keys array<int>"))
+    rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{embedding}`").alias("e"))
+    return in_batches(rows, work, "id long, digest binary, vector binary, keys array<int>")
 
 
 def _compare(cosine: float):

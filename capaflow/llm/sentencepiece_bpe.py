@@ -36,11 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capaflow.llm.common import kept_beside
+from capaflow.llm.common import in_batches, kept_beside
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-WORD_MEMORY = 400_000    # words remembered by a worker, twice; others are encoded again
+WORD_MEMORY = 250_000    # words remembered in a task, twice; others are encoded again
 PAIR_MEMORY = 1_000_000  # compatibility answers remembered by a worker
 
 
@@ -96,6 +96,7 @@ class Encoder:
             bytes([model.byte_of[i]]) if kind == BYTE else b"" if kind == CONTROL
             else " ⁇ ".encode() if kind == UNKNOWN else piece.replace(SPACE, " ").encode()
             for i, (piece, kind) in enumerate(zip(model.pieces, model.types, strict=True))]
+        self.characters = {p for p in self.usable if len(p) == 1}
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in ids)
 
     def merged(self, text: str) -> list[str]:
@@ -169,6 +170,8 @@ class Encoder:
 
     def chunk(self, text: str) -> list[int]:
         """Ids of normalised text; a character outside the vocabulary becomes its bytes (or unknown)."""
+        if self.characters.issuperset(text):
+            return self.known(text)
         usable, out, run = self.usable, [], 0
         strange = [k for k, c in enumerate(text) if c not in usable]
         for k in strange:
@@ -213,6 +216,10 @@ class Encoder:
             self.words[w] = got
         return got
 
+    def forget(self) -> None:
+        """Give up the remembered words."""
+        self.words, self.older = {}, {}
+
     def encode(self, text: str | None) -> list[int]:
         return self.encode_joined(text or "")[0]
 
@@ -286,5 +293,6 @@ def encode_decode(docs: DataFrame, model_file: str, text: str = "text", keep: tu
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[1:], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
                     names=[*keep, *names])
+        encoder.forget()  # the worker lives on for other tasks
 
-    return rows.mapInArrow(work, schema)
+    return in_batches(rows, work, schema)
