@@ -99,9 +99,9 @@ def flt_05(spark, sf_dir):
 
 
 def timeline(spark, sf_dir):
-    """Timeline elements per shipment: one PREPARE element (id = request id) and one SEND."""
+    """Timeline elements per shipment: one PREPARE element (PREPARE_ and the request id) and one SEND."""
     shp = W.load_inputs(spark, sf_dir).shipments
-    prep = shp.select("iun", F.col("request_id").alias("element_id"),
+    prep = shp.select("iun", F.concat(F.lit(C.PREPARE_PREFIX), "request_id").alias("element_id"),
                       F.when(F.col("product_type") == "RS", "PREPARE_SIMPLE_REGISTERED_LETTER")
                        .otherwise("PREPARE_ANALOG_DOMICILE").alias("category"))
     send = shp.select("iun", F.concat(F.lit("SEND_"), F.col("request_id")).alias("element_id"),
@@ -111,9 +111,8 @@ def timeline(spark, sf_dir):
 
 @query("flt_06")
 def flt_06(spark, sf_dir):
-    """Timeline elements of the two PREPARE categories."""
-    tl = timeline(spark, sf_dir)
-    return tl.filter(F.col("category").isin(*C.PREPARE_CATEGORIES))
+    """Timeline elements of the two PREPARE categories whose id says so too."""
+    return K.prepare_elements(timeline(spark, sf_dir))
 
 
 # --- aggregations -----------------------------------------------------------------------

@@ -41,6 +41,7 @@ DELIVERY_WEEKDAY = "Mon"
 # --- fixed values: the report source table names ------------------------------
 CDC_TIMELINE_TABLE = "timelines"
 CANCELLATION_CATEGORY = "NOTIFICATION_CANCELLATION_REQUEST"
+PREPARE_PREFIX = "PREPARE_"
 PREPARE_CATEGORIES = ["PREPARE_ANALOG_DOMICILE", "PREPARE_SIMPLE_REGISTERED_LETTER"]
 
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"

@@ -94,6 +94,11 @@ def cancellable(today: Column | None = None) -> Column:
             & (pk_date != today))
 
 
+def prepare_elements(timeline: DataFrame) -> DataFrame:
+    """FLT-06: timeline elements of the two PREPARE categories with a PREPARE_ id."""
+    return timeline.filter(F.col("category").isin(*C.PREPARE_CATEGORIES) & F.col("element_id").startswith(C.PREPARE_PREFIX))
+
+
 def priority_table(spark: SparkSession) -> DataFrame:
     rows = [(p, k) for p, keys in sorted(C.PRIORITY_MAP.items()) for k in keys]
     return spark.createDataFrame(rows, "priority int, priority_key string")

@@ -30,6 +30,14 @@ def assign_driver(shipments: DataFrame, coverage: DataFrame) -> DataFrame:
     return shipments.join(cov, ["tender_id", "cap", "product_type"], "left")
 
 
+def reject_shared_caps(coverage: DataFrame) -> None:
+    """A cap in two provinces would be granted its capacity once in each: refused at load."""
+    shared = coverage.groupBy("tender_id", "cap").agg(F.count_distinct("province").alias("n")).filter("n > 1")
+    row = shared.first()
+    if row is not None:
+        raise ValueError(f"cap {row['cap']} of tender {row['tender_id']} lies in several provinces")
+
+
 def unassigned(shipments: DataFrame, coverage: DataFrame) -> DataFrame:
     """JOIN-06: (tender, cap, product) needed by shipments but without a driver."""
     need = shipments.select("tender_id", "cap", "product_type").distinct()

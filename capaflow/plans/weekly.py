@@ -54,6 +54,7 @@ def load_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
     if key not in _INPUTS:
         shp = materialize(T.shipments(spark, sf_dir), force=True)
         cov = materialize(T.driver_coverage(spark, sf_dir), force=True)
+        D.reject_shared_caps(cov)
         _INPUTS[key] = Inputs(
             shp, cov,
             materialize(T.driver_capacity(spark, sf_dir, shp, cov), force=True),

@@ -278,7 +278,7 @@ SELECT request_id, workflow_step,
 FROM latest_row""")
 
 q("flt_06", BASE, select="""
-SELECT iun, request_id AS element_id,
+SELECT iun, 'PREPARE_' || request_id AS element_id,
        CASE WHEN product_type = 'RS' THEN 'PREPARE_SIMPLE_REGISTERED_LETTER' ELSE 'PREPARE_ANALOG_DOMICILE' END AS category
 FROM shipments""")
 
@@ -807,7 +807,8 @@ q("src_05", BASE, select="""
 SELECT 'TENDER_1~' || unified_delivery_driver || '~' || geo_key AS pk, 'TENDER_1~' || geo_key AS tender_id_geo_key,
        unified_delivery_driver, geo_key,
        CASE WHEN capacity = 0 THEN NULL ELSE CAST(capacity AS BIGINT) END AS capacity,
-       CAST(capacity * 2 AS BIGINT) AS peak_capacity, activation_from,
+       CAST(capacity * 2 AS BIGINT) AS peak_capacity,
+       CASE WHEN activation_from = '2000-01-01T00:00:00.000Z' THEN '1999-06-01T00:00:00.000Z' ELSE activation_from END AS activation_from,
        CASE WHEN bad_date THEN '1998-06-31T23:59:59.999Z' ELSE activation_to END AS activation_to,
        CASE WHEN products IS NULL THEN NULL ELSE array_to_string(products, ',') END AS products,
        CASE WHEN capacity = 0 OR bad_date THEN 'QUARANTINE' ELSE 'OK' END AS status,

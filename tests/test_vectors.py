@@ -1,6 +1,7 @@
 """Unit vectors of the planner's own tests, re-stated on Spark DataFrames."""
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from capaflow import config as C
@@ -144,3 +145,11 @@ def test_components_need_several_widening_steps(spark):
                                                   ("d5", 16, ["RIS"])]))
     got = {r["component"]: (tuple(r["products"]), r["capacity"]) for r in comps.collect()}
     assert got == {"890": (("890", "AR", "RIR", "RS"), 15), "RIS": (("RIS",), 16)}
+
+
+def test_cap_in_two_provinces_is_refused(spark):
+    from capaflow.operators.drivers import reject_shared_caps
+    cols = "tender_id string, cap string, province string"
+    reject_shared_caps(spark.createDataFrame([("T", "1", "A"), ("T", "1", "A"), ("U", "1", "B")], cols))
+    with pytest.raises(ValueError):
+        reject_shared_caps(spark.createDataFrame([("T", "1", "A"), ("T", "1", "B")], cols))
