@@ -51,6 +51,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Staged tables of one job in a folder of their own, which goes when the job's result is stored."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name = spark, name
+        self.path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+
+    def stage(self, df: DataFrame) -> DataFrame:
+        path = f"{self.path}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """``df`` stored outside the folder; the folder is removed."""
+        out = staged(df, f"{self.name}-result")
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        return out
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True for documents kept out of every model fit: crc32 of the id as text, mod 4, is 2."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -203,17 +224,17 @@ def distinct_sets(h: np.ndarray, r: np.ndarray, rows: int) -> tuple[np.ndarray,
 
 
 # --- connected components ------------------------------------------------------------
-def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
+def connected_components(edges: DataFrame, stage) -> DataFrame:
     """(node, component) of every node of ``edges(a, b)``: the smallest node reachable.
 
     Alternating large-star and small-star steps on distributed edge lists; each
-    step is one aggregation and one join, written to the shared folder. Ends
+    step is one aggregation and one join, written to the shared folder by ``stage``. Ends
     when a full round leaves the edges as they were. Edges with a null end are
     ignored, so are repeated ones.
     """
     e = (edges.select("a", "b").where("a is not null and b is not null and a <> b")
          .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    e = staged(e, name)
+    e = stage(e)
     before = None
     while True:
         # large star: every larger neighbour of u points to the least of u and its neighbours
@@ -221,12 +242,12 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         e = (both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
              .where("u <> v").distinct())
-        e = staged(e, name)
+        e = stage(e)
         # small star: u and its smaller neighbours point to the least of them
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         e = (e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
              .union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        e = staged(e, name)
+        e = stage(e)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if before == now:
             break

@@ -9,10 +9,13 @@ share a bucket. Bands mix values of different permutations only.
 From buckets to groups, without ever listing all pairs of a bucket:
 
 1. Documents with equal sets form a class; its smallest id stands for it.
-2. Each bucket draws one member at random as its centre and checks all others
-   against it on their full sets. Confirmed links give components.
+2. Each bucket draws one member at random as its centre; each document is
+   checked, on full sets, against the centres of the ``centres_each`` largest of
+   its buckets.
+   Confirmed links give components.
 3. Buckets whose members are in one component are done: more links there
-   cannot change anything. The others draw new centres, ``rounds`` times.
+   cannot change anything. The others draw new centres, ``rounds`` times in
+   all. A round checks at most ``centres_each`` pairs per document.
 4. What is left is finished exactly. Members outside a bucket's largest
    component meet all members of other components: as pairs where the bucket
    is small, in tiles of ``tile`` x ``tile`` members where it is large.
@@ -39,10 +42,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capaflow.llm.common import (connected_components, distinct_sets, in_batches, pieces, random_words, shingle_hashes,
-                                 splitmix, staged, utf8_buffers)
-
-CHUNK = 1 << 16  # set elements hashed at a time
+from capaflow.llm.common import (Scratch, connected_components, distinct_sets, in_batches, pieces, random_words,
+                                 shingle_hashes, splitmix, utf8_buffers)
 
 
 def band_keys(sets: np.ndarray, off: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -130,7 +131,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
 
 def _tile_links(size: int, percent: int):
-    """Links of one tile between members of different components, enough of them to join all that belong together."""
+    """Links of one tile between members of different components, enough of them to join all that belong together.
+
+    A pair is compared only under the first band that both share; under later ones it has been.
+    """
     def work(rows: pa.Table) -> pa.Table:
         ids, comp = rows.column("id").to_pylist(), rows.column("comp").to_pylist()
         outer = np.array(rows.column("outer").to_pylist(), dtype=bool)
@@ -145,9 +149,15 @@ def _tile_links(size: int, percent: int):
                 x = root[x]
             return x
 
+        keys = rows.column("keys").combine_chunks().values.to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        band = int(np.flatnonzero(keys[0] == rows.column("key")[0].as_py())[0])
+        inner = np.flatnonzero(~outer)
+        lengths = np.array([len(x) for x in sets])
         a, b = [], []
         for i in np.flatnonzero(outer):
-            for j in np.flatnonzero(~outer):
+            near = 100 * np.minimum(lengths[inner], lengths[i]) >= percent * np.maximum(lengths[inner], lengths[i])
+            fresh = inner[near & ~(keys[inner, :band] == keys[i, :band]).any(axis=1)]
+            for j in fresh:
                 if find(comp[i]) != find(comp[j]) and _linked(sets[i], sets[j], percent):
                     root[find(comp[i])] = find(comp[j])
                     a.append(ids[i])
@@ -157,51 +167,57 @@ def _tile_links(size: int, percent: int):
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80,
-                    bands: int = 60, rows: int = 7, rounds: int = 2, pair_members: int = 24, tile: int = 128) -> DataFrame:
+                    bands: int = 60, rows: int = 7, rounds: int = 3, centres_each: int = 3, pair_members: int = 24, tile: int = 128) -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id (smallest id reachable) and kept."""
-    rows_ = staged(signatures(docs, doc_id, text, size, bands, rows), "minmax-signatures")
-    classes = staged(rows_.where("digest is not null").groupBy("digest")
-                     .agg(F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys")), "minmax-classes")
-    members = classes.where("rep is not null").select("rep", F.explode("keys").alias("key"))
+    scratch = Scratch(docs.sparkSession, "minmax")
+    rows_ = scratch.stage(signatures(docs, doc_id, text, size, bands, rows))
+    classes = scratch.stage(rows_.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep")))
+    # the rows that stand for their classes, met by digest and id, so that a class of many copies is spread
+    members = (rows_.join(classes.withColumnRenamed("rep", "id"), ["digest", "id"], "left_semi")
+               .select(F.col("id").alias("rep"), F.explode("keys").alias("key")))
     shared = members.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("key")
-    members = staged(members.join(shared, "key").distinct(), "minmax-buckets")
+    members = scratch.stage(members.join(shared, "key").distinct())
+    keys = rows_.join(classes.withColumnRenamed("rep", "id"), ["digest", "id"], "left_semi").select("id", "keys")
     ids = members.select(F.col("rep").alias("id")).distinct()
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     texts = (texts.where("id is not null and text is not null").join(ids, "id", "left_semi")
              .withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).drop("h"))
-    texts = staged(texts, "minmax-texts")
+    texts = scratch.stage(texts)
 
-    links, comps = None, None
+    links = checked = comps = None
+    open_ = members.withColumn("comp", F.col("rep"))
     for k in range(rounds):
-        open_ = members if comps is None else _unfinished(members, comps)
         draw = F.xxhash64(F.lit(k), F.col("key"), F.col("rep"))
-        centres = open_.groupBy("key").agg(F.min_by("rep", draw).alias("centre"))
-        pairs = open_.join(centres, "key").where("rep <> centre")
-        if comps is not None:
-            pairs = (pairs.join(comps.select(F.col("node").alias("centre"), F.col("component").alias("cc")), "centre", "left")
-                     .where(F.coalesce("cc", "centre") != F.col("comp")))
-        pairs = pairs.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-        found = staged(confirmed(pairs, texts, size, percent), "minmax-links")
-        links = found if links is None else links.union(found)
-        comps = connected_components(links, "minmax-components")
-
-    found = staged(_rest(_unfinished(members, comps), texts, size, percent, pair_members, tile), "minmax-links")
+        centres = open_.groupBy("key").agg(F.count("*").alias("n"), F.min_by(F.struct("rep", "comp"), draw).alias("c"))
+        # of the centres that a document could be checked against those of its largest buckets, one list per document
+        choice = F.collect_set(F.struct("n", "key", F.col("c.rep").alias("centre")))
+        pairs = (open_.join(centres, "key").where("comp <> c.comp")
+                 .groupBy("rep").agg(F.slice(F.sort_array(choice, asc=False), 1, centres_each).alias("choice"))
+                 .select("rep", F.explode("choice.centre").alias("centre"))
+                 .select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct())
+        pairs = scratch.stage(pairs)
+        found = scratch.stage(confirmed(pairs, texts, size, percent))
+        links, checked = (found, pairs) if links is None else (links.union(found), checked.union(pairs))
+        comps = connected_components(links, scratch.stage)
+        open_ = scratch.stage(_unfinished(members, comps))
+
+    found = scratch.stage(_rest(open_, checked, texts, keys, scratch, size, percent, pair_members, tile))
     if not found.isEmpty():
-        comps = connected_components(links.union(found), "minmax-components")
+        links = links.union(found)
+        comps = connected_components(links, scratch.stage)
     # a row's component is that of its class; an id with several texts joins their classes
     # through the edges between representatives and ids
-    extra = (rows_.where("digest is not null").join(classes.select("digest", "rep"), "digest")
-             .where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
     reused = rows_.where("id is not null and digest is not null").groupBy("id").agg(
         F.min("digest").alias("d"), F.max("digest").alias("e")).where("d <> e").select(F.col("id").alias("a"))
-    extra = extra.join(reused, "a", "left_semi")
+    extra = scratch.stage(rows_.where("digest is not null").join(classes, "digest").where("id <> rep")
+                          .select(F.col("id").alias("a"), F.col("rep").alias("b")).join(reused, "a", "left_semi").distinct())
     if not extra.isEmpty():
-        comps = connected_components(links.union(found).union(extra), "minmax-components")
+        comps = connected_components(links.union(extra), scratch.stage)
     named = (classes.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
              .select("digest", F.coalesce("component", "rep").alias("component")))
     component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component"))
-    return (rows_.join(named, "digest", "left")
-            .select("id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept")))
+    return scratch.result(rows_.join(named, "digest", "left").select(
+        "id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept")))
 
 
 def _unfinished(members: DataFrame, comps: DataFrame) -> DataFrame:
@@ -212,18 +228,19 @@ def _unfinished(members: DataFrame, comps: DataFrame) -> DataFrame:
     return known.join(several, "key")
 
 
-def _rest(open_: DataFrame, texts: DataFrame, size: int, percent: int, pair_members: int, tile: int) -> DataFrame:
+def _rest(open_: DataFrame, checked: DataFrame, texts: DataFrame, keys: DataFrame, scratch: Scratch, size: int, percent: int,
+          pair_members: int, tile: int) -> DataFrame:
     """Links between components inside unfinished buckets, found from all their cross pairs."""
-    open_ = staged(open_, "minmax-open")
     per = open_.groupBy("key", "comp").agg(F.count("*").alias("n"))
     per = per.groupBy("key").agg(F.sum("n").alias("n"), F.max_by("comp", F.struct("n", "comp")).alias("largest"))
     small = open_.join(per.where(F.col("n") <= pair_members).select("key", "largest"), "key")
     left = small.where("comp <> largest").select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"))
     pairs = (left.join(small.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"), "largest"), "key")
              .where("ca <> cb and (cb = largest or a < b)")
-             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+             .join(checked, ["a", "b"], "left_anti"))
     found = confirmed(pairs, texts, size, percent)
-    large = staged(open_.join(per.where(F.col("n") > pair_members).select("key", "largest", "n"), "key"), "minmax-large")
+    large = scratch.stage(open_.join(per.where(F.col("n") > pair_members).select("key", "largest", "n"), "key"))
     if large.isEmpty():
         return found
     outside = large.where("comp <> largest").groupBy("key").agg(F.count("*").alias("m"))
@@ -235,5 +252,7 @@ def _rest(open_: DataFrame, texts: DataFrame, size: int, percent: int, pair_memb
     cols = large.select("key", F.col("rep").alias("id"), "comp",
                         F.explode(F.sequence(F.lit(0).cast("long"), F.col("no") - 1)).alias("i"),
                         F.pmod(spread, "nm").alias("j"), F.lit(False).alias("outer"))
-    tiles = rows_.unionByName(cols).join(texts, "id").groupBy("key", "i", "j")
+    members = large.select(F.col("rep").alias("id")).distinct()
+    carried = scratch.stage(texts.join(members, "id", "left_semi").join(keys, "id"))
+    tiles = rows_.unionByName(cols).join(carried, "id").groupBy("key", "i", "j")
     return found.union(tiles.applyInArrow(_tile_links(size, percent), "a long, b long"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capaflow.llm.common import connected_components, in_batches, random_words, splitmix, staged
+from capaflow.llm.common import Scratch, connected_components, in_batches, random_words, splitmix
 
 
 def collision(distance: float, width: float) -> float:
@@ -149,10 +149,11 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
                     width: float = 2.0, bucket: int = 128, miss: float = 1e-3, tile: int = 256) -> DataFrame:
     """Per row: id, n_links, component_id and kept."""
     m, tables = table_plan(vectors.count(), cosine, width, bucket, miss)
-    rows = staged(hashed(vectors, vec_id, embedding, m, tables, width), "pstable-vectors")
-    classes = staged(rows.where("digest is not null").groupBy("digest").agg(
+    scratch = Scratch(vectors.sparkSession, "pstable")
+    rows = scratch.stage(hashed(vectors, vec_id, embedding, m, tables, width))
+    classes = scratch.stage(rows.where("digest is not null").groupBy("digest").agg(
         F.min("id").alias("rep"), F.count("*").alias("copies"), F.min_by("vector", "id").alias("vector"),
-        F.min_by("keys", "id").alias("keys")), "pstable-classes")
+        F.min_by("keys", "id").alias("keys")))
     members = classes.select("rep", F.xxhash64("digest").alias("deal"), F.posexplode("keys").alias("t", "key"))
     per = members.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / tile)
@@ -160,14 +161,14 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
                .withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
                .select("rep", "t", "key", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j")))
     tiles = members.join(classes.select("rep", "copies", "vector", "keys"), "rep").groupBy("t", "key", "i", "j")
-    found = staged(tiles.applyInArrow(_compare(cosine), "a long, links long, b long"), "pstable-links")
-    comps = connected_components(found.where("b is not null").select("a", "b"), "pstable-components")
+    found = scratch.stage(tiles.applyInArrow(_compare(cosine), "a long, links long, b long"))
+    comps = connected_components(found.where("b is not null").select("a", "b"), scratch.stage)
     more = found.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "rep")
     named = (classes.select("digest", "rep", "copies").join(more, "rep", "left")
              .join(comps.withColumnRenamed("node", "rep"), "rep", "left")
              .select("digest", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
                      F.coalesce("component", "rep").alias("component")))
     component = F.coalesce("component", "id")
-    return rows.join(named, "digest", "left").select(
+    return scratch.result(rows.join(named, "digest", "left").select(
         "id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"),
-        component.eqNullSafe(F.col("id")).alias("kept"))
+        component.eqNullSafe(F.col("id")).alias("kept")))
