@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capaflow.llm.common import kept_beside, pieces, random_words, splitmix, utf8_buffers, word_hashes, word_spans
+from capaflow.llm.common import in_batches, kept_beside, pieces, random_words, splitmix, utf8_buffers, word_hashes, word_spans
 
 BUCKETS = 1 << 18
 SHAPE_ORDERS = (1, 2, 3)
@@ -192,9 +192,16 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 4.0, calibrate
     return out
 
 
-def sample_features(labelled: DataFrame, most_rows: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Feature buckets and labels of the sample; ``labelled`` has doc_id, text and label."""
-    sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(most_rows)
+def sample_features(docs: DataFrame, labels: DataFrame, label: str, most_rows: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Feature buckets and labels of the sample, in order of ids.
+
+    The sample is drawn among ids alone, and its ids (``most_rows`` at most, so
+    broadcast) then pick the texts: no other text leaves its place.
+    """
+    ids = labelled_ids(labels, label).join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+    drawn = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
+    sample = sample.dropDuplicates(["doc_id"])  # an id that occurs again is one document
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,22 +212,21 @@ def sample_features(labelled: DataFrame, most_rows: int) -> tuple[list[np.ndarra
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), lists],
                                                  names=["doc_id", "label", "features"])
 
-    got = (sample.select("doc_id", "text", F.col("label").cast("int").alias("label"))
-           .mapInArrow(work, "doc_id long, label int, features array<int>").toArrow().sort_by("doc_id"))
+    rows = sample.select("doc_id", "text", F.col("label").cast("int").alias("label"))
+    got = in_batches(rows, work, "doc_id long, label int, features array<int>").toArrow().sort_by("doc_id")
     features = got.column("features").combine_chunks()
     off = features.offsets.to_numpy()
     return np.split(features.values.to_numpy().astype(np.int64), off[1:-1]) if len(features) else [], got.column("label").to_numpy()
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """doc_id, text and label of the labelled documents."""
-    own = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("label"))
-           .where("label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label")))
-    return docs.select("doc_id", "text").join(own, "doc_id")
+def labelled_ids(labels: DataFrame, label: str = "quality") -> DataFrame:
+    """doc_id and label of the labelled documents."""
+    return (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("label"))
+            .where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label")))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = 6000) -> Model:
-    return fit(*sample_features(labelled_rows(docs, labels, label), most_rows))
+    return fit(*sample_features(docs, labels, label, most_rows))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), cut: float = 0.7) -> DataFrame:
@@ -239,4 +245,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
                     [*(c.slice(lo, hi - lo) for c in batch.columns[1:]), pa.array(score), pa.array((score >= cut).astype(np.int32))],
                     names=[*keep, "score", "predicted"])
 
-    return rows.mapInArrow(work, ", ".join([*fields, "score double, predicted int"]))
+    return in_batches(rows, work, ", ".join([*fields, "score double, predicted int"]))
