@@ -25,10 +25,10 @@ any length is processed whole.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
 from operator import itemgetter
 
 import ahocorasick
@@ -73,8 +73,8 @@ class Encoder:
     def __init__(self, model: PieceModel):
         self.model = model
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.older: dict[str, tuple[tuple[int, ...], str]] = {}  # the table before it was last full
+        self.words: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}  # the table before it was last full
         ids = model.ids
         # pieces that merging their own characters gives back; others never come out
         self.usable = {p: i for p, i in ids.items() if self.merged(p) == [p]}
@@ -193,49 +193,67 @@ class Encoder:
 
     _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
-    def encode_joined(self, text: str) -> tuple[list[int], str]:
-        """The ids, and the ids as decimal text joined by commas."""
-        text = self.normalise(text)
-        if not self.by_word:
-            ids = self.chunk(text)
-            return ids, ",".join(map(str, ids))
-        got = self.words
-        found = [got.get(w) or self.word(w) for w in self._WORD.findall(text)]
-        return list(chain.from_iterable(map(itemgetter(0), found))), ",".join(map(itemgetter(1), found))
-
-    def word(self, w: str) -> tuple[tuple[int, ...], str]:
-        """Ids of a word (also as text), remembered if it is not too long."""
-        got = self.older.get(w)
+    def words_of(self, text: str) -> list[tuple[str, bytes]]:
+        """For each word of a text, with the spaces before it: its ids as decimal text and the bytes they stand for."""
+        known, made = self.words, self.word
+        if self.model.dummy_prefix and "  " not in text and SPACE not in text and text[:1] != " " != text[-1:]:
+            return [known.get(w) or made(w, SPACE + w) for w in text.split(" ")]  # one space before each word
+        return [known.get(w) or made(w, w) for w in self._WORD.findall(self.normalise(text))]
+
+    def word(self, key: str, chunk: str) -> tuple[str, bytes]:
+        """Ids of a chunk and their bytes, remembered if it is not too long."""
+        got = self.older.get(key)
         if got is None:
-            ids = self.chunk(w)
-            got = (tuple(ids), ",".join(map(str, ids)))
-        if len(w) <= 64:
+            ids = self.chunk(chunk)
+            got = (",".join(map(str, ids)), b"".join(map(self.piece_bytes.__getitem__, ids)))
+        if len(key) <= 64:
             if len(self.words) >= WORD_MEMORY:
                 self.older = dict(self.words)
                 self.words.clear()
-            self.words[w] = got
+            self.words[key] = got
         return got
 
+    def encode_decode(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, the ids as decimal text joined by commas, and the text they decode to.
+
+        A word's bytes do not depend on its neighbours, so the decoded text is the words' bytes in a row.
+        """
+        if not text:
+            return 0, "", ""
+        if not self.by_word:
+            ids = self.chunk(self.normalise(text))
+            return len(ids), ",".join(map(str, ids)), self.decode(ids)
+        words = self.words_of(text)
+        joined = ",".join(map(itemgetter(0), words))
+        raw = b"".join(map(itemgetter(1), words))
+        return joined.count(",") + 1, joined, self.text_of(raw, self.starts_with_space(int(words[0][0].partition(",")[0])))
+
+    def encode(self, text: str | None) -> list[int]:
+        joined = self.encode_decode(text or "")[1]
+        return [int(x) for x in joined.split(",")] if joined else []
+
     def forget(self) -> None:
         """Give up the remembered words."""
         self.words, self.older = {}, {}
 
-    def encode(self, text: str | None) -> list[int]:
-        return self.encode_joined(text or "")[0]
+    def starts_with_space(self, first: int) -> bool:
+        """Whether the space that normalisation adds is the start of this first piece."""
+        return self.model.dummy_prefix and self.model.types[first] == NORMAL and self.piece_bytes[first][:1] == b" "
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of ids: the bytes of all pieces read as UTF-8, the added first space taken off."""
-        kinds, skip = self.model.types, 0
-        while skip < len(ids) and kinds[ids[skip]] == CONTROL:
-            skip += 1
-        raw = b"".join(map(self.piece_bytes.__getitem__, ids))
-        if self.model.dummy_prefix and skip < len(ids) and kinds[ids[skip]] == NORMAL and raw[:1] == b" ":
+    def text_of(self, raw: bytes, added_space: bool) -> str:
+        if added_space:
             raw = raw[1:]
         try:
             return raw.decode()
         except UnicodeDecodeError:
             return _utf8(raw)
 
+    def decode(self, ids: list[int]) -> str:
+        """Text of ids: the bytes of all pieces read as UTF-8, the added first space taken off."""
+        first = next((i for i in ids if self.model.types[i] != CONTROL), None)
+        raw = b"".join(map(self.piece_bytes.__getitem__, ids))
+        return self.text_of(raw, first is not None and self.starts_with_space(first))
+
 
 def _utf8(raw: bytes) -> str:
     """Each byte that no character can use becomes one U+FFFD."""
@@ -277,22 +295,28 @@ def encode_decode(docs: DataFrame, model_file: str, text: str = "text", keep: tu
     rows = docs.select(F.col(f"`{text}`").cast("string").alias("_text"), *[F.col(f"`{c}`") for c in keep])
     schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes[1:]), f"{names[0]} long", f"{names[1]} string", f"{names[2]} string"])
 
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+
+    def encoded(encoder: Encoder, part: pa.RecordBatch) -> pa.RecordBatch:
+        n, ids, back = [], [], []
+        for t in part.column(0):
+            count, joined, decoded = encoder.encode_decode(t.as_py() or "")
+            n.append(count)
+            ids.append(sha(joined) if digests else joined)
+            back.append(sha(decoded) if digests else decoded)
+        return pa.RecordBatch.from_arrays(
+            [*part.columns[1:], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
+            names=[*keep, *names])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load(serialized)
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                n, ids, back = [], [], []
-                for t in part.column(0):
-                    tokens, joined = encoder.encode_joined(t.as_py() or "")
-                    decoded = encoder.decode(tokens)
-                    n.append(len(tokens))
-                    ids.append(sha(joined) if digests else joined)
-                    back.append(sha(decoded) if digests else decoded)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[1:], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
-                    names=[*keep, *names])
-        encoder.forget()  # the worker lives on for other tasks
+        gc.disable()  # nothing here is cyclic, and the remembered words are many to walk through
+        try:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 1000):
+                    yield encoded(encoder, batch.slice(lo, 1000))
+        finally:
+            encoder.forget()  # the worker lives on for other tasks
+            gc.enable()
 
     return in_batches(rows, work, schema)
