@@ -14,10 +14,10 @@ def test_entry_runs(spark):
     assert "final_step" in df.columns
 
 
-def test_every_query_has_an_oracle_or_is_rows_only():
+def test_every_query_of_the_reference_has_an_oracle():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"str_02"}
+    assert {x for x in set(q) - set(o) if x != "pipeline" and not x.startswith("op")} == set()
 
 
 @pytest.mark.parametrize("name", ["weekly_plan", "alc_01", "alc_06", "agg_04", "agg_11", "alc_10",
