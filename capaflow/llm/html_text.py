@@ -9,9 +9,15 @@
    lengths outside links. A *surge* is a line from which the windows are filled
    up to ``surge`` characters or more; a *dive* is where a window becomes
    empty. Between them all lines are kept, short ones too.
-3. If no window reaches ``surge``, the fullest stretch is kept: a short article.
-   If class names and ids leave nothing at all, they are disregarded. Lines inside an ``article`` or ``main`` element, if there is one with text, are the
-   only ones looked at.
+   If no window reaches ``surge``, the fullest stretch is kept: a short article.
+3. What the article is cut into by removed elements belongs together: of the other
+   stretches, lines are kept that lie in a *box* (a block that is not itself a paragraph, list,
+   heading or section) whose own lines in the stretches kept make ``surge`` characters, or anywhere
+   inside it unless it is the page. A block of one line counts as a line of the box around it.
+   An ``h1`` also counts in any box around. Headings right before a stretch are of it, even as links.
+4. Lines inside an ``article`` or ``main`` element, if there is one with text, are the only ones
+   looked at.
+   If class names and ids leave nothing at all, they are disregarded.
 
 Blocks are joined by one newline in page order. Defined results: null and
 empty pages give the empty text; an element left open ends with its parent
@@ -23,7 +29,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,6 +62,10 @@ MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adse
          "notice", "notices", "notification", "pager", "pagination", "popup", "promo", "promotion", "recommended", "related",
          "replies", "reply", "respond", "reviews", "search", "share", "sharing", "sidebar", "signup", "sitenav", "social",
          "sponsor", "sponsored", "subscribe", "subscription", "tags", "toolbar", "topbar", "widget", "widgets"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+# Blocks whose lines belong to the box around them.
+LINES = CLOSES_PARAGRAPH - {"article", "aside", "div", "main", "nav"} | INLINE | {"html", "body", "li", "dd", "dt", "hgroup", "caption",
+                                                                                  "summary", "tbody", "thead", "tfoot", "tr"}
 STATE = {"has", "with", "no", "without", "is", "js"}
 OWN = {"article", "entry", "post", "story", "content"}
 
@@ -100,10 +112,27 @@ def _apart(tag: str, attributes: dict[str, str], in_article: bool, by_name: bool
     return bool(found) and not (tag == "article" and not found & {"comment", "comments", "reply", "ad", "advert", "promo"})
 
 
-def lines(page: str, by_name: bool = True) -> list[tuple[str, int, bool]]:
-    """(text, its length outside links, inside an article element) of every line; gaps are WINDOW empty lines."""
-    out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, apart, article, link
+class Line(NamedTuple):
+    text: str
+    plain: int       # length outside links
+    inside: bool     # an article or main element
+    box: int         # place in the boxes
+    level: int       # of the heading it is in, or 0
+
+
+class Box(NamedTuple):
+    around: int      # the box it lies in; the page is box 0, in itself
+    article: bool
+
+
+GAP = Line("", 0, False, 0, 0)
+
+
+def lines(page: str, by_name: bool = True) -> tuple[list[Line], list[Box]]:
+    """Every line, and the boxes they lie in, outer ones first; gaps are WINDOW empty lines."""
+    out: list[Line] = []
+    boxes = [Box(0, False)]
+    stack: list[tuple[str, bool, bool, bool, int, int]] = []  # tag, apart, article, link, box, heading level
     held: list[str] = []
     plain = [0]
     apart = articles = links = 0
@@ -112,20 +141,21 @@ def lines(page: str, by_name: bool = True) -> list[tuple[str, int, bool]]:
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            out.append((text, plain[0] if plain[0] else 0, articles > 0))
+            box, level = stack[-1][4:] if stack else (0, 0)
+            out.append(Line(text, plain[0], articles > 0, box, level))
         plain[0] = 0
 
     def add(text: str) -> None:
         if apart or not text:
             return
         held.append(text)
-        if not links:
+        if not links or stack[-1][5] == 1:  # titles are often links to their own page
             plain[0] += len("".join(text.split()))
 
     def pop(to: int) -> None:
         nonlocal apart, articles, links
         while len(stack) > to:
-            _, was_apart, was_article, was_link = stack.pop()
+            _, was_apart, was_article, was_link, *_ = stack.pop()
             apart -= was_apart
             articles -= was_article
             links -= was_link
@@ -179,14 +209,18 @@ def lines(page: str, by_name: bool = True) -> list[tuple[str, int, bool]]:
         is_apart = _apart(tag, attributes, articles > 0, by_name)
         if is_apart and not apart:
             close_line()
-            out += [("", 0, False)] * WINDOW
+            out += [GAP] * WINDOW
         is_article = tag in ("article", "main") or attributes.get("role", "").lower() in ("main", "article")
-        stack.append((tag, is_apart, is_article and not is_apart, tag == "a"))
+        box, level = stack[-1][4:] if stack else (0, 0)
+        if not apart and not is_apart and (is_article or tag not in LINES):
+            boxes.append(Box(box, is_article))
+            box, level = len(boxes) - 1, 0
+        stack.append((tag, is_apart, is_article and not is_apart, tag == "a", box, int(tag[1]) if tag in HEADINGS else level))
         apart += is_apart
         articles += is_article and not is_apart
         links += tag == "a"
     close_line()
-    return out
+    return out, boxes
 
 
 def stretches(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
@@ -210,21 +244,68 @@ def stretches(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> l
     return [best[:2]]
 
 
+def _belongs(found: list[Line], boxes: list[Box], kept: list[tuple[int, int]], surge: int) -> list[bool]:
+    """Per line, whether its box makes it a part of the article that the stretches kept are of."""
+    held = Counter(x.box for x in found if x.text)
+    outer = {b.around for b in boxes[1:]}
+    # the box that a line counts in: the one around, if it has its own to itself
+    alone = [held[k] == 1 and k not in outer and not b.article for k, b in enumerate(boxes)]
+    home = [boxes[x.box].around if alone[x.box] else x.box for x in found]
+    own, paragraphs = Counter(), Counter()
+    for a, b in kept:
+        for k in range(a, b):
+            own[found[k].box] += found[k].plain
+            paragraphs[home[k]] += found[k].box != home[k] and found[k].plain >= surge
+    if kept and max(own.values()) < surge:  # of a short article, the fullest box
+        full = {max(own, key=lambda k: (own[k], -k))}
+    else:
+        full = {k for k, n in own.items() if n >= surge} | {k for k, n in paragraphs.items() if n > 1}
+    within, around = [False] * len(boxes), [False] * len(boxes)
+    for k, box in enumerate(boxes):
+        within[k] = k > 0 and (k in full or within[box.around])
+    for k in range(len(boxes) - 1, -1, -1):
+        around[k] |= k in full
+        around[boxes[k].around] |= around[k]
+    return [within[h] or h == 0 and 0 in full or boxes[h].article or x.level == 1 and around[x.box] for x, h in zip(found, home)]
+
+
+def _ends(found: list[Line], a: int, b: int, few: int) -> tuple[int, int]:
+    """A stretch with the headings before it, and with at most ``few`` lines of links at either end, of the same box."""
+    def link(k: int, edge: int) -> bool:
+        return 0 <= k < len(found) and found[k].text != "" and not found[k].plain and found[k].box == found[edge].box
+
+    lo, hi = a, b
+    while link(lo - 1, a):
+        lo -= 1
+    while link(hi, b - 1):
+        hi += 1
+    if a - lo > few:
+        lo = a
+        while link(lo - 1, a) and found[lo - 1].level:
+            lo -= 1
+    return lo, (hi if hi - b <= few else b)
+
+
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article's text of a page, its blocks joined by newlines."""
     if not page:
         return ""
-    found = lines(page)
-    if not any(text for text, _, _ in found):  # a name too many: go by elements and roles only
-        found = lines(page, by_name=False)
-    if any(inside and text for text, _, inside in found):
-        found = [x if x[2] else ("", 0, False) for x in found]
+    found, boxes = lines(page)
+    if not any(x.text for x in found):  # a name too many: go by elements and roles only
+        found, boxes = lines(page, by_name=False)
+    inside = any(x.inside and x.text for x in found)
+    if inside:
+        found = [x if x.inside else GAP for x in found]
         # in the page's own article, links are part of the text
-        lengths = [len(text) for text, _, _ in found]
-        kept = stretches(lengths, window, 1)
-    else:
-        kept = stretches([n for _, n, _ in found], window, surge)
-    return "\n".join(text for a, b in kept for text, _, _ in found[a:b] if text)
+        found, surge = [x._replace(plain=len(x.text)) for x in found], 1
+    lengths = [x.plain for x in found]
+    kept = stretches(lengths, window, surge)
+    belongs = _belongs(found, boxes, kept, surge)
+    full = {a for a, _ in kept}
+    every = stretches(lengths, window, 1)
+    ends = [_ends(found, a, b, window - 1 if inside else 0) for a, b in every]
+    take = sorted({k for (a, _), (lo, hi) in zip(every, ends) for k in range(lo, hi) if found[k].text and (a in full or belongs[k])})
+    return "\n".join(found[k].text for k in take)
 
 
 def extract(pages: DataFrame, html_column: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -29,6 +29,22 @@ def test_pages(page, text):
     assert H.main_text(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<div><p>{LONG}{LONG}</p><div class=ad>x</div><p>He died in 1990.</p></div>", f"{LONG}{LONG}\nHe died in 1990."),
+    (f"<body><h1>T</h1><div class=share>s</div><div><p>{LONG}</p><p>s</p></div>", f"T\n{LONG}\ns"),
+    (f"<div><p>{LONG}</p><div class=share>s</div><h2>H</h2><ul><li>one</ul><div class=related>r</div><section><p>end</p></section></div>",
+     f"{LONG}\nH\none\nend"),
+    (f"<div><div>{LONG}</div><div>{LONG}</div><div class=ad>x</div><div>He died.</div></div>", f"{LONG}\n{LONG}\nHe died."),
+    # a short article in parts
+    ("<div><p>Short one.</p><div class=ad>x</div><p>Short two.</p></div>", "Short one.\nShort two."),
+    # what lies in no box of the article stays out
+    (f"<div><div>Slogan</div><nav>n</nav><div><p>{LONG}</p><p>s</p></div><div class=social>f</div><div><p>Imprint</p><p>x</p></div></div>",
+     f"{LONG}\ns"),
+])
+def test_removed_elements_do_not_cut_an_article(page, text):
+    assert H.main_text(page) == text
+
+
 def test_stretches_by_surge_and_dive():
     assert H.stretches([5, 5, 0, 0, 0, 90, 3, 0, 2, 0, 0, 0, 4]) == [(5, 9)]
     assert H.stretches([5, 5, 0, 0, 0, 4]) == [(0, 2)]
