@@ -16,7 +16,8 @@
    inside it unless it is the page. A block of one line counts as a line of the box around it.
    An ``h1`` also counts in any box around. Headings right before a stretch are of it, even as links.
 4. Lines inside an ``article`` or ``main`` element, if there is one with text, are the only ones
-   looked at.
+   looked at; surge and dive decide among them too. Lines directly in the element are its own, and fewer than
+   ``window`` lines of links next to a stretch, in its box, are no list of links. An article of links only is kept whole.
    If class names and ids leave nothing at all, they are disregarded.
 
 Blocks are joined by one newline in page order. Defined results: null and
@@ -296,8 +297,8 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     inside = any(x.inside and x.text for x in found)
     if inside:
         found = [x if x.inside else GAP for x in found]
-        # in the page's own article, links are part of the text
-        found, surge = [x._replace(plain=len(x.text)) for x in found], 1
+        if not any(x.plain for x in found):
+            found = [x._replace(plain=len(x.text)) for x in found]
     lengths = [x.plain for x in found]
     kept = stretches(lengths, window, surge)
     belongs = _belongs(found, boxes, kept, surge)

@@ -45,6 +45,22 @@ def test_removed_elements_do_not_cut_an_article(page, text):
     assert H.main_text(page) == text
 
 
+LINKS = "<ul>" + "".join(f"<li><a href=/{k}>Topic number {k}</a></li>" for k in range(6)) + "</ul>"
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    # unmarked lists of links go, before, between and after
+    (f"<article>{LINKS}<h1><a href=x>T</a></h1><p>{LONG}</p>{LINKS}<p>End.</p>{LINKS}</article>", f"T\n{LONG}\nEnd."),
+    (f"<main><div>{LINKS}</div><div><h2><a href=x>T</a></h2><p>{LONG}</p><p><a href=x>Source</a></p></div></main>", f"T\n{LONG}\nSource"),
+    # so do short blocks apart from the text, but not the article's own ones
+    (f"<article><div>By J</div><div class=share>s</div><div><p>{LONG}</p><p>e</p></div><div class=ad>x</div><div><p>Not</p><p>ice</p></div></article>",
+     f"By J\n{LONG}\ne"),
+    (f"<article>{LINKS}</article>", "\n".join(f"Topic number {k}" for k in range(6))),
+])
+def test_surge_and_dive_decide_inside_an_article(page, text):
+    assert H.main_text(page) == text
+
+
 def test_stretches_by_surge_and_dive():
     assert H.stretches([5, 5, 0, 0, 0, 90, 3, 0, 2, 0, 0, 0, 4]) == [(5, 9)]
     assert H.stretches([5, 5, 0, 0, 0, 4]) == [(0, 2)]
