@@ -41,7 +41,10 @@ def weekly_plan(spark, sf_dir):
 
 @query("weekly_plan_chained")
 def weekly_plan_chained(spark, sf_dir):
-    """Two rounds of chained weeks: what a week cannot place is planned again in the next week."""
+    """Two rounds of chained weeks, as its SQL: what a week cannot place is planned once more in the next week.
+
+    What is pushed a second time stays in the sender step; ``run_weeks`` without ``rounds`` plans it to the end.
+    """
     return W.run_weeks(spark, W.load_inputs(spark, sf_dir), rounds=2)
 
 

@@ -16,6 +16,8 @@ DELETED_PREFIX = "DELETED~"
 
 #: Final step of a shipment that no driver covers (a value of our own).
 NO_DRIVER = "NO_DRIVER"
+#: Final step of a shipment that no week to come has capacity for (a value of our own).
+NO_CAPACITY = "NO_CAPACITY"
 
 # --- fixed values: products ---------------------------------------------------
 PRODUCT_RS = "RS"

@@ -179,18 +179,21 @@ def weekly_plan(inp: Inputs) -> DataFrame:
 def run_weeks(spark: SparkSession, inp: Inputs, rounds: int | None = None) -> DataFrame:
     """Chained weeks: what a week cannot place is input of the next one.
 
-    A week is planned once the week before it has nothing left to plan, so weeks
+    Without ``rounds``, until every shipment is placed or can never be (``_whole_chain``).
+    With ``rounds``, a week is planned once the week before it has nothing left to plan, so weeks
     that follow each other are planned one after the other, and all weeks that
-    do not are planned together in one round. Ends after ``rounds`` rounds
-    or when every shipment is placed. Returns one row per shipment: its last placement
-    and ``attempts``, the number of weeks in which it was planned; rows whose turn has not
+    do not are planned together in one round; ends after ``rounds`` rounds, placed or not.
+    Returns one row per shipment: its last placement and ``attempts``, the number of weeks
+    in which it was planned; rows whose turn has not
     come are in the sender step of their week with the attempts so far.
     """
+    if rounds is None:
+        return _whole_chain(inp)
     base = inp.shipments
     pending = base.select(*base.columns, F.lit(False).alias("carried"), F.lit(0).alias("attempts"))
     placed: list[DataFrame] = []
     done = 0
-    while rounds is None or done < rounds:
+    while done < rounds:
         weeks = sorted(r[0] for r in pending.select("delivery_week").distinct().collect())  # one row per week
         ready = [w for w in weeks if w - datetime.timedelta(days=7) not in weeks]
         if not ready:
@@ -209,3 +212,54 @@ def run_weeks(spark: SparkSession, inp: Inputs, rounds: int | None = None) -> Da
     for plan in placed:
         waiting = waiting.unionByName(plan, allowMissingColumns=True)
     return waiting
+
+
+def _changes(inp: Inputs) -> list[datetime.date]:
+    """Days on which a version of a driver's or of the print capacity begins or ends: as many as there are versions."""
+    days = [inp.capacity.select(F.to_date(F.substring(c, 1, 10)).alias("d")) for c in ("activation_from", "activation_to")]
+    days.append(inp.print_config.select(F.col("start_date").cast("date").alias("d")))
+    return sorted(r.d for r in days[0].union(days[1]).union(days[2]).where("d is not null").distinct().collect())
+
+
+def _whole_chain(inp: Inputs) -> DataFrame:
+    """Week by week, the earliest one first, until no shipment is left that a week could place.
+
+    The first row of a driver fits wherever there is capacity, so a week that places nothing has none for any of its rows,
+    and neither have the weeks after it before a capacity changes. Its rows go on, with an attempt for each
+    week, to the first week that has other shipments or another capacity; if there is none they end as ``NO_CAPACITY``.
+    """
+    base, changes = inp.shipments, _changes(inp)
+    step = datetime.timedelta(days=7)
+    own = {r[0] for r in base.select("delivery_week").distinct().collect()}  # one row per week
+    carried: dict[datetime.date, DataFrame] = {}
+    ended: list[DataFrame] = []
+    while own or carried:
+        week = min([*own, *carried])
+        turn = base.filter(F.col("delivery_week") == week).select(*base.columns, F.lit(False).alias("carried"), F.lit(0).alias("attempts"))
+        if week in carried:
+            turn = turn.unionByName(carried.pop(week))
+        own.discard(week)
+        turn = materialize(turn, force=True)
+        plan = weekly_plan(Inputs(turn, inp.coverage, inp.capacity, inp.estimates, inp.print_config))
+        plan = materialize(plan.join(turn.select("request_id", (F.col("attempts") + 1).alias("attempts")), "request_id"), force=True)
+        again = F.col("final_step") == C.STEP_SENDER
+        ended.append(plan.filter(~again))
+        if plan.filter(again).isEmpty():
+            continue
+        later = week + step
+        if plan.filter(F.col("final_step") == C.STEP_PHASE_2).isEmpty():
+            days = [w for w in [*own, *carried] if (w - week).days % 7 == 0] + [d for d in changes if d >= week][:1]
+            if not days:
+                ended[-1] = plan.withColumns({
+                    "final_step": F.when(again, F.lit(C.NO_CAPACITY)).otherwise(F.col("final_step")),
+                    "final_week": F.when(again, F.col("delivery_week")).otherwise(F.col("final_week"))})
+                continue
+            later = week + step * max(1, -((week - min(days)).days // 7))
+        moved = plan.filter(again).select("request_id", F.lit(later).alias("delivery_week"),
+                                          (F.col("attempts") + (later - week).days // 7 - 1).alias("attempts"))
+        moved = materialize(base.drop("delivery_week").join(moved, "request_id").withColumn("carried", F.lit(True)), force=True)
+        carried[later] = carried[later].unionByName(moved) if later in carried else moved
+    out = ended[0] if ended else weekly_plan(inp).withColumn("attempts", F.lit(0))
+    for plan in ended[1:]:
+        out = out.unionByName(plan)
+    return out
