@@ -76,7 +76,7 @@ def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, n
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, size: int, bands: int, rows: int) -> DataFrame:
-    """(id, n_shingles, digest of the set, band keys) of every row; no digest and keys for an empty set."""
+    """(id, hash of the text, n_shingles, digest of the set, band keys) of every row; no digest and keys for an empty set."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, h, off in _sets(batch.column(1), size):
@@ -91,11 +91,11 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int, bands: int, r
                 ends = np.concatenate(([0], np.cumsum(np.where(n > 0, bands, 0)))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(digest, pa.binary()), lists],
-                    names=["id", "n_shingles", "digest", "keys"])
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(n.astype(np.int64)),
+                     pa.array(digest, pa.binary()), lists], names=["id", "h", "n_shingles", "digest", "keys"])
 
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return in_batches(texts, work, "id long, n_shingles long, digest binary, keys array<long>")
+    return in_batches(texts.withColumn("h", F.xxhash64("text")), work, "id long, h long, n_shingles long, digest binary, keys array<long>")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -174,14 +174,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = scratch.stage(rows_.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep")))
     # the rows that stand for their classes, met by digest and id, so that a class of many copies is spread
     members = (rows_.join(classes.withColumnRenamed("rep", "id"), ["digest", "id"], "left_semi")
-               .select(F.col("id").alias("rep"), F.explode("keys").alias("key")))
+               .select(F.col("id").alias("rep"), "digest", F.explode("keys").alias("key")))
     shared = members.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("key")
     members = scratch.stage(members.join(shared, "key").distinct())
-    keys = rows_.join(classes.withColumnRenamed("rep", "id"), ["digest", "id"], "left_semi").select("id", "keys")
+    keys = rows_.join(classes.withColumnRenamed("rep", "id"), ["digest", "id"], "left_semi").select("id", "digest", "h", "keys")
     ids = members.select(F.col("rep").alias("id")).distinct()
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     texts = (texts.where("id is not null and text is not null").join(ids, "id", "left_semi")
-             .withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).drop("h"))
+             .withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]))
     texts = scratch.stage(texts)
 
     links = checked = comps = None
@@ -221,9 +221,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def _unfinished(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """(key, rep, comp) of the buckets with members of several components."""
+    """(key, rep, digest, comp) of the buckets with members of several components."""
     known = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("comp"))
+        "key", "rep", "digest", F.coalesce("component", "rep").alias("comp"))
     several = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
     return known.join(several, "key")
 
@@ -245,14 +245,16 @@ def _rest(open_: DataFrame, checked: DataFrame, texts: DataFrame, keys: DataFram
         return found
     outside = large.where("comp <> largest").groupBy("key").agg(F.count("*").alias("m"))
     large = large.join(outside, "key").withColumn("no", F.ceil(F.col("m") / tile)).withColumn("nm", F.ceil(F.col("n") / tile))
-    spread = F.xxhash64("rep", "key")
+    spread = F.xxhash64("rep", "digest", "key")  # an id may stand for several classes
     rows_ = large.where("comp <> largest").select(
-        "key", F.col("rep").alias("id"), "comp", F.pmod(spread, "no").alias("i"),
+        "key", F.col("rep").alias("id"), "digest", "comp", F.pmod(spread, "no").alias("i"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("nm") - 1)).alias("j"), F.lit(True).alias("outer"))
-    cols = large.select("key", F.col("rep").alias("id"), "comp",
+    cols = large.select("key", F.col("rep").alias("id"), "digest", "comp",
                         F.explode(F.sequence(F.lit(0).cast("long"), F.col("no") - 1)).alias("i"),
                         F.pmod(spread, "nm").alias("j"), F.lit(False).alias("outer"))
-    members = large.select(F.col("rep").alias("id")).distinct()
-    carried = scratch.stage(texts.join(members, "id", "left_semi").join(keys, "id"))
-    tiles = rows_.unionByName(cols).join(carried, "id").groupBy("key", "i", "j")
+    members = large.select(F.col("rep").alias("id"), "digest").distinct()
+    # one text and one list of keys for each class, however often its rows occur
+    keys = keys.join(members, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
+    carried = scratch.stage(texts.join(keys, ["id", "h"]).drop("h"))
+    tiles = rows_.unionByName(cols).join(carried, ["id", "digest"]).groupBy("key", "i", "j")
     return found.union(tiles.applyInArrow(_tile_links(size, percent), "a long, b long"))

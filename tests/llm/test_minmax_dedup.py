@@ -64,6 +64,33 @@ def test_same_components_as_all_pairs(spark, size, options):
         assert got[i].kept == (expected[i] == i)
 
 
+def test_repeated_ids_in_large_unfinished_buckets(spark, monkeypatch):
+    """Ids that stand for a class in each of two families, and rows that occur often: a tile holds each class once."""
+    rng, rows = random.Random(0), []
+    for name, ids in (("w", range(60)), ("y", range(0, 60, 2))):
+        for k in ids:  # edits of one text, most of them too far from each other to be linked
+            words = [f"{name}{j}" for j in range(60)]
+            for j in rng.sample(range(60), 4):
+                words[j] = f"{name}{k}x{j}"
+            rows.append((k, " ".join(words)))
+    rows += rows[:10] * 5
+    links = D._tile_links
+
+    def watched(size, percent):
+        work = links(size, percent)
+
+        def once(table):
+            seen = list(zip(*(table.column(c).to_pylist() for c in ("id", "digest", "outer"))))
+            assert len(seen) == len(set(seen))
+            return work(table)
+        return once
+
+    monkeypatch.setattr(D, "_tile_links", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r.component_id for r in D.near_duplicates(docs, size=2, rounds=1, pair_members=2, tile=8).collect()}
+    assert got == brute(rows, 2)
+
+
 def test_odd_rows(spark, odd, empty):
     rows = D.near_duplicates(odd, size=2).collect()
     assert len(rows) == odd.count()
