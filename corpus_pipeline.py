@@ -33,12 +33,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id.
+    """One document of each group of near-duplicates on five words at a resemblance of 0.8: the one with the smallest id.
 
     Rows without an id are kept once per text. An id that occurs again is the same document.
     """
     docs = exactly(docs, *COLUMNS)
-    kept = minmax_dedup.near_duplicates(docs, size=2).where("kept and id is not null").select(F.col("id").alias("doc_id"))
+    kept = minmax_dedup.near_duplicates(docs).where("kept and id is not null").select(F.col("id").alias("doc_id"))
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     nameless = docs.where("doc_id is null").withColumn("_h", F.xxhash64("text")).dropDuplicates(["_h"]).drop("_h")
     return exactly(named, *COLUMNS).union(nameless)

@@ -74,3 +74,15 @@ def test_stages_against_brute_force(spark, folder):
 def test_odd_rows(spark, odd, empty, folder):
     assert C.run(spark, folder(documents=odd)).count() > 0
     assert C.run(spark, folder(documents=empty)).count() == 0
+
+
+def test_scattered_edits_are_no_near_duplicates(spark):
+    """One word in 20 changed: alike on word pairs, not on five words."""
+    words = [f"w{k}" for k in range(400)]
+    edited = [f"x{k}" if k % 20 == 10 else w for k, w in enumerate(words)]
+    tail = [*words[:-1], "end"]
+    rows = [(k, " ".join(w), "en", "s0", 0) for k, w in enumerate((words, edited, tail))]
+    assert brute([r[:2] for r in rows], 2) == {0: 0, 1: 0, 2: 0}
+    assert brute([r[:2] for r in rows], 5) == {0: 0, 1: 1, 2: 0}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in C.drop_near_duplicates(spark, docs, "").collect()) == [0, 1]
