@@ -1,7 +1,7 @@
 """Quality classifier: a linear hinge-loss model on n-gram indicators scaled by naive Bayes log-count ratios.
 
 Features of a text are indicators (present or not) of hashed n-grams: 1 to 3
-neighbouring word *shapes* (letter case, trailing marks, same word as before)
+neighbouring words (A-Z lower-cased), as many word *shapes* (letter case, trailing marks, same word as before)
 and character 4-grams. Each indicator is scaled by the log ratio of how often it
 occurs in documents of label 1 and of label 0, rows are brought to length one,
 and a linear support vector machine is fitted by dual coordinate descent.
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from capaflow.llm.common import in_batches, kept_beside, pieces, random_words, splitmix, utf8_buffers, word_hashes, word_spans
 
 BUCKETS = 1 << 18
+WORD_ORDERS = (1, 2, 3)
 SHAPE_ORDERS = (1, 2, 3)
 CHAR_ORDER = 4
 _KIND = np.zeros(256, np.uint8)  # 1 lower-case letter or above ASCII, 2 upper-case letter, 3 digit, 4 other mark
@@ -66,16 +67,17 @@ def feature_sets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
             again = np.zeros(len(word), np.uint64)
             again[1:] = (word[1:] == word[:-1]) & (row[1:] == row[:-1])
             shape = splitmix(shape * np.uint64(4) + again + np.uint64(1))
-            factors = random_words(max(SHAPE_ORDERS), 53)
-            for n in SHAPE_ORDERS:
-                m = len(shape) - n + 1
-                if m <= 0:
-                    continue
-                h = np.full(m, n, np.uint64)
-                for k in range(n):
-                    h += shape[k:k + m] * factors[k]
-                inside = row[:m] == row[n - 1:]
-                add(h[inside], row[:m][inside])
+            for of, orders, seed in ((shape, SHAPE_ORDERS, 53), (word, WORD_ORDERS, 59)):
+                factors = random_words(max(orders, default=0), seed)
+                for n in orders:
+                    m = len(of) - n + 1
+                    if m <= 0:
+                        continue
+                    h = np.full(m, n, np.uint64)
+                    for k in range(n):
+                        h += of[k:k + m] * factors[k]
+                    inside = row[:m] == row[n - 1:]
+                    add(h[inside], row[:m][inside])
         m = len(data) - CHAR_ORDER + 1
         if m > 0:
             h = np.zeros(m, np.uint64)

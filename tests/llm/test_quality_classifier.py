@@ -31,6 +31,18 @@ def test_held_out_accuracy(spark, folder):
     assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
 
 
+def test_quality_told_by_the_order_of_words():
+    """Same words, shapes and 4-byte pieces in both classes; only which word follows which differs."""
+    rng, words = np.random.default_rng(6), [f"abc{c}xyz" for c in "ghkmnpqr"]
+    texts, labels = [], np.arange(240) % 2
+    for good in labels:
+        at, step = int(rng.integers(8)), 1 if good else -1
+        texts.append(" ".join(words[(at + step * k) % 8] for k in range(int(rng.integers(10, 30)))))
+    sets, off = Q.feature_sets(*utf8_buffers(pa.array(texts)))
+    model = Q.fit(np.split(sets, off[1:-1])[:160], labels[:160])
+    assert np.array_equal(model.scores(sets, off)[160:] >= 0.5, labels[160:] == 1)
+
+
 def test_feature_sets_are_per_text():
     texts = ["Some words. Some words!", "", "é", "Some words. Some words!", "abc", "abcd abcd"]
     data, off = utf8_buffers(pa.array(texts))
