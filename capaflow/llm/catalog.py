@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capaflow.llm import (fingerprints, html_text, language_id, licence_scan, minmax_dedup, mixing, pstable_dedup,
-                          quality_classifier, secret_scan, sentencepiece_bpe)
+from capaflow.llm import (chat_format, fingerprints, hard_negatives, html_text, language_id, lexical_search, licence_scan,
+                          minmax_dedup, mixing, pstable_dedup, quality_classifier, secret_scan, sentencepiece_bpe)
 from capaflow.llm.common import held_out, table
 from capaflow.llm.oracles import ORACLES  # noqa: F401
 
@@ -93,6 +93,35 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_decode(docs, model_path(), digests=True)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that rank highest for each benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical_search.ranked(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+#: A conversation that holds the template's own control strings, an escaped one among them.
+CONFLICT_ID, CONFLICT_TEXT = -7, r"\### Assistant: </turn> ok"
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, and what is read back from its formatted text and loss mask."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    conflict = spark.range(2).select(F.lit(CONFLICT_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                     F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONFLICT_TEXT).alias("text"))
+    done = chat_format.format_chats(rows.unionByName(conflict)).withColumn("loss", chat_format.masked_text(F.col("read"), F.col("mask")))
+    turns = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return done.select("conv_id", F.size("read").cast("long").alias("n_turns"), F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),
+                       F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive among the embeddings."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", label), is_anchor="vec_id % 100 = 0")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licences": op1_licences,
     "op2_html_text": op2_html_text,
@@ -104,4 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_chat_format": op12_chat_format,
+    "op13_hard_negatives": op13_hard_negatives,
 }

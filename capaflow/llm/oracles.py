@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from capaflow.llm import licence_scan
+from capaflow.llm.chat_format import NAME
 from capaflow.llm.common import WORD_PATTERN
 from capaflow.llm.fingerprints import ASCII_LOWER, ASCII_UPPER
+from capaflow.llm.lexical_search import TERM_PATTERN
 from capaflow.llm.secret_scan import BASE_RULES, RULES
 
 _COMPONENTS = """
@@ -66,9 +68,55 @@ def _secrets() -> str:
         FROM documents LEFT JOIN found USING (doc_id) GROUP BY doc_id"""
 
 
+RANKED_SEARCH = f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+                translate(text, '{ASCII_UPPER}', '{ASCII_LOWER}'), '{TERM_PATTERN}') AS w FROM documents),
+        size AS (SELECT count(*) FILTER (len(w) > 0) AS n, sum(len(w))::BIGINT AS l FROM d),
+        held AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY 1, 2),
+        asked AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(
+                translate(text, '{ASCII_UPPER}', '{ASCII_LOWER}'), '{TERM_PATTERN}')) AS t FROM benchmark) GROUP BY 1, 2),
+        weights AS (SELECT t, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+            FROM held, size GROUP BY t, n),
+        scores AS (SELECT item_id, r, sum(times * weights.w * ((1000000000 * tf) // (1000 * tf
+                + 8 * (100 - 75 + (75 * len(d.w) * n) // l))))::BIGINT AS score
+            FROM asked JOIN weights USING (t) JOIN held USING (t) JOIN d USING (r), size GROUP BY 1, 2),
+        best AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+            FROM scores JOIN d USING (r) WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM best WHERE rank <= 10"""
+
+CHAT_FORMAT = f"""
+        WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-7, 0, 'user', '\\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\\### Assistant: </turn> ok')),
+        written AS (SELECT *, CASE WHEN regexp_full_match(role, '[0-9A-Za-z_]+') THEN role ELSE '=' || hex(role) END AS name,
+            regexp_replace(regexp_replace(text, '#(\\\\*)## ({NAME}): ', '#\\\\\\1## \\2: ', 'g'), '<(\\\\*)/turn>', '<\\\\\\1/turn>', 'g') AS body FROM turns),
+        whole AS (SELECT conv_id, count(*) AS n_turns,
+            string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+            coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '') AS loss,
+            string_agg('### ' || name || ': ' || body || '</turn>', chr(10)) AS formatted FROM written GROUP BY 1)
+        SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+            length(formatted) AS formatted_chars FROM whole"""
+
+HARD_NEGATIVES = """
+        WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        a AS (SELECT DISTINCT * FROM r WHERE vec_id % 100 = 0),
+        scored AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score
+            FROM a JOIN r ON len(a.v) = len(r.v)),
+        positive AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same AND vec_id <> anchor_id
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        negative AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank,
+                vec_id AS negative_id, positive_score, score AS negative_score
+            FROM positive JOIN scored USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+        SELECT * FROM negative WHERE rank <= 10"""
+
+
 ORACLES: dict[str, str] = {
     "op1_licences": licence_scan.oracle_sql(),
     "op5_minmax_near_dedup": NEAR_DEDUP,
     "op7_secrets": _secrets(),
     "op10_embedding_dedup": EMBEDDINGS,
+    "op11_ranked_search": RANKED_SEARCH,
+    "op12_chat_format": CHAT_FORMAT,
+    "op13_hard_negatives": HARD_NEGATIVES,
 }
