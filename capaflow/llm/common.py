@@ -8,6 +8,9 @@ piece (a single longer text forms a piece of its own).
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -36,7 +39,26 @@ def in_batches(df: DataFrame, work, schema: str) -> DataFrame:
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(conf.get(key).rstrip("b")) > BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(_tidy(work), schema)
+
+
+def _tidy(work):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            release_memory()
+    return run
+
+
+def release_memory() -> None:
+    """Give back what a task no longer needs: its worker waits for other tasks, beside those of other jobs, and would hold it."""
+    _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:
+        trim(0)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -228,14 +228,19 @@ def named(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every stretch covered by spans replaced by a mark."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    """The text with every stretch covered by spans replaced by a mark.
+
+    The pieces between the stretches are cut out of the text once and joined once; no prefix is built again for a span.
+    """
+    piece = F.expr("cast(array() as array<string>)")
+    start = F.struct(F.lit(0).cast("long").alias("at"), piece.alias("out"))
+
+    def cut(acc: Column, length: Column) -> Column:
+        return F.array_append(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), length.cast("int")))
 
     def add(acc: Column, x: Column) -> Column:
-        fresh = F.when(x["s"] >= acc["at"], F.concat(F.substring(text, (acc["at"] + 1).cast("int"), (x["s"] - acc["at"]).cast("int")),
-                                                     F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], fresh).alias("out"))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"),
+                        F.when(x["s"] >= acc["at"], cut(acc, x["s"] - acc["at"])).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate(spans, start, add, lambda acc: F.concat(acc["out"], F.substring(
-        text, (acc["at"] + 1).cast("int"), F.length(text))))
+    done = F.aggregate(spans, start, add, lambda acc: F.array_join(cut(acc, F.length(text) - acc["at"]), mark))
     return F.when(F.size(spans) > 0, done).otherwise(text)
