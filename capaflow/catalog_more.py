@@ -2,35 +2,45 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from capaflow import config as C
 from capaflow.catalog import query
+from capaflow.catalog_estimates import documents
 from capaflow.functions import keys as K
 from capaflow.operators import capacity as CAP
 from capaflow.operators import drivers as D
 from capaflow.operators import ledger as L
 from capaflow.operators import printing as P
+from capaflow.operators.estimates import order_levels
 from capaflow.operators.ranking import positions
 from capaflow.plans import weekly as W
-from capaflow.plans.results import plan_results
+from capaflow.plans.results import plan_results, session_key
+from capaflow.sources import expiring as X
+from capaflow.sources import ledger_store as LS
 from capaflow.sources.events import load_event_records
+from capaflow.sources.planner_store import PlannerStore, derived_keys
+from capaflow.sources.sinks import output_dir
 
 # parameters of the parameterised jobs (fixed values of this catalog)
 TODAY = "1998-01-05"             # "now" for the cancellation predicate
-RETENTION_NOW = "1999-01-01"     # "now" for TTL retention
-ESTIMATE_TTL_DAYS = 90
+RETENTION_NOW = "1998-07-06"     # "now" for TTL retention
+STREAM_NOW = "2024-01-30 12:00:00"   # "now" for the ids that the ingest has seen
 
 
 # --- keys and projections ------------------------------------------------------------
+def _step_key():
+    """Sort key of a ledger row for its step."""
+    return F.coalesce(*[F.when(F.col("workflow_step") == s, K.sort_key(s))
+                        for s in (C.STEP_SENDER, C.STEP_DRIVER, C.STEP_RESIDUAL, C.STEP_PRINT, C.STEP_PHASE_2)])
+
+
 @query("prj_02")
 def prj_02(spark, sf_dir):
     """Sort key of every ledger row for its step."""
-    led = plan_results(spark, sf_dir).ledger
-    sk = F.coalesce(*[F.when(F.col("workflow_step") == s, K.sort_key(s))
-                      for s in (C.STEP_SENDER, C.STEP_DRIVER, C.STEP_RESIDUAL, C.STEP_PRINT,
-                                C.STEP_PHASE_2)])
-    return led.select("request_id", "pk", sk.alias("sk"))
+    return plan_results(spark, sf_dir).ledger.select("request_id", "pk", _step_key().alias("sk"))
 
 
 @query("prj_03")
@@ -68,26 +78,59 @@ def prj_07(spark, sf_dir):
 def flt_01(spark, sf_dir):
     """Event validity: attempt present and both dates non-empty."""
     ev = load_event_records(spark, sf_dir)
-    return ev.select("event_id", K.valid_event(ev).alias("valid"))
+    return ev.select("event_id", K.valid_event().alias("valid"))
+
+
+_SORTED: dict = {}
+
+
+def sorted_ledger(spark, sf_dir):
+    """The ledger stored by week and step in the order of its sort keys, once per session and input."""
+    key = session_key(spark, sf_dir)
+    if key not in _SORTED:
+        led = plan_results(spark, sf_dir).ledger
+        path = output_dir(spark, "sorted_ledger")
+        LS.write_sorted(led.withColumn("sk", _step_key()), path)
+        _SORTED[key] = path
+    return _SORTED[key]
 
 
 @query("flt_03")
 def flt_03(spark, sf_dir):
     """Range scan: driver-step rows of every week whose sort key starts with 'DRV_A~'."""
-    led = plan_results(spark, sf_dir).ledger
-    rows = led.filter(F.col("workflow_step") == C.STEP_DRIVER) \
-              .withColumn("sk", K.sort_key(C.STEP_DRIVER))
-    return rows.filter(F.col("sk").startswith("DRV_A~")).select("pk", "sk", "request_id")
+    return LS.range_scan(spark, sorted_ledger(spark, sf_dir), C.STEP_DRIVER, prefix="DRV_A~").select("pk", "sk", "request_id")
 
 
 @query("flt_04")
 def flt_04(spark, sf_dir):
-    """TTL retention: estimates whose expiry (date + 90 days, epoch s) is after 'now'."""
-    est = W.load_inputs(spark, sf_dir).estimates
-    ttl = F.unix_timestamp(F.col("delivery_date").cast("timestamp")) + ESTIMATE_TTL_DAYS * 86400
-    now = F.unix_timestamp(F.lit(RETENTION_NOW).cast("timestamp"))
-    return (est.withColumn("ttl", ttl).filter(F.col("ttl") > now)
-               .select("pa_id", "product_type", "province", "delivery_date", "ttl"))
+    """TTL retention: estimates, order values and exempt counters stored by expiry day, of which expired days are deleted,
+    and the ids that the ingest has seen: what is still live at 'now' (the end of the stream for the ids)."""
+    from capaflow.catalog_stream import landing
+    from capaflow.streaming.ingest import SEEN
+    inp, now = W.load_inputs(spark, sf_dir), datetime.date.fromisoformat(RETENTION_NOW)
+    at = F.unix_timestamp(F.lit(RETENTION_NOW).cast("timestamp"))
+
+    def epoch(day):
+        return F.unix_timestamp(day.cast("timestamp"))
+
+    month = F.to_date(F.concat("month", F.lit("-01")))
+    tables = {
+        "estimate": (inp.estimates.select(F.concat_ws("~", "pa_id", "product_type", "province").alias("key"), F.col("delivery_date").alias("day")),
+                     C.ESTIMATE_TTL_DAYS),
+        "order_value": (order_levels(documents(spark, sf_dir)[1]).select(F.concat_ws("~", "pa_id", "sk").alias("key"), month.alias("day")),
+                        C.ORDER_TTL_DAYS),
+        "exempt_counter": (plan_results(spark, sf_dir).sender.exempt.select(
+            F.concat_ws("~", "province", "product_type").alias("key"), F.col("delivery_week").alias("day")), C.COUNTER_TTL_DAYS)}
+    out = None
+    for name, (rows, ttl_days) in tables.items():
+        path = output_dir(spark, f"expiring_{name}")
+        X.write(X.expiring(rows, epoch(F.col("day")) + ttl_days * 86400), path)
+        X.drop_expired(spark, path, now)
+        left = X.live(X.read_live(spark, path, "key string, day date, ttl long, expires date", since=now), at)
+        part = left.select(F.lit(name).alias("table"), "key", "day", "ttl")
+        out = part if out is None else out.unionByName(part)
+    seen = X.live(X.read_live(spark, f"{landing(spark, sf_dir)[1]}/seen", SEEN), F.unix_timestamp(F.lit(STREAM_NOW).cast("timestamp")))
+    return out.unionByName(seen.select(F.lit("seen_id").alias("table"), F.col("request_id").alias("key"), F.date_sub("expires", 1).alias("day"), "ttl"))
 
 
 @query("flt_05")
@@ -173,23 +216,28 @@ def join_06(spark, sf_dir):
 # --- allocation side paths --------------------------------------------------------------------
 @query("alc_14")
 def alc_14(spark, sf_dir):
-    """Bypass ("light"): sender rows straight to the print step with strict priority."""
+    """Bypass ("light"): sender rows straight to the print step with strict priority, beside the print counter of their week, the total of the rows moved."""
     shp = W.load_inputs(spark, sf_dir).shipments
     ok, bad = K.split_by_priority(shp)
     moved = K.transition(ok, C.STEP_PRINT, F.col("delivery_week"))
-    return (moved.select("request_id", "delivery_week", "workflow_step", "priority", "sk")
-                 .unionByName(bad.select("request_id", "delivery_week",
-                                         F.lit("QUARANTINE").alias("workflow_step"),
-                                         F.lit(None).cast("int").alias("priority"),
-                                         F.lit(None).cast("string").alias("sk"))))
+    return (moved.join(P.print_totals(moved), "delivery_week")
+                 .select("request_id", "delivery_week", "workflow_step", "priority", "sk", "print_counter")
+                 .unionByName(bad.select("request_id", "delivery_week", F.lit("QUARANTINE").alias("workflow_step")),
+                              allowMissingColumns=True))
 
 
 @query("alc_15")
 def alc_15(spark, sf_dir):
-    """Switch-off: each week's sender queue in key order, in batches of 5000, to phase 2; rows without a priority are returned as rejected."""
-    moved, rejected = P.switch_off(W.load_inputs(spark, sf_dir).shipments)
-    return moved.select("request_id", "delivery_week", "switch_pos", "batch_no", "workflow_step", "priority").unionByName(
-        rejected.select("request_id", "delivery_week", F.lit("REJECTED").alias("workflow_step")), allowMissingColumns=True)
+    """Switch-off: each week's sender queue in key order, in calls of 5000, to phase 2 of the current week, both as the
+    current week's queue and as the next one's; rows without a priority are returned as rejected."""
+    shp, out = W.load_inputs(spark, sf_dir).shipments, None
+    for mode, current in (("current", True), ("next", False)):
+        moved, rejected = P.switch_off(shp, current_week=current)
+        part = moved.select("request_id", "queue_week", "delivery_week", "switch_pos", "batch_no", "workflow_step", "priority").unionByName(
+            rejected.select("request_id", F.col("delivery_week").alias("queue_week"), F.lit("REJECTED").alias("workflow_step")),
+            allowMissingColumns=True).withColumn("queue", F.lit(mode))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("alc_17")
@@ -357,31 +405,45 @@ def _tail_requests(r):
     return r.released.filter(~F.col("released")).select("request_id")
 
 
-@query("mnt_01")
-def mnt_01(spark, sf_dir):
-    """Reset the last planned week: used capacities, used sender limits and print counters without it."""
+def planner_store(spark, sf_dir):
+    """The planned ledger and its derived tables, stored."""
     from capaflow.operators.sender import used_sender_limits
     r = plan_results(spark, sf_dir)
-    last = r.inputs.shipments.agg(F.max("delivery_week").alias("delivery_week"))
-    used = r.caps.used_after_residual.join(last, "delivery_week", "left_anti")
-    limits = used_sender_limits(r.sender.split).join(
-        last.select(F.date_sub("delivery_week", 7).alias("delivery_date")), "delivery_date", "left_anti")
-    counter = P.print_counter(r.released).join(last, "delivery_week", "left_anti")
-    return (L.table_rows("used_capacity", used, F.concat_ws("~", "unified_delivery_driver", "geo_key"), "delivery_week", "used_capacity")
-            .unionByName(L.table_rows("used_sender_limit", limits, F.col("pk"), "delivery_date", "number_of_shipment"))
-            .unionByName(L.table_rows("print_counter", counter, F.lit("PRINT"), "delivery_week", "number_of_shipments")))
+    return PlannerStore(spark, output_dir(spark, "planner_store")).create(
+        r.ledger, r.caps.used_after_residual, used_sender_limits(r.sender.split))
+
+
+@query("mnt_01")
+def mnt_01(spark, sf_dir):
+    """Reset the last planned week in the stored tables: used capacities, used sender limits and print counters afterwards."""
+    store = planner_store(spark, sf_dir)
+    store.reset_week(plan_results(spark, sf_dir).inputs.shipments.agg(F.max("delivery_week").alias("delivery_week")))
+    return (L.table_rows("used_capacity", store.read("used_capacity"), F.concat_ws("~", "unified_delivery_driver", "geo_key"), "delivery_week", "used_capacity")
+            .unionByName(L.table_rows("used_sender_limit", store.read("used_sender_limit"), F.col("pk"), "delivery_date", "number_of_shipment"))
+            .unionByName(L.table_rows("print_counter", store.read("print_counter"), F.lit("PRINT"), "delivery_week", "number_of_shipments")))
 
 
 @query("join_14")
 def join_14(spark, sf_dir):
-    """Delete cascade: ledger rows of the requests pushed out by the print step."""
+    """Delete cascade: what the requests pushed out by the print step touch in the ledger and in the four tables derived from it."""
     r = plan_results(spark, sf_dir)
     _, deleted = L.delete_requests(r.ledger, _tail_requests(r))
-    return deleted.select("pk", "request_id", "workflow_step")
+    return derived_keys(deleted)
 
 
 @query("mnt_02")
 def mnt_02(spark, sf_dir):
-    """Delete by request list: the ledger per (week, step), exempt and print counters and used capacity afterwards."""
-    r = plan_results(spark, sf_dir)
-    return L.after_delete(r.ledger, _tail_requests(r), r.caps.used_after_residual)
+    """Delete by request list in the stored tables: the ledger per (week, step), exempt and print counters, used capacity and used sender limits afterwards."""
+    store = planner_store(spark, sf_dir)
+    store.delete_requests(_tail_requests(plan_results(spark, sf_dir)))
+    ledger = store.read("ledger").groupBy("pk", "delivery_week").agg(F.count(F.lit(1)).alias("n"))
+    parts = [
+        L.table_rows("ledger", ledger, F.col("pk"), "delivery_week", "n"),
+        L.table_rows("exempt_counter", store.read("exempt_counter"), F.concat_ws("~", "province", "product_type"), "delivery_week", "number_of_shipments"),
+        L.table_rows("print_counter", store.read("print_counter"), F.lit("PRINT"), "delivery_week", "number_of_shipments"),
+        L.table_rows("used_capacity", store.read("used_capacity"), F.concat_ws("~", "unified_delivery_driver", "geo_key"), "delivery_week", "used_capacity"),
+        L.table_rows("used_sender_limit", store.read("used_sender_limit"), F.col("pk"), "delivery_date", "number_of_shipment")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from capaflow import config as C
 from capaflow.catalog import query
+from capaflow.catalog_estimates import documents
+from capaflow.operators import printing as P
+from capaflow.operators.estimates import order_levels
 from capaflow.operators.sender import used_sender_limits
 from capaflow.plans import reports as R
 from capaflow.plans import weekly as W
@@ -114,33 +117,78 @@ def rpt_03(spark, sf_dir):
                         w.alias("q3_from"), next_.alias("q3_to"), F.concat(text, F.lit(f"~{C.STEP_PHASE_2}")).alias("q3_pk"))
 
 
+REPORT_MONTHS_BACK = 4
+REPORTS_FROM = "1990-01-01"     # all weeks of the test tables
 _LAKE: dict = {}
 
 
-def _lake(spark, sf_dir):
-    """Ledger images, stored once per session and input under their day folders."""
+def _epoch(day):
+    return F.unix_timestamp(F.col(day).cast("timestamp"))
+
+
+def _store_lake(spark, sf_dir, base):
+    """Images of the six tables, stored as their writers knew them: rows without a driver yet, exempt and print
+    counters come with different attributes."""
+    r, inp = plan_results(spark, sf_dir), W.load_inputs(spark, sf_dir)
+    written = F.to_timestamp("created_at", C.TS_FORMAT)
+    fresh = F.col("unified_delivery_driver").isNull() & F.col("priority").isNull()
+    week, day = F.col("delivery_week"), F.col("delivery_date")
+    exempt = r.sender.exempt.select(
+        F.date_format(week, "yyyy-MM-dd").alias("pk"), F.concat_ws("~", F.lit("EXCLUDE"), "province", "product_type").alias("sk"),
+        "number_of_shipments", (_epoch("delivery_week") + C.COUNTER_TTL_DAYS * 86400).alias("ttl"), week)
+    prints = P.print_counter(r.released).select(
+        F.lit("PRINT").alias("pk"), F.date_format(week, "yyyy-MM-dd").alias("sk"), "number_of_shipments",
+        "daily_print_capacity", "weekly_print_capacity", "sent_to_next_week", week)
+    used = r.caps.used_after_residual.select(
+        F.concat_ws("~", "unified_delivery_driver", "geo_key").alias("unified_delivery_driver_geokey"), week.alias("delivery_date"),
+        "declared_capacity", "geo_key", "unified_delivery_driver", "used_capacity")
+    limits = inp.estimates.select(
+        F.concat_ws("~", "pa_id", "product_type", "province").alias("pk"), "delivery_date", "weekly_estimate", "monthly_estimate",
+        "original_estimate", "pa_id", "product_type", "province", "file_key",
+        (_epoch("delivery_date") + C.ESTIMATE_TTL_DAYS * 86400).alias("ttl"))
+    month = F.to_date(F.concat("month", F.lit("-01")))
+    values = order_levels(documents(spark, sf_dir)[1]).select(
+        F.col("pa_id").alias("pk"), F.concat_ws("~", "month", "sk").alias("sk"), "value", "file_key",
+        F.date_format(month, "yyyy-MM-dd").alias("last_update_order"), F.date_format(month, "yyyy-MM-dd").alias("created_at"))
+    for name, rows, at in (
+            ("shipment_ledger", r.ledger.filter(fresh).drop("unified_delivery_driver", "priority"), written),
+            ("shipment_ledger", r.ledger.filter(~fresh), written),
+            ("used_capacity", used, day), ("used_sender_limit", used_sender_limits(r.sender.split), day),
+            ("sender_limit", limits, day), ("counter", exempt, week), ("counter", prints, week),
+            ("order_value", values, F.to_date("created_at"))):
+        cdc.store(lake.images(rows, name, at), f"{base}/{name}")
+
+
+def lake_images(spark, sf_dir, table):
+    """Images of a lake table; the lake is stored once per session and input."""
     key = session_key(spark, sf_dir)
     if key not in _LAKE:
-        _LAKE[key] = cdc.store(lake.ledger_images(plan_results(spark, sf_dir).ledger), sinks.output_dir(spark, "lake"))
-    return _LAKE[key]
+        base = sinks.output_dir(spark, "lake")
+        _store_lake(spark, sf_dir, base)
+        _LAKE[key] = base
+    return cdc.read(spark, f"{_LAKE[key]}/{table}", table)
 
 
 @query("src_07")
 def src_07(spark, sf_dir):
-    """CDC ledger images of the stored lake, flattened to the typed view."""
-    return cdc.flatten_ledger(_lake(spark, sf_dir))
+    """The six tables of the CDC lake, each flattened to its typed view; attributes that a table lacks are null."""
+    out = None
+    for name in cdc.LAKE:
+        view = cdc.flatten(lake_images(spark, sf_dir, name), name).withColumn("table", F.lit(name))
+        out = view if out is None else out.unionByName(view, allowMissingColumns=True)
+    return out
 
 
 @query("fn_07")
 def fn_07(spark, sf_dir):
-    """Rows per key that each report query of the last ingested week reads from the lake, by partition ranges."""
-    week = W.load_inputs(spark, sf_dir).shipments.agg(F.max("delivery_week")).first()[0]
-    if week is None:
-        return spark.createDataFrame([], "query string, pk string, n bigint")
-    periods, view = cdc.ReportPeriods(week, months_back=4), cdc.flatten_ledger(_lake(spark, sf_dir))
+    """Rows per key that each report query of every week reads from the lake, by partition ranges."""
+    weeks = W.small(plan_results(spark, sf_dir).ledger.select("delivery_week").distinct())
+    view = cdc.flatten(lake_images(spark, sf_dir, "shipment_ledger"), "shipment_ledger")
+    # the reports' first week: a bound on the weeks, from which the folders are pruned at run time
+    asked = weeks.filter(F.col("delivery_week") >= F.lit(REPORTS_FROM).cast("date"))
     out = None
-    for name, inside in (("Q1", periods.q1()), ("Q2", periods.q2()), ("Q3", periods.q3())):
-        part = view.filter(inside).groupBy("pk").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("query"), "pk", "n")
+    for name, rows in cdc.report_rows(view, asked, C.STEP_SENDER, C.STEP_PHASE_2, REPORT_MONTHS_BACK).items():
+        part = rows.groupBy("delivery_week", "pk").agg(F.count(F.lit(1)).alias("n")).withColumn("query", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -171,10 +219,9 @@ def src_08(spark, sf_dir):
 
 @query("src_09")
 def src_09(spark, sf_dir):
-    """Report sink: the driver report written to <base>/<query>/<date>.csv per week."""
+    """Report sink: the driver report as <base>/<query>/<date>.csv, one file per week; read back with the week from the file's name."""
     rep = rpt_02(spark, sf_dir)
     out = rep.select(*[F.col(c).cast("string").alias(c) for c in rep.columns])
-    base = sinks.output_dir(spark, "reports")
-    path = f"{base}/driver_weekly"
-    out.write.mode("overwrite").option("header", True).partitionBy("delivery_week").csv(path)
-    return sinks.read_csv_strings(spark, path, out.columns)
+    place = sinks.write_csv_files(out, sinks.output_dir(spark, "reports"), "driver_weekly", "delivery_week")
+    rows = sinks.read_csv_strings(spark, place, [c for c in out.columns if c != "delivery_week"])
+    return rows.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1).alias("delivery_week"), "*")

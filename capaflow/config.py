@@ -35,8 +35,14 @@ DEFAULT_PRIORITY = 3
 PRINT_WEEKLY_WORKING_DAYS = 7
 PRINT_EXECUTIONS_PER_DAY = 17
 
-# --- fixed values: dedupe horizon and page sizes ------------------------------
+# --- fixed values: horizons ------------------------------------------------------
 DEDUPE_HORIZON_SECONDS = 86400
+COUNTER_TTL_DAYS = 14
+ESTIMATE_TTL_DAYS = 365
+ORDER_TTL_DAYS = 3650
+
+# --- fixed values: tries of a failing record, page sizes --------------------------
+INGEST_TRIES = 3
 SWITCH_OFF_EXECUTION_LIMIT = 5000
 DELIVERY_WEEKDAY = "Mon"
 

@@ -79,11 +79,14 @@ def previous_or_same_weekday(ts: Column, day: str = C.DELIVERY_WEEKDAY) -> Colum
     return F.next_day(F.date_sub(F.to_date(ts), 7), day)
 
 
-def valid_event(df: DataFrame) -> Column:
-    """FLT-01: attempt present and both dates non-empty."""
-    return (F.col("attempt").isNotNull()
-            & F.coalesce(F.length("prepare_request_date") > 0, F.lit(False))
-            & F.coalesce(F.length("notification_sent_at") > 0, F.lit(False)))
+#: FLT-01: attempt present and both dates non-empty.
+VALID_EVENT = ("attempt IS NOT NULL AND coalesce(length(prepare_request_date) > 0, false) "
+               "AND coalesce(length(notification_sent_at) > 0, false)")
+
+
+def valid_event() -> Column:
+    """FLT-01 as a column."""
+    return F.expr(VALID_EVENT)
 
 
 def cancellable(today: Column | None = None) -> Column:

@@ -92,35 +92,6 @@ def table_rows(name: str, df: DataFrame, key: Column, week: Column | str, n: Col
     return df.select(F.lit(name).alias("table"), key.alias("key"), week.alias("delivery_week"), n.cast("bigint").alias("n"))
 
 
-def after_delete(ledger: DataFrame, request_ids: DataFrame, used: DataFrame) -> DataFrame:
-    """MNT-02: ledger, exempt counters, print counters and used capacity once the requests are gone.
-
-    The counters follow from the remaining ledger; used capacity loses the deleted
-    print-step rows under both of their geo keys (only those had used any).
-    """
-    remaining, deleted = delete_requests(ledger, request_ids)
-    at = F.col("workflow_step")
-    first = (at == C.STEP_SENDER) & F.col("created_at").startswith(F.date_format("delivery_week", "yyyy-MM-dd"))
-    exempt = (remaining.filter(first & K.exempt()).groupBy("delivery_week", "province", "product_type")
-              .agg(F.count(F.lit(1)).alias("n")))
-    prints = remaining.filter(at == C.STEP_PRINT).groupBy("delivery_week").agg(F.count(F.lit(1)).alias("n"))
-    freed = (deleted.filter(at == C.STEP_PRINT)
-             .select("unified_delivery_driver", "delivery_week", F.explode(F.array("cap", "province")).alias("geo_key"))
-             .groupBy("unified_delivery_driver", "geo_key", "delivery_week").agg(F.count(F.lit(1)).alias("freed")))
-    left = used.join(freed, ["unified_delivery_driver", "geo_key", "delivery_week"], "left")
-    parts = [
-        table_rows("ledger", remaining.groupBy("pk", "delivery_week").agg(F.count(F.lit(1)).alias("n")), F.col("pk"), "delivery_week", "n"),
-        table_rows("exempt_counter", exempt, F.concat_ws("~", "province", "product_type"), "delivery_week", "n"),
-        table_rows("print_counter", prints, F.lit("PRINT"), "delivery_week", "n"),
-        table_rows("used_capacity", left, F.concat_ws("~", "unified_delivery_driver", "geo_key"), "delivery_week",
-                   F.col("used_capacity") - F.coalesce("freed", F.lit(0))),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def apply_tombstones(ledger: DataFrame, tombstones: DataFrame) -> DataFrame:
     """The ledger once cancellations are applied: a cancelled row is under its ``DELETED~`` key only."""
     gone = tombstones.select(F.regexp_replace("pk", f"^{C.DELETED_PREFIX}", "").alias("pk"), "request_id")
@@ -132,10 +103,6 @@ def active(ledger: DataFrame) -> DataFrame:
     return ledger.filter(~F.col("pk").startswith(C.DELETED_PREFIX))
 
 
-def cancel(ledger: DataFrame, targets: DataFrame, today: Column | None = None) -> DataFrame:
-    """STR-05: soft delete -- the latest row of each target request, if
-    cancellable (FLT-05), becomes a tombstone under ``DELETED~<pk>``."""
-    latest = latest_per_request(ledger.join(targets.select("request_id").distinct(),
-                                            "request_id", "left_semi"))
-    ok = latest.filter(K.cancellable(today))
-    return ok.withColumn("pk", F.concat(F.lit(C.DELETED_PREFIX), F.col("pk")))
+def tombstoned(rows: DataFrame) -> DataFrame:
+    """Ledger rows under their ``DELETED~`` keys."""
+    return rows.withColumn("pk", F.concat(F.lit(C.DELETED_PREFIX), F.col("pk")))

@@ -16,13 +16,18 @@ skew-proof strategy splits over many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import datetime
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from capaflow import config as C
 from capaflow.functions import keys as K
 from capaflow.operators.capacity import print_capacity_in_force
 from capaflow.operators.ranking import positions
+from capaflow.session import stage_table
+from capaflow.sources.ledger_store import SORTED_BY, range_scan
 
 
 def slice_size(daily: F.Column, executions: F.Column) -> F.Column:
@@ -96,10 +101,45 @@ def page(queue: DataFrame, rows: int = PAGE_ROWS, after: int = 0, descending: bo
     return queue.filter((pos > after) & (pos <= after + rows)).drop("_size")
 
 
-def switch_off(sender_rows: DataFrame, execution_limit: int = C.SWITCH_OFF_EXECUTION_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """ALC-15: the sender queue of each week in key order, numbered into batches of ``execution_limit``
-    and moved to phase 2 of that week, with strict priority. Returns the moved and the rejected rows."""
+def switch_off(sender_rows: DataFrame, execution_limit: int = C.SWITCH_OFF_EXECUTION_LIMIT,
+               current_week: bool = True) -> tuple[DataFrame, DataFrame]:
+    """ALC-15: all calls of the switch-off at once. The sender queue of each week in key order, numbered into calls of
+    ``execution_limit`` rows and moved, with strict priority, to phase 2 of the week that is current: the queue's own,
+    or the one before it when the calls ask for the next week's queue. Returns the moved and the rejected rows."""
     ok, rejected = K.split_by_priority(sender_rows)
     ranked = positions(ok.withColumn("_sk", K.sort_key(C.STEP_SENDER)), ["delivery_week"], [F.col("_sk")], name="switch_pos")
     out = ranked.withColumn("batch_no", F.ceil(F.col("switch_pos") / F.lit(execution_limit)).cast("int"))
-    return K.transition(out.drop("_sk"), C.STEP_PHASE_2, F.col("delivery_week")), rejected
+    target = F.col("delivery_week") if current_week else F.date_sub("delivery_week", 7)
+    return K.transition(out.drop("_sk").withColumn("queue_week", F.col("delivery_week")), C.STEP_PHASE_2, target), rejected
+
+
+@dataclass(frozen=True)
+class SwitchOffCall:
+    """What one call moved and rejected, and where the next one goes on (``cursor`` is None once the queue is empty)."""
+
+    moved: DataFrame
+    rejected: DataFrame
+    processed: int
+    cursor: str | None
+
+
+def switch_off_call(spark: SparkSession, path: str, today: datetime.date, execution_limit: int = C.SWITCH_OFF_EXECUTION_LIMIT,
+                    cursor: str | None = None, current_week: bool = True) -> SwitchOffCall:
+    """ALC-15, one call: the next ``execution_limit`` rows after ``cursor`` of the stored sender queue of the
+    current or the next week go to phase 2 of the current week, that of the Monday on or before ``today``."""
+    monday = today - datetime.timedelta(days=today.weekday())
+    week = monday if current_week else monday + datetime.timedelta(days=7)
+    rows = stage_table(range_scan(spark, path, C.STEP_SENDER, week, after=cursor, limit=execution_limit + 1), "switch-off")
+    last = rows.agg(F.count(F.lit(1)).alias("n"), F.max(SORTED_BY).alias("sk")).first()
+    more = last["n"] > execution_limit
+    if more:   # one row beyond the limit says that the queue goes on
+        rows = rows.filter(F.col(SORTED_BY) < last["sk"])
+    ok, rejected = K.split_by_priority(rows.drop("priority"))
+    at = rows.agg(F.max(SORTED_BY)).first()[0]
+    return SwitchOffCall(K.transition(ok, C.STEP_PHASE_2, F.lit(monday).cast("date")), rejected,
+                         min(last["n"], execution_limit), at if more else None)
+
+
+def print_totals(moved: DataFrame) -> DataFrame:
+    """ALC-14: the print counter of each week after the bypass: all rows that it moved."""
+    return moved.groupBy("delivery_week").agg(F.count(F.lit(1)).alias("print_counter"))

@@ -15,6 +15,13 @@ def q(name: str, *blocks: str, select: str) -> None:
     ORACLES[name] = with_ctes(*blocks, select=select)
 
 
+# Values of the order documents at their three levels.
+DOC_ROWS = """
+  SELECT sender_pa_id AS pa_id, CAST(substr(notification_sent_at, 1, 7) || '-01' AS DATE) AS month,
+         product_type, 'V' || CAST(attempt + 1 AS VARCHAR) AS variant, region, count(*) AS value
+  FROM shipments GROUP BY ALL"""
+
+
 PLACED = """
 SELECT request_id, delivery_week, unified_delivery_driver, CAST(priority AS BIGINT) AS priority, via_step,
        next_step2 AS final_step, next_week AS final_week, CAST(release_day AS BIGINT) AS release_day,
@@ -259,12 +266,6 @@ SELECT pk, sk, request_id FROM (SELECT pk, request_id, {SK} AS sk FROM ledger_r
                                  WHERE workflow_step = 'EVALUATE_DRIVER_CAPACITY')
 WHERE starts_with(sk, 'DRV_A~')""")
 
-q("flt_04", BASE, select=f"""
-SELECT pa_id, product_type, province, {d('delivery_date')} AS delivery_date,
-       epoch_ms(CAST(delivery_date AS TIMESTAMP)) // 1000 + 90 * 86400 AS ttl
-FROM estimates
-WHERE epoch_ms(CAST(delivery_date AS TIMESTAMP)) // 1000 + 90 * 86400 > epoch_ms(TIMESTAMP '1999-01-01') // 1000""")
-
 LATEST = """latest AS (
   SELECT request_id, arg_max(workflow_step, created_at) AS workflow_step, arg_max(pk, created_at) AS pk,
          max(created_at) AS created_at
@@ -334,18 +335,21 @@ q("alc_14", BASE, STRICT, select=f"""
 SELECT request_id, {d('delivery_week')} AS delivery_week,
        CASE WHEN priority IS NOT NULL THEN 'EVALUATE_PRINT_CAPACITY' ELSE 'QUARANTINE' END AS workflow_step,
        CAST(priority AS BIGINT) AS priority,
-       CASE WHEN priority IS NOT NULL THEN concat_ws('~', CAST(priority AS VARCHAR), rank_date, request_id) END AS sk
+       CASE WHEN priority IS NOT NULL THEN concat_ws('~', CAST(priority AS VARCHAR), rank_date, request_id) END AS sk,
+       CASE WHEN priority IS NOT NULL THEN count(priority) OVER (PARTITION BY delivery_week) END AS print_counter
 FROM strict""")
 
 q("alc_15", BASE, STRICT, select=f"""
-SELECT request_id, {d('delivery_week')} AS delivery_week, switch_pos,
+SELECT request_id, {d('delivery_week')} AS queue_week,
+       CASE queue WHEN 'current' THEN {d('delivery_week')} ELSE {d('delivery_week - 7')} END AS delivery_week, switch_pos,
        CAST(ceil(switch_pos / 5000) AS BIGINT) AS batch_no, 'SENT_TO_PREPARE_PHASE_2' AS workflow_step,
-       CAST(priority AS BIGINT) AS priority
+       CAST(priority AS BIGINT) AS priority, queue
 FROM (SELECT *, row_number() OVER (PARTITION BY delivery_week
                                    ORDER BY concat_ws('~', province, rank_date, request_id)) AS switch_pos
-      FROM strict WHERE priority IS NOT NULL)
+      FROM strict WHERE priority IS NOT NULL), (VALUES ('current'), ('next')) modes(queue)
 UNION ALL
-SELECT request_id, {d('delivery_week')}, NULL, NULL, 'REJECTED', NULL FROM strict WHERE priority IS NULL""")
+SELECT request_id, {d('delivery_week')}, NULL, NULL, NULL, 'REJECTED', NULL, queue FROM strict, (VALUES ('current'), ('next')) modes(queue)
+WHERE priority IS NULL""")
 
 q("alc_17", *HISTORY, LATEST.replace("latest AS", "latest_row AS"),
   select="SELECT request_id, workflow_step, pk, created_at FROM latest_row")
@@ -439,8 +443,18 @@ SELECT 'print_counter', 'PRINT', {d('delivery_week')}, count(*) FROM release_pla
 WHERE delivery_week <> (SELECT max(delivery_week) FROM shipments) GROUP BY delivery_week""")
 
 TAIL = "tail AS (SELECT request_id FROM release_plan WHERE NOT released)"
-q("join_14", *HISTORY, TAIL, select="""
-SELECT pk, request_id, workflow_step FROM ledger WHERE request_id IN (SELECT request_id FROM tail)""")
+q("join_14", *HISTORY, TAIL, "gone AS (SELECT * FROM ledger WHERE request_id IN (SELECT request_id FROM tail))", select=f"""
+SELECT 'ledger' AS "table", pk || '~' || request_id AS "key", {d('delivery_week')} AS delivery_week FROM gone
+UNION
+SELECT 'exempt_counter', province || '~' || product_type, {d('delivery_week')} FROM gone
+UNION
+SELECT 'print_counter', 'PRINT', {d('delivery_week')} FROM gone
+UNION
+SELECT 'used_sender_limit', sender_pa_id || '~' || product_type || '~' || province, {d('delivery_week - 7')} FROM gone
+UNION
+SELECT 'used_capacity', unified_delivery_driver || '~' || unnest([cap, province]), {d('delivery_week')} FROM gone
+WHERE workflow_step = 'EVALUATE_PRINT_CAPACITY'""")
+
 q("mnt_02", *HISTORY, TAIL, "kept AS (SELECT * FROM ledger WHERE request_id NOT IN (SELECT request_id FROM tail))", select=f"""
 SELECT 'ledger' AS "table", pk AS "key", {d('delivery_week')} AS delivery_week, count(*) AS n FROM kept GROUP BY pk, delivery_week
 UNION ALL
@@ -453,7 +467,11 @@ UNION ALL
 SELECT 'used_capacity', u.unified_delivery_driver || '~' || u.geo_key, {d('u.delivery_week')},
        CAST(u.used_capacity - (SELECT count(*) FROM release_plan p WHERE NOT p.released AND p.delivery_week = u.delivery_week
            AND p.unified_delivery_driver = u.unified_delivery_driver AND u.geo_key IN (p.cap, p.province)) AS BIGINT)
-FROM used2 u""")
+FROM used2 u
+UNION ALL
+SELECT 'used_sender_limit', sender_pa_id || '~' || product_type || '~' || province, {d('delivery_week - 7')}, count(*) FROM sender_split
+WHERE NOT exempt AND next_step = 'EVALUATE_DRIVER_CAPACITY' AND request_id NOT IN (SELECT request_id FROM tail)
+GROUP BY delivery_week, province, sender_pa_id, product_type""")
 
 # ====================== reports ======================
 # Each week's part of a request, from the definition of the report: one row per (week, key, request).
@@ -578,26 +596,62 @@ SELECT {d('w')} AS delivery_week, {d('w - 7')} AS last_week, {d('w + 7')} AS nex
        {d('w')} AS q3_from, {d('w + 7')} AS q3_to, {d('w')} || '~SENT_TO_PREPARE_PHASE_2' AS q3_pk
 FROM (SELECT DISTINCT delivery_week AS w FROM ledger)""")
 
-q("src_07", *HISTORY, select=f"""
-SELECT pk, request_id, iun, product_type, sender_pa_id, province, cap, unified_delivery_driver,
+def day_parts(day: str) -> str:
+    return f"strftime({day}, '%Y') AS p_year, strftime({day}, '%m') AS p_month, strftime({day}, '%d') AS p_day"
+
+
+q("src_07", *HISTORY, f"doc_rows AS ({DOC_ROWS})", select=f"""
+SELECT 'shipment_ledger' AS "table", pk, request_id, iun, product_type, sender_pa_id, province, cap, unified_delivery_driver,
        prepare_request_date, notification_sent_at, created_at, workflow_step,
        CAST(attempt AS BIGINT) AS attempt, CAST(priority AS BIGINT) AS priority,
-       {d('delivery_week')} AS delivery_week,
-       strftime(strptime(created_at, {TS}), '%Y') AS p_year, strftime(strptime(created_at, {TS}), '%m') AS p_month,
-       strftime(strptime(created_at, {TS}), '%d') AS p_day
-FROM ledger""")
+       {d('delivery_week')} AS delivery_week, {day_parts(f"strptime(created_at, {TS})")}
+FROM ledger
+UNION ALL BY NAME
+SELECT 'used_capacity' AS "table", unified_delivery_driver || '~' || geo_key AS unified_delivery_driver_geokey,
+       {d('delivery_week')} AS delivery_date, CAST(declared_capacity AS BIGINT) AS declared_capacity, geo_key,
+       unified_delivery_driver, CAST(used_capacity AS BIGINT) AS used_capacity, {day_parts('delivery_week')}
+FROM used2
+UNION ALL BY NAME
+SELECT 'used_sender_limit' AS "table", sender_pa_id || '~' || product_type || '~' || province AS pk, {d('delivery_week - 7')} AS delivery_date,
+       count(*) AS number_of_shipment, sender_pa_id AS pa_id, product_type, province, CAST(max(sender_limit) AS BIGINT) AS sender_limit,
+       {day_parts('delivery_week - 7')}
+FROM sender_split WHERE NOT exempt AND next_step = 'EVALUATE_DRIVER_CAPACITY'
+GROUP BY delivery_week, province, sender_pa_id, product_type
+UNION ALL BY NAME
+SELECT 'sender_limit' AS "table", pa_id || '~' || product_type || '~' || province AS pk, {d('delivery_date')} AS delivery_date,
+       CAST(weekly_estimate AS BIGINT) AS weekly_estimate, monthly_estimate, CAST(original_estimate AS BIGINT) AS original_estimate,
+       pa_id, product_type, province, file_key, epoch_ms(CAST(delivery_date AS TIMESTAMP)) // 1000 + 365 * 86400 AS ttl,
+       {day_parts('delivery_date')}
+FROM estimates
+UNION ALL BY NAME
+SELECT 'counter' AS "table", {d('delivery_week')} AS pk, 'EXCLUDE~' || province || '~' || product_type AS sk, number_of_shipments,
+       epoch_ms(CAST(delivery_week AS TIMESTAMP)) // 1000 + 14 * 86400 AS ttl, {day_parts('delivery_week')}
+FROM exempt_counters
+UNION ALL BY NAME
+SELECT 'counter' AS "table", 'PRINT' AS pk, {d('delivery_week')} AS sk, count(*) AS number_of_shipments,
+       CAST(max(daily_print_capacity) AS BIGINT) AS daily_print_capacity, CAST(max(weekly_print_capacity) AS BIGINT) AS weekly_print_capacity,
+       count(*) FILTER (NOT released) AS sent_to_next_week, {day_parts('delivery_week')}
+FROM release_plan GROUP BY delivery_week
+UNION ALL BY NAME
+SELECT 'order_value' AS "table", pa_id AS pk, strftime(month, '%Y-%m') || '~' || sk AS sk, CAST(value AS BIGINT) AS value,
+       'orders/' || pa_id || '/' || strftime(month, '%Y-%m') || '.json' AS file_key, {d('month')} AS last_update_order,
+       {d('month')} AS created_at, {day_parts('month')}
+FROM (SELECT pa_id, month, product_type AS sk, sum(value) AS value FROM doc_rows GROUP BY ALL
+      UNION ALL SELECT pa_id, month, product_type || '~' || variant, sum(value) FROM doc_rows GROUP BY ALL
+      UNION ALL SELECT pa_id, month, product_type || '~' || variant || '~' || region, value FROM doc_rows
+                WHERE NOT (product_type = '890' AND variant = 'V2'))""")
 
 q("fn_07", *HISTORY, f"""
-w AS (SELECT max(delivery_week) AS week FROM shipments),
-images AS (SELECT pk, CAST(strptime(created_at, {TS}) AS DATE) AS day FROM ledger)""", select=f"""
-SELECT 'Q1' AS query, pk, count(*) AS n FROM images, w
-WHERE day BETWEEN week - 7 AND week AND pk = {d('week')} || '~EVALUATE_SENDER_LIMIT' GROUP BY pk
+w AS (SELECT DISTINCT delivery_week AS week FROM ledger),
+images AS (SELECT pk, CAST(strptime(created_at, {TS}) AS DATE) AS day, count(*) AS n FROM ledger GROUP BY ALL)""", select=f"""
+SELECT 'Q1' AS query, {d('week')} AS delivery_week, pk, sum(n) AS n FROM images, w
+WHERE day BETWEEN week - 7 AND week AND pk = {d('week')} || '~EVALUATE_SENDER_LIMIT' GROUP BY week, pk
 UNION ALL
-SELECT 'Q2', pk, count(*) FROM images, w
-WHERE date_trunc('month', day) BETWEEN date_trunc('month', week - 7) - INTERVAL 4 MONTH AND date_trunc('month', week - 7) GROUP BY pk
+SELECT 'Q2', {d('week')}, pk, sum(n) FROM images, w
+WHERE date_trunc('month', day) BETWEEN date_trunc('month', week - 7) - INTERVAL 4 MONTH AND date_trunc('month', week - 7) GROUP BY week, pk
 UNION ALL
-SELECT 'Q3', pk, count(*) FROM images, w
-WHERE day BETWEEN week AND week + 7 AND pk = {d('week')} || '~SENT_TO_PREPARE_PHASE_2' GROUP BY pk""")
+SELECT 'Q3', {d('week')}, pk, sum(n) FROM images, w
+WHERE day BETWEEN week AND week + 7 AND pk = {d('week')} || '~SENT_TO_PREPARE_PHASE_2' GROUP BY week, pk""")
 
 EXPORT = f"""
 SELECT unified_delivery_driver || '~' || geo_key AS unified_delivery_driver_geokey,
@@ -617,7 +671,7 @@ INGEST = """
 ev_ext AS (
   SELECT r.*, e.event_type, CAST(json_extract_string(e.props, '$.k') AS BIGINT) AS k
   FROM event_records r JOIN events e USING (event_id)),
-decoded AS (SELECT * FROM ev_ext WHERE NOT (event_type = 'signup' AND k % 4 = 0)),
+decoded AS (SELECT * FROM ev_ext WHERE NOT (event_type = 'signup' AND k % 4 = 0) AND k % 50 NOT IN (13, 31)),
 valid AS (
   SELECT * FROM decoded WHERE attempt IS NOT NULL AND coalesce(length(prepare_request_date) > 0, false)
                           AND coalesce(length(notification_sent_at) > 0, false)),
@@ -655,18 +709,58 @@ SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS sequence_number, 'IUN-' ||
 FROM orders WHERE o_orderstatus = 'P'""")
 q("src_03", *HISTORY, select="SELECT request_id, iun FROM ledger WHERE workflow_step = 'SENT_TO_PREPARE_PHASE_2'")
 q("str_01", EVENTS, INGEST, select=INGEST_SELECT)
-q("str_04", EVENTS, INGEST, select=INGEST_SELECT)
-q("str_03", EVENTS, INGEST, select="SELECT CAST(batch_id AS BIGINT) AS batch_id, count(*) AS n FROM ingested GROUP BY 1")
+q("str_03", EVENTS, INGEST, """per_day AS (
+  SELECT day_idx, count(*) AS n, count(*) FILTER (k % 50 IN (13, 31)) AS broken,
+         count(*) FILTER (k % 50 NOT IN (13, 31) AND event_type = 'signup' AND k % 4 = 0) AS without_body
+  FROM ev_ext JOIN days ON days.day = CAST(ts AS DATE) GROUP BY day_idx),
+checked AS (
+  SELECT day_idx, count(*) AS n, count(*) FILTER (event_id IN (SELECT event_id FROM valid)) AS n_valid
+  FROM decoded JOIN days ON days.day = CAST(ts AS DATE) GROUP BY day_idx),
+taken AS (SELECT batch_id, count(*) AS n FROM ingested GROUP BY 1),
+again AS (SELECT p.day_idx, coalesce(sum(b.broken), 0) AS n FROM per_day p LEFT JOIN per_day b ON b.day_idx IN (p.day_idx - 1, p.day_idx - 2) GROUP BY 1)""", select="""
+SELECT CAST(p.day_idx AS BIGINT) AS batch_id, CAST(p.n + a.n AS BIGINT) AS read, CAST(a.n AS BIGINT) AS again,
+       CAST(p.broken + a.n AS BIGINT) AS undecodable, p.without_body, c.n - c.n_valid AS invalid,
+       coalesce(t.n, 0) AS accepted, 0 AS refused
+FROM per_day p JOIN again a USING (day_idx) LEFT JOIN checked c USING (day_idx) LEFT JOIN taken t ON t.batch_id = p.day_idx""")
+
+q("str_04", EVENTS, INGEST, """broken AS (
+  SELECT sequence_number, day_idx, CASE WHEN k % 50 = 13 THEN 'base64' WHEN event_type = 'click' THEN 'gzip' ELSE 'json' END AS error,
+         (SELECT max(day_idx) FROM days) AS last
+  FROM ev_ext JOIN days ON days.day = CAST(ts AS DATE) WHERE k % 50 IN (13, 31))""", select="""
+SELECT sequence_number, 'ledger' AS fate, CAST(batch_id AS BIGINT) AS batch_id, NULL::BIGINT AS tries, NULL AS error FROM ingested
+UNION ALL
+SELECT sequence_number, CASE WHEN day_idx + 2 <= last THEN 'dead' ELSE 'retry' END, CAST(least(day_idx + 2, last) AS BIGINT),
+       CAST(least(3, last - day_idx + 1) AS BIGINT), error FROM broken""")
+
+q("flt_04", *PLAN, "doc_rows AS (" + DOC_ROWS + ")", EVENTS, INGEST, """kept AS (
+  SELECT 'estimate' AS "table", pa_id || '~' || product_type || '~' || province AS "key", delivery_date AS day, 365 AS days FROM estimates
+  UNION ALL
+  SELECT 'exempt_counter', province || '~' || product_type, delivery_week, 14 FROM exempt_counters
+  UNION ALL
+  SELECT 'order_value', pa_id || '~' || sk, month, 3650 FROM (
+    SELECT DISTINCT pa_id, month, product_type AS sk FROM doc_rows
+    UNION ALL SELECT DISTINCT pa_id, month, product_type || '~' || variant FROM doc_rows
+    UNION ALL SELECT pa_id, month, product_type || '~' || variant || '~' || region FROM doc_rows
+              WHERE NOT (product_type = '890' AND variant = 'V2')))""", select=f"""
+SELECT "table", "key", {d('day')} AS day, epoch_ms(CAST(day AS TIMESTAMP)) // 1000 + days * 86400 AS ttl FROM kept
+WHERE CAST(day AS DATE) + days > DATE '1998-07-06'
+UNION ALL
+SELECT 'seen_id', request_id, {d('ts')}, epoch_ms(date_trunc('second', ts)) // 1000 + 86400 FROM ingested
+WHERE epoch_ms(date_trunc('second', ts)) // 1000 + 86400 > epoch_ms(TIMESTAMP '2024-01-30 12:00:00') // 1000""")
+
 q("str_07", EVENTS, INGEST, select=f"""
 SELECT {d('delivery_week')} AS delivery_week, province, product_type, count(*) AS number_of_shipments
 FROM ingested WHERE upper(product_type) = 'RS' OR attempt = 1 GROUP BY ALL""")
-q("join_08", EVENTS, select="""
-SELECT request_id, sequence_number FROM (
-  SELECT request_id, sequence_number, ts,
-         lag(ts) OVER (PARTITION BY request_id ORDER BY ts, sequence_number) AS before
-  FROM event_records WHERE attempt IS NOT NULL
-    AND coalesce(length(prepare_request_date) > 0, false) AND coalesce(length(notification_sent_at) > 0, false))
-WHERE before IS NULL OR before + INTERVAL 1 DAY <= ts""")
+q("join_08", EVENTS, """
+ok AS (SELECT request_id, sequence_number, ts FROM event_records WHERE attempt IS NOT NULL
+    AND coalesce(length(prepare_request_date) > 0, false) AND coalesce(length(notification_sent_at) > 0, false)),
+kept AS (
+  WITH RECURSIVE a(request_id, sequence_number, ts) AS (
+    SELECT request_id, arg_min(sequence_number, (ts, sequence_number)), min(ts) FROM ok GROUP BY request_id
+    UNION ALL
+    SELECT o.request_id, arg_min(o.sequence_number, (o.ts, o.sequence_number)), min(o.ts)
+    FROM a JOIN ok o ON o.request_id = a.request_id AND o.ts >= a.ts + INTERVAL 1 DAY GROUP BY o.request_id)
+  SELECT * FROM a)""", select="SELECT request_id, sequence_number FROM kept")
 
 # A request is forgotten once the watermark (a day behind the newest record of the batches before)
 # has passed the end of its own day; it is kept again in the first batch after that.
