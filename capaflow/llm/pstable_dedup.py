@@ -19,8 +19,8 @@ vector and enough links to join what belongs together, not its pairs.
 
 Defined results: a null id links with nothing (its component is null and it
 is kept), nor does a vector that is null, empty, zero, or has null or non-finite
-components; vectors of different length are never linked; repeated rows
-count as other vectors; an empty table gives an empty result.
+components; vectors of different length are never linked; repeated rows, and rows of
+one id with other vectors, count as other vectors; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from capaflow.llm.common import Scratch, connected_components, in_batches, random_words, splitmix
 
@@ -63,8 +64,13 @@ def _projections(dim: int, m: int, tables: int) -> tuple[np.ndarray, np.ndarray]
     return g.standard_normal((dim, m * tables)), g.random(m * tables)
 
 
+def _kind(vectors: DataFrame, embedding: str) -> str:
+    """Floats travel as floats; everything is computed in doubles."""
+    return "float" if vectors.select(F.col(f"`{embedding}`")).schema[0].dataType == T.ArrayType(T.FloatType()) else "double"
+
+
 def hashed(vectors: DataFrame, vec_id: str, embedding: str, m: int, tables: int, width: float) -> DataFrame:
-    """(id, digest, vector, keys): digest, vector and one 32-bit bucket per table only for usable vectors."""
+    """(id, digest, vector, keys): digest, vector (its components as they are stored) and one 32-bit bucket per table only for usable vectors."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, tuple] = {}
         for batch in batches:
@@ -94,21 +100,21 @@ def hashed(vectors: DataFrame, vec_id: str, embedding: str, m: int, tables: int,
                     key = (splitmix(key) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                     for r, k in enumerate(at):
                         digest[k] = hashlib.blake2b(u[r].tobytes(), digest_size=16).digest()
-                        raw[k], keys[k] = x[r].astype(np.float64).tobytes(), key[r].tolist()
+                        raw[k], keys[k] = x[r].tobytes(), key[r].tolist()
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(digest, pa.binary()), pa.array(raw, pa.binary()), pa.array(keys, pa.list_(pa.int32()))],
                     names=["id", "digest", "vector", "keys"])
 
-    rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{embedding}`").alias("e"))
+    rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{embedding}`").cast(f"array<{_kind(vectors, embedding)}>").alias("e"))
     return in_batches(rows, work, "id long, digest binary, vector binary, keys array<int>")
 
 
-def _compare(cosine: float):
+def _compare(cosine: float, kind: str):
     def work(rows: pa.Table) -> pa.Table:
-        ids = rows.column("rep").to_numpy()
+        ids = rows.column("cls").to_numpy()
         copies, block = rows.column("copies").to_numpy(), rows.column("block").to_numpy()
         t, i, j = (rows.column(c)[0].as_py() for c in ("t", "i", "j"))
-        u = unit_vectors(np.stack([np.frombuffer(v, np.float64) for v in rows.column("vector").to_pylist()]))
+        u = unit_vectors(np.stack([np.frombuffer(v, np.float32 if kind == "float" else np.float64) for v in rows.column("vector").to_pylist()]))
         keys = rows.column("keys").combine_chunks().values.to_numpy(zero_copy_only=False)
         keys = keys.reshape(len(ids), -1) if len(ids) else keys
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
@@ -146,29 +152,31 @@ def _compare(cosine: float):
 
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = 0.9,
-                    width: float = 2.0, bucket: int = 128, miss: float = 1e-3, tile: int = 256) -> DataFrame:
+                    width: float = 2.0, bucket: int = 1024, miss: float = 1e-3, tile: int = 1024) -> DataFrame:
     """Per row: id, n_links, component_id and kept."""
     m, tables = table_plan(vectors.count(), cosine, width, bucket, miss)
     scratch = Scratch(vectors.sparkSession, "pstable")
     rows = scratch.stage(hashed(vectors, vec_id, embedding, m, tables, width))
+    # a class is known by a number of its own: an id can occur with several vectors
     classes = scratch.stage(rows.where("digest is not null").groupBy("digest").agg(
         F.min("id").alias("rep"), F.count("*").alias("copies"), F.min_by("vector", "id").alias("vector"),
-        F.min_by("keys", "id").alias("keys")))
-    members = classes.select("rep", F.xxhash64("digest").alias("deal"), F.posexplode("keys").alias("t", "key"))
+        F.min_by("keys", "id").alias("keys")).withColumn("cls", F.monotonically_increasing_id()))
+    members = classes.select("cls", F.posexplode("keys").alias("t", "key"))
     per = members.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / tile)
-    members = (members.join(per, ["t", "key"]).withColumn("block", F.pmod("deal", blocks))
+    members = (members.join(per, ["t", "key"]).withColumn("block", F.pmod(F.xxhash64("cls"), blocks))
                .withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-               .select("rep", "t", "key", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j")))
-    tiles = members.join(classes.select("rep", "copies", "vector", "keys"), "rep").groupBy("t", "key", "i", "j")
-    found = scratch.stage(tiles.applyInArrow(_compare(cosine), "a long, links long, b long"))
-    comps = connected_components(found.where("b is not null").select("a", "b"), scratch.stage)
-    more = found.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "rep")
-    named = (classes.select("digest", "rep", "copies").join(more, "rep", "left")
-             .join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+               .select("cls", "t", "key", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j")))
+    tiles = members.join(classes.select("cls", "copies", "vector", "keys"), "cls").groupBy("t", "key", "i", "j")
+    found = scratch.stage(tiles.applyInArrow(_compare(cosine, _kind(vectors, embedding)), "a long, links long, b long"))
+    comps = scratch.stage(connected_components(found.where("b is not null").select("a", "b"), scratch.stage).withColumnRenamed("node", "cls"))
+    least = comps.join(classes.select("cls", "rep"), "cls").groupBy("component").agg(F.min("rep").alias("least"))
+    more = found.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "cls")
+    named = (classes.select("digest", "cls", "rep", "copies").join(more, "cls", "left")
+             .join(comps.join(least, "component").select("cls", "least"), "cls", "left")
              .select("digest", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-                     F.coalesce("component", "rep").alias("component")))
-    component = F.coalesce("component", "id")
-    return scratch.result(rows.join(named, "digest", "left").select(
-        "id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"),
-        component.eqNullSafe(F.col("id")).alias("kept")))
+                     F.coalesce("least", "rep").alias("component")))
+    linked = rows.select("id", "digest").where("digest is not null").join(named, "digest").select("id", "n_links", "component")
+    alone = rows.where("digest is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
+    return scratch.result(linked.union(alone).select(
+        "id", "n_links", F.col("component").alias("component_id"), F.col("component").eqNullSafe(F.col("id")).alias("kept")))

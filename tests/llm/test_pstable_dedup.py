@@ -43,6 +43,17 @@ def test_same_links_as_all_pairs(spark, tile):
     assert got == sorted(brute(ids, vectors))
 
 
+def test_one_id_with_several_vectors(spark):
+    """Each row's links and component are those of its own vector; a third of the rows share one id."""
+    rng = np.random.default_rng(7)
+    rows = [(1, [1.0, 0.0, 0.1]), (1, [0.0, 1.0, 0.1]), (2, [1.0, 0.0, 0.1]), (3, [1.0, 0.1, 0.1]), (4, [0.0, 1.0, 0.0]), (5, [0.1, 1.0, 0.0])]
+    rows += [(9 if k % 3 == 0 else 10 + k, (np.eye(3)[k % 3] + rng.normal(size=3) * 0.3).tolist()) for k in range(120)]
+    ids, vectors = zip(*rows, strict=True)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.id, r.n_links, r.component_id) for r in P.near_duplicates(df, miss=1e-6, tile=16).collect())
+    assert got == sorted(brute(ids, vectors))
+
+
 def test_recall_at_production_settings(spark):
     """Pairs close to the threshold, with the default probability of a miss."""
     rng, rows = np.random.default_rng(8), []
