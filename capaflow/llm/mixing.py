@@ -116,6 +116,9 @@ def _pass(level: int, last: bool):
     return work
 
 
+_ROW = "number of the row in the mix"   # a name that no column has
+
+
 def _copies(docs: DataFrame, keep: tuple[str, ...], doc_id: str = "doc_id", text: str = "text", source: str = "source",
             weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17,
             block_rows: int = 2048, fan_in: int = 512) -> DataFrame:
@@ -161,8 +164,13 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), **options) -> Data
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with all its columns."""
+    """The mix itself: every document as often as it is taken, with all its columns.
+
+    Rows are stored once with a number; sizes and numbers go through the rounding, texts do not.
+    """
     names = tuple(docs.columns)
+    rows = staged(docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("row", F.monotonically_increasing_id()), "mix-rows")
+    named = rows.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], F.col("row").alias(_ROW))
+    taken = _copies(named, (_ROW,), **options).where("copies > 0").select(F.col("k0").alias("row"), "copies")
     times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return (_copies(docs, names, **options).where("copies > 0")
-            .select(*[F.col(f"k{i}") for i in range(len(names))], times).drop("col").toDF(*names))
+    return rows.join(taken, "row").select(*[F.col(f"c{i}") for i in range(len(names))], times).drop("col").toDF(*names)
