@@ -49,9 +49,7 @@ def plan_results(spark: SparkSession, sf_dir: str) -> PlanResults:
     if key not in _CACHE:
         inp = W.load_inputs(spark, sf_dir)
         snd = W.sender_step(inp)
-        caps = W.capacity_steps(snd.split, inp.capacity, snd.bound)
-        rel = W.print_step(caps, inp.print_config, snd.bound)
-        _CACHE[key] = PlanResults(inp, snd, caps, rel)
+        _CACHE[key] = PlanResults(inp, snd, *W.capacity_and_print(snd, inp))
     return _CACHE[key]
 
 

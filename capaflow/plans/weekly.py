@@ -25,7 +25,7 @@ from capaflow.operators import drivers as D
 from capaflow.operators import printing as P
 from capaflow.operators import sender as S
 from capaflow.operators.capacity import drivers_on_province
-from capaflow.session import stage_table
+from capaflow.session import concurrently, stage_table
 from capaflow.sources import testdata as T
 
 MATERIALIZE_CONF = "capaflow.materializeSteps"
@@ -52,14 +52,17 @@ def load_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INPUTS:
-        shp = materialize(T.shipments(spark, sf_dir), force=True)
-        cov = materialize(T.driver_coverage(spark, sf_dir), force=True)
-        D.reject_shared_caps(cov)
-        _INPUTS[key] = Inputs(
-            shp, cov,
-            materialize(T.driver_capacity(spark, sf_dir, shp, cov), force=True),
-            materialize(T.sender_estimates(spark, sf_dir, shp), force=True),
-            materialize(T.print_capacity_config(spark, sf_dir, shp), force=True))
+        def coverage() -> DataFrame:
+            cov = materialize(T.driver_coverage(spark, sf_dir), force=True)
+            D.reject_shared_caps(cov)
+            return cov
+
+        shp, cov = concurrently(lambda: materialize(T.shipments(spark, sf_dir), force=True), coverage)
+        cap, est, prints = concurrently(
+            lambda: materialize(T.driver_capacity(spark, sf_dir, shp, cov), force=True),
+            lambda: materialize(T.sender_estimates(spark, sf_dir, shp), force=True),
+            lambda: materialize(T.print_capacity_config(spark, sf_dir, shp), force=True))
+        _INPUTS[key] = Inputs(shp, cov, cap, est, prints)
     return _INPUTS[key]
 
 
@@ -105,18 +108,22 @@ def small(df: DataFrame) -> DataFrame:
 
 def sender_step(inp: Inputs) -> SenderStep:
     shp = inp.shipments
-    pw = shp.select("tender_id", "province", "delivery_week").distinct()
-    drivers = small(drivers_on_province(pw, inp.capacity))
-    comps = small(D.product_components(drivers))
     fresh = shp.filter(~F.col("carried")) if "carried" in shp.columns else shp
-    excl = S.exempt_counters(fresh)   # only the week's own shipments count, not those carried over
+
+    def drivers_and_components() -> DataFrame:
+        pw = shp.select("tender_id", "province", "delivery_week").distinct()
+        return small(D.product_components(small(drivers_on_province(pw, inp.capacity))))
+
+    comps, excl, totals, bound = concurrently(
+        drivers_and_components,
+        lambda: small(S.exempt_counters(fresh)),   # only the week's own shipments count, not those carried over
+        lambda: small(S.estimate_totals(inp.estimates)),
+        lambda: row_bound(shp))
     net = small(D.net_capacity(comps, excl))
     assigned = K.with_priority(D.assign_driver(shp, inp.coverage))
     enriched = D.sole_driver_shortcut(assigned, comps)
-    totals = S.estimate_totals(inp.estimates)
     limits = small(S.sender_limits(inp.estimates, net, totals))
     covered = F.col("unified_delivery_driver").isNotNull()
-    bound = row_bound(shp)
     split = materialize(S.split_by_sender_limit(enriched.filter(covered), limits, row_bound=bound))
     return SenderStep(enriched, comps, net, excl, totals, limits, split, enriched.filter(~covered), bound)
 
@@ -129,15 +136,17 @@ class CapacitySteps:
     used_after_residual: DataFrame
 
 
-def capacity_steps(split: DataFrame, capacity: DataFrame, bound: int | None = None) -> CapacitySteps:
-    bound = row_bound(split) if bound is None else bound
+def capacity_and_print(snd: SenderStep, inp: Inputs) -> tuple[CapacitySteps, DataFrame]:
+    """Driver and residual step, then what they leave used and the print step, which need nothing of each other."""
+    split, bound = snd.split, snd.bound
     drv = materialize(A.allocate(split.filter(F.col("next_step") == C.STEP_DRIVER),
-                                 capacity, C.STEP_DRIVER, row_bound=bound))
+                                 inp.capacity, C.STEP_DRIVER, row_bound=bound))
     used1 = materialize(A.used_capacity(drv))
     res = materialize(A.allocate(split.filter(F.col("next_step") == C.STEP_RESIDUAL),
-                                 capacity, C.STEP_RESIDUAL, used=used1, row_bound=bound))
-    used2 = small(A.used_capacity(res, previous=used1))
-    return CapacitySteps(drv, used1, res, used2)
+                                 inp.capacity, C.STEP_RESIDUAL, used=used1, row_bound=bound))
+    used2, released = concurrently(lambda: small(A.used_capacity(res, previous=used1)),
+                                   lambda: print_step(drv, res, inp.print_config, bound))
+    return CapacitySteps(drv, used1, res, used2), released
 
 
 PRINT_COLS = ["request_id", "iun", "tender_id", "delivery_week", "unified_delivery_driver",
@@ -145,11 +154,10 @@ PRINT_COLS = ["request_id", "iun", "tender_id", "delivery_week", "unified_delive
               "prepare_request_date", "notification_sent_at"]
 
 
-def print_step(steps: CapacitySteps, print_config: DataFrame, bound: int | None = None) -> DataFrame:
-    acc = (steps.driver.filter("accepted").select(*PRINT_COLS, F.lit(C.STEP_DRIVER).alias("via_step"))
-           .unionByName(steps.residual.filter("accepted")
+def print_step(driver: DataFrame, residual: DataFrame, print_config: DataFrame, bound: int) -> DataFrame:
+    acc = (driver.filter("accepted").select(*PRINT_COLS, F.lit(C.STEP_DRIVER).alias("via_step"))
+           .unionByName(residual.filter("accepted")
                         .select(*PRINT_COLS, F.lit(C.STEP_RESIDUAL).alias("via_step"))))
-    bound = row_bound(acc) if bound is None else bound
     return materialize(P.release(P.print_queue(acc, print_config, row_bound=bound)))
 
 
@@ -172,8 +180,7 @@ def placements(snd: SenderStep, caps: CapacitySteps, rel: DataFrame) -> DataFram
 def weekly_plan(inp: Inputs) -> DataFrame:
     """Flagship: final placement of every shipment of every week (one round)."""
     snd = sender_step(inp)
-    caps = capacity_steps(snd.split, inp.capacity, snd.bound)
-    return placements(snd, caps, print_step(caps, inp.print_config, snd.bound))
+    return placements(snd, *capacity_and_print(snd, inp))
 
 
 def run_weeks(spark: SparkSession, inp: Inputs, rounds: int | None = None) -> DataFrame:

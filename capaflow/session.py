@@ -86,3 +86,14 @@ def stage_table(df, name: str = "stage"):
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def concurrently(*jobs):
+    """Results of independent jobs, run at the same time from threads of the driver: small jobs leave most of a cluster idle."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+    spark = SparkSession.getActiveSession()
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        futures = [pool.submit((inheritable_thread_target(spark) if spark else inheritable_thread_target)(job)) for job in jobs]
+        return [f.result() for f in futures]

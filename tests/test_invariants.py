@@ -69,8 +69,7 @@ def test_pipeline_range_strategy_equals_window(spark):
 
     def run():
         snd = W.sender_step(inp)
-        caps = W.capacity_steps(snd.split, inp.capacity)
-        rel = W.print_step(caps, inp.print_config)
+        caps, rel = W.capacity_and_print(snd, inp)
         return (sorted(map(tuple, snd.split.select("request_id", "next_step", "sender_rank").collect()),
                        key=str),
                 sorted(map(tuple, caps.driver.select("request_id", "cap_pos", "prov_pos", "accepted")
