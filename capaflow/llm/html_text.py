@@ -134,10 +134,18 @@ def lines(page: str, by_name: bool = True) -> tuple[list[Line], list[Box]]:
     out: list[Line] = []
     boxes = [Box(0, False)]
     stack: list[tuple[str, bool, bool, bool, int, int]] = []  # tag, apart, article, link, box, heading level
+    # places in the stack of each open tag, of elements that are no inline ones, and of those that </p> and the like do not
+    # cross: whether an end tag closes something is known without a walk down the stack
+    places: dict[str, list[int]] = {}
+    blocks: list[int] = []
+    walls: list[int] = []
     held: list[str] = []
     plain = [0]
     apart = articles = links = 0
 
+    def last(*tags: str) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
     def close_line() -> None:
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
@@ -156,7 +164,11 @@ def lines(page: str, by_name: bool = True) -> tuple[list[Line], list[Box]]:
     def pop(to: int) -> None:
         nonlocal apart, articles, links
         while len(stack) > to:
-            _, was_apart, was_article, was_link, *_ = stack.pop()
+            was, was_apart, was_article, was_link, *_ = stack.pop()
+            places[was].pop()
+            for list_ in (blocks, walls):
+                if list_ and list_[-1] == len(stack):
+                    list_.pop()
             apart -= was_apart
             articles -= was_article
             links -= was_link
@@ -177,33 +189,19 @@ def lines(page: str, by_name: bool = True) -> tuple[list[Line], list[Box]]:
         if tag not in INLINE:
             close_line()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if tag in INLINE and any(s[0] not in INLINE for s in stack[k:]):
-                        break  # an inline end tag does not close blocks
-                    pop(k)
-                    break
-                if tag not in ("body", "html") and stack[k][0] in ("article", "main", "body", "td") and tag in ("p", "li", "a", "span"):
-                    break
+            k = last(tag)
+            inner = blocks[-1] if tag in INLINE and blocks else walls[-1] if tag in ("p", "li") and walls else -1
+            if k >= 0 and k >= inner:   # an inline end tag does not close blocks
+                pop(k)
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
-        if tag in CLOSES_PARAGRAPH:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    pop(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        if tag == "li":
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ("ul", "ol", "menu"):
-                    break
-                if stack[k][0] == "li":
-                    pop(k)
-                    break
+        if tag in CLOSES_PARAGRAPH and blocks and stack[blocks[-1]][0] == "p":
+            pop(blocks[-1])
+        if tag == "li" and (k := last("li")) > last("ul", "ol", "menu"):
+            pop(k)
         if tag in VOID or m[3].rstrip().endswith("/"):
             continue
         attributes = _attributes(m[3])
@@ -216,6 +214,11 @@ def lines(page: str, by_name: bool = True) -> tuple[list[Line], list[Box]]:
         if not apart and not is_apart and (is_article or tag not in LINES):
             boxes.append(Box(box, is_article))
             box, level = len(boxes) - 1, 0
+        places.setdefault(tag, []).append(len(stack))
+        if tag not in INLINE:
+            blocks.append(len(stack))
+        if tag in ("article", "main", "body", "td"):
+            walls.append(len(stack))
         stack.append((tag, is_apart, is_article and not is_apart, tag == "a", box, int(tag[1]) if tag in HEADINGS else level))
         apart += is_apart
         articles += is_article and not is_apart

@@ -81,3 +81,14 @@ def test_query(spark, folder):
         [("1", len(LONG) + 1, f"é{LONG}")] * 2 + [("2", 0, ""), ("None", 0, "")])
     assert op2_html_text(spark, folder(pages=pages.where("false"))).count() == 0
     assert H.extract(pages, keep=("page_id", "text")).columns == ["page_id", "text", "n_chars"]
+
+
+def test_stray_and_deep_tags_take_linear_time():
+    """End tags that close nothing, or cannot reach what they would close, cost nothing however deep the page is."""
+    import time
+    n = 40_000
+    for page in ("<div>" * n + "</x>" * n + "text" * 30, "<a>" + "<div>" * n + "</a>" * n + "text" * 30, "<b>" * n + "<hr>" * n + "text" * 30,
+                 "<li><article>" + "<div>" * n + "</li>" * n + "text" * 30, "<ul>" + "<li><b>" * n + "text" * 30):
+        began = time.process_time()
+        assert H.main_text(page) == "text" * 30
+        assert time.process_time() - began < 20
