@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from capaflow.catalog import all_queries  # noqa: E402
-from capaflow.session import build_session  # noqa: E402
+from capaflow.session import build_session, remove_staged  # noqa: E402
 
 HEADLINE = ["weekly_plan", "alc_01", "alc_04", "alc_06", "alc_10", "agg_11", "rpt_01", "rpt_02",
             "prj_03", "alc_17", "lkp_02", "est_04", "str_01"]
@@ -41,6 +41,7 @@ def main() -> None:
     if failed:
         out["failed"] = failed
     print(json.dumps(out))
+    remove_staged(spark)
     spark.stop()
 
 

@@ -16,8 +16,10 @@ from capaflow.operators import ledger as L
 from capaflow.operators import printing as P
 from capaflow.operators.estimates import order_levels
 from capaflow.operators.ranking import positions
+from capaflow.operators.sender import exempt_counters
 from capaflow.plans import weekly as W
 from capaflow.plans.results import plan_results, session_key
+from capaflow.session import concurrently
 from capaflow.sources import expiring as X
 from capaflow.sources import ledger_store as LS
 from capaflow.sources.events import load_event_records
@@ -103,12 +105,9 @@ def flt_03(spark, sf_dir):
 
 @query("flt_04")
 def flt_04(spark, sf_dir):
-    """TTL retention: estimates, order values and exempt counters stored by expiry day, of which expired days are deleted,
-    and the ids that the ingest has seen: what is still live at 'now' (the end of the stream for the ids)."""
-    from capaflow.catalog_stream import landing
-    from capaflow.streaming.ingest import SEEN
-    inp, now = W.load_inputs(spark, sf_dir), datetime.date.fromisoformat(RETENTION_NOW)
-    at = F.unix_timestamp(F.lit(RETENTION_NOW).cast("timestamp"))
+    """TTL retention: estimates, order values and exempt counters are stored by expiry day, expired days are deleted,
+    and so are the ids of the stream's valid records (kept for the dedupe horizon): what is still live at 'now' is read."""
+    inp = W.load_inputs(spark, sf_dir)
 
     def epoch(day):
         return F.unix_timestamp(day.cast("timestamp"))
@@ -119,18 +118,27 @@ def flt_04(spark, sf_dir):
                      C.ESTIMATE_TTL_DAYS),
         "order_value": (order_levels(documents(spark, sf_dir)[1]).select(F.concat_ws("~", "pa_id", "sk").alias("key"), month.alias("day")),
                         C.ORDER_TTL_DAYS),
-        "exempt_counter": (plan_results(spark, sf_dir).sender.exempt.select(
+        "exempt_counter": (exempt_counters(inp.shipments).select(
             F.concat_ws("~", "province", "product_type").alias("key"), F.col("delivery_week").alias("day")), C.COUNTER_TTL_DAYS)}
-    out = None
-    for name, (rows, ttl_days) in tables.items():
+    seen = load_event_records(spark, sf_dir).filter(K.valid_event()).select(
+        F.col("request_id").alias("key"), F.to_date("ts").alias("day"), F.col("ts").cast("timestamp").alias("at"))
+
+    def kept(name, rows, ttl, now):
         path = output_dir(spark, f"expiring_{name}")
-        X.write(X.expiring(rows, epoch(F.col("day")) + ttl_days * 86400), path)
-        X.drop_expired(spark, path, now)
-        left = X.live(X.read_live(spark, path, "key string, day date, ttl long, expires date", since=now), at)
-        part = left.select(F.lit(name).alias("table"), "key", "day", "ttl")
-        out = part if out is None else out.unionByName(part)
-    seen = X.live(X.read_live(spark, f"{landing(spark, sf_dir)[1]}/seen", SEEN), F.unix_timestamp(F.lit(STREAM_NOW).cast("timestamp")))
-    return out.unionByName(seen.select(F.lit("seen_id").alias("table"), F.col("request_id").alias("key"), F.date_sub("expires", 1).alias("day"), "ttl"))
+        X.write(X.expiring(rows, ttl).select("key", "day", "ttl", "expires"), path)
+        X.drop_expired(spark, path, now.date())
+        left = X.live(X.read_live(spark, path, "key string, day date, ttl long, expires date", since=now.date()),
+                      F.unix_timestamp(F.lit(str(now)).cast("timestamp")))
+        return left.select(F.lit(name).alias("table"), "key", "day", "ttl")
+
+    planned, streamed = datetime.datetime.fromisoformat(RETENTION_NOW), datetime.datetime.fromisoformat(STREAM_NOW)
+    parts = concurrently(*[
+        lambda name=name, rows=rows, days=days: kept(name, rows, epoch(F.col("day")) + days * 86400, planned) for name, (rows, days) in tables.items()],
+        lambda: kept("seen_id", seen, F.unix_timestamp("at") + C.DEDUPE_HORIZON_SECONDS, streamed))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 @query("flt_05")

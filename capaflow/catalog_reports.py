@@ -14,6 +14,7 @@ from capaflow.operators.sender import used_sender_limits
 from capaflow.plans import reports as R
 from capaflow.plans import weekly as W
 from capaflow.plans.results import plan_results, session_key
+from capaflow.session import concurrently
 from capaflow.sources import cdc
 from capaflow.sources import sinks
 from testbed import lake
@@ -150,13 +151,17 @@ def _store_lake(spark, sf_dir, base):
     values = order_levels(documents(spark, sf_dir)[1]).select(
         F.col("pa_id").alias("pk"), F.concat_ws("~", "month", "sk").alias("sk"), "value", "file_key",
         F.date_format(month, "yyyy-MM-dd").alias("last_update_order"), F.date_format(month, "yyyy-MM-dd").alias("created_at"))
-    for name, rows, at in (
-            ("shipment_ledger", r.ledger.filter(fresh).drop("unified_delivery_driver", "priority"), written),
-            ("shipment_ledger", r.ledger.filter(~fresh), written),
-            ("used_capacity", used, day), ("used_sender_limit", used_sender_limits(r.sender.split), day),
-            ("sender_limit", limits, day), ("counter", exempt, week), ("counter", prints, week),
-            ("order_value", values, F.to_date("created_at"))):
-        cdc.store(lake.images(rows, name, at), f"{base}/{name}")
+    written_by = {
+        "shipment_ledger": ((r.ledger.filter(fresh).drop("unified_delivery_driver", "priority"), written), (r.ledger.filter(~fresh), written)),
+        "used_capacity": ((used, day),), "used_sender_limit": ((used_sender_limits(r.sender.split), day),),
+        "sender_limit": ((limits, day),), "counter": ((exempt, week), (prints, week)),
+        "order_value": ((values, F.to_date("created_at")),)}
+
+    def store(name, writers):   # the writers of one table one after the other, as both add to it
+        for rows, at in writers:
+            cdc.store(lake.images(rows, name, at), f"{base}/{name}")
+
+    concurrently(*[lambda n=n, w=w: store(n, w) for n, w in written_by.items()])
 
 
 def lake_images(spark, sf_dir, table):

@@ -97,3 +97,12 @@ def concurrently(*jobs):
     with ThreadPoolExecutor(len(jobs)) as pool:
         futures = [pool.submit((inheritable_thread_target(spark) if spark else inheritable_thread_target)(job)) for job in jobs]
         return [f.result() for f in futures]
+
+
+def remove_staged(spark: SparkSession) -> None:
+    """Delete the tables that this session's jobs staged under the checkpoint folder. To be called at the end, once
+    every result that reads them is written."""
+    from capaflow.sources.files import delete
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    for name in ("tables", "llm"):
+        delete(spark, f"{base}/{name}")

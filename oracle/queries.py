@@ -732,7 +732,8 @@ UNION ALL
 SELECT sequence_number, CASE WHEN day_idx + 2 <= last THEN 'dead' ELSE 'retry' END, CAST(least(day_idx + 2, last) AS BIGINT),
        CAST(least(3, last - day_idx + 1) AS BIGINT), error FROM broken""")
 
-q("flt_04", *PLAN, "doc_rows AS (" + DOC_ROWS + ")", EVENTS, INGEST, """kept AS (
+q("flt_04", BASE, "exempt_counters AS (SELECT delivery_week, province, product_type FROM shipments WHERE upper(product_type) = 'RS' OR attempt = 1 GROUP BY ALL)",
+  "doc_rows AS (" + DOC_ROWS + ")", EVENTS, """kept AS (
   SELECT 'estimate' AS "table", pa_id || '~' || product_type || '~' || province AS "key", delivery_date AS day, 365 AS days FROM estimates
   UNION ALL
   SELECT 'exempt_counter', province || '~' || product_type, delivery_week, 14 FROM exempt_counters
@@ -745,8 +746,8 @@ q("flt_04", *PLAN, "doc_rows AS (" + DOC_ROWS + ")", EVENTS, INGEST, """kept AS
 SELECT "table", "key", {d('day')} AS day, epoch_ms(CAST(day AS TIMESTAMP)) // 1000 + days * 86400 AS ttl FROM kept
 WHERE CAST(day AS DATE) + days > DATE '1998-07-06'
 UNION ALL
-SELECT 'seen_id', request_id, {d('ts')}, epoch_ms(date_trunc('second', ts)) // 1000 + 86400 FROM ingested
-WHERE epoch_ms(date_trunc('second', ts)) // 1000 + 86400 > epoch_ms(TIMESTAMP '2024-01-30 12:00:00') // 1000""")
+SELECT 'seen_id', request_id, {d('ts')}, epoch_ms(date_trunc('second', ts)) // 1000 + 86400 FROM event_records
+WHERE attempt IS NOT NULL AND coalesce(length(prepare_request_date) > 0, false) AND coalesce(length(notification_sent_at) > 0, false) AND epoch_ms(date_trunc('second', ts)) // 1000 + 86400 > epoch_ms(TIMESTAMP '2024-01-30 12:00:00') // 1000""")
 
 q("str_07", EVENTS, INGEST, select=f"""
 SELECT {d('delivery_week')} AS delivery_week, province, product_type, count(*) AS number_of_shipments
