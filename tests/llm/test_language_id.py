@@ -1,3 +1,7 @@
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
 
 from capaflow.llm import language_id as L
@@ -63,3 +67,57 @@ def test_many_languages_need_several_words(spark):
     assert filters.table.shape[1] == 2
     rows = L.predict(docs, filters, keep=("lang",)).collect()
     assert all(r.lang_pred == r.lang for r in rows)
+
+
+def slow_grams(text):
+    """Trigrams by hand: lower-cased letters, all between them one space."""
+    t = " " + "".join(c if c.isalpha() else " " for c in (text or "").replace("\0", " ").lower()) + " "
+    t = re.sub(" +", " ", t)
+    return [t[k:k + 3] for k in range(len(t) - 2)] if any(c.isalpha() for c in t) else []
+
+
+def slow_predict(labelled, texts, min_share=1e-4, ratio=0.25):
+    """Exact sets of n-grams instead of filters."""
+    counts = {}
+    for text, lang in labelled:
+        if text is not None and lang is not None:
+            counts.setdefault(lang, Counter()).update(slow_grams(text))
+    total = {x: sum(c.values()) for x, c in counts.items()}
+    often = {x: {g: n / total[x] for g, n in c.items() if n >= total[x] * min_share} for x, c in counts.items()}
+    top = Counter()
+    for shares in often.values():
+        for g, share in shares.items():
+            top[g] = max(top[g], share)
+    known = {x: {g for g, share in shares.items() if share >= ratio * top[g]} for x, shares in often.items()}
+    out = []
+    for text in texts:
+        grams = slow_grams(text)
+        hits = {x: sum(g in known[x] for g in grams) for x in sorted(known)}
+        if not grams:
+            out.append(("und", 0.0))
+        elif not any(hits.values()):
+            out.append((max(sorted(total), key=lambda x: total[x]), 0.0))
+        else:
+            best = max(hits, key=lambda x: hits[x])
+            out.append((best, hits[best] / sum(hits.values())))
+    return out
+
+
+def test_query_against_exact_sets(spark, folder):
+    """Every row of the query, held out or not, against a predictor without filters; texts of two languages among them."""
+    rng = np.random.default_rng(8)
+    rows = [(r.doc_id, r.text, r.lang) for r in corpus(spark).collect()]
+    for k in range(120):
+        a, b = rng.choice(sorted(WORDS), 2)
+        mixed = [*rng.choice(WORDS[a].split(), 9), *rng.choice(WORDS[b].split(), 4)]
+        rows.append((1000 + k, " ".join(rng.permutation(mixed)).title() + "! 12 été", None))
+    rows += [(2000, None, "en"), (2001, "", "de"), (2002, " 12 !", None), (2003, "\u65e5\u672c\u8a9e", None), (2004, "x", "fr")]
+    path = folder(documents=spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    got = {r.doc_id: r for r in op3_language_id(spark, path).collect()}
+    learnt = [(t, x) for i, t, x in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    want = slow_predict(learnt, [t for _, t, _ in rows])
+    assert len(got) == len(rows)
+    for (i, _, _), (lang, score) in zip(rows, want, strict=True):
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+        assert abs(got[i].score - score) < 0.03, i
+        assert got[i].lang_pred == lang or abs(score - 0.5) < 0.03, i

@@ -1,8 +1,10 @@
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 
+from capaflow.llm import common as C
 from capaflow.llm import quality_classifier as Q
 from capaflow.llm.catalog import op6_quality
 from capaflow.llm.common import utf8_buffers
@@ -77,3 +79,60 @@ def test_odd_rows(spark, odd, empty, folder):
     rows = op6_quality(spark, folder(documents=odd, labels=labels.where("false"))).collect()
     assert {r.score for r in rows} == {0.5}
     assert op6_quality(spark, folder(documents=empty, labels=labels)).count() == 0
+
+
+ALL = (1 << 64) - 1
+
+
+def mixed(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & ALL
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & ALL
+    return x ^ x >> 31
+
+
+def slow_features(text):
+    """Buckets of a text's features, one word and one byte at a time."""
+    data = (text or "").encode()
+    kind = [0 if b < 0x21 or b == 0x7F else 2 if 65 <= b <= 90 else 1 if 97 <= b <= 122 or b > 127 else 3 if 48 <= b <= 57 else 4 for b in data]
+    words, shapes = [], []
+    for m in re.finditer(rb"[^\x20\x09-\x0d]+", data):
+        a, e = m.span()
+        h = sum(int(C._BYTE_VALUE[b]) * pow(0x2545F4914F6CDD1D, k, 1 << 64) for k, b in enumerate(m[0].lower())) & ALL
+        h = mixed(h + len(m[0]) * 0x9E3779B97F4A7C15 & ALL)
+        shape = kind[a]
+        for k in (1, 2):
+            shape = shape * 8 + kind[min(a + k, e - 1)]
+        for k in (1, 2):
+            place = max(e - k, a)
+            shape = shape * 256 + (data[place] if kind[place] >= 3 else 0)
+        shapes.append(mixed(shape * 4 + (bool(words) and words[-1] == h) + 1))
+        words.append(h)
+    found = set()
+    for of, seed in ((shapes, 53), (words, 59)):
+        factors = [int(f) for f in C.random_words(3, seed)]
+        for n in (1, 2, 3):
+            for k in range(len(of) - n + 1):
+                found.add((n + sum(of[k + j] * factors[j] for j in range(n))) & ALL)
+    for k in range(len(data) - 3):
+        found.add(int.from_bytes(data[k:k + 4]) + (1 << 40))
+    return sorted({(h * 0x9E3779B97F4A7C15 & ALL) >> 46 for h in found})
+
+
+def test_query_against_a_slow_scorer(spark, folder):
+    """Every row's score, from features made one at a time and the model's weights."""
+    docs = corpus(spark, 240)
+    odd = [(900, None), (901, ""), (902, " \t"), (903, "Éa größe \U0001f600 a a a!?"), (904, "\x7f ~~ A1 zz.")]
+    every = docs.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
+    labels = docs.select("doc_id", "quality")
+    got = {r.doc_id: r for r in op6_quality(spark, folder(documents=every.repartition(3), labels=labels)).collect()}
+    learnt = [(r.doc_id, r.text, r.quality) for r in docs.orderBy("doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    model = Q.fit([np.array(slow_features(t)) for _, t, _ in learnt], np.array([y for *_, y in learnt]))
+    assert len(got) == every.count()
+    for r in every.collect():
+        on = slow_features(r.text)
+        length = sum(model.ratios[b] ** 2 for b in on) ** 0.5
+        margin = (sum(model.weights[b] for b in on) / length if length else 0.0) + model.intercept
+        score = 1 / (1 + np.exp(-(model.slope * margin + model.offset)))
+        assert abs(got[r.doc_id].score - score) < 1e-9 and got[r.doc_id].predicted == (score >= 0.7)
