@@ -29,6 +29,7 @@ import gc
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import groupby
 from operator import itemgetter
 
 import ahocorasick
@@ -249,10 +250,15 @@ class Encoder:
             return _utf8(raw)
 
     def decode(self, ids: list[int]) -> str:
-        """Text of ids: the bytes of all pieces read as UTF-8, the added first space taken off."""
-        first = next((i for i in ids if self.model.types[i] != CONTROL), None)
-        raw = b"".join(map(self.piece_bytes.__getitem__, ids))
-        return self.text_of(raw, first is not None and self.starts_with_space(first))
+        """Text of ids: the bytes of all pieces read as UTF-8, the added first space taken off. Bytes on either side of a
+        control symbol are not read together."""
+        out, first = [], True
+        for control, run in groupby(ids, lambda i: self.model.types[i] == CONTROL):
+            if not control:
+                run = list(run)
+                out.append(self.text_of(b"".join(map(self.piece_bytes.__getitem__, run)), first and self.starts_with_space(run[0])))
+                first = False
+        return "".join(out)
 
 
 def _utf8(raw: bytes) -> str:
