@@ -82,3 +82,12 @@ def test_ledger_is_no_copy(planned, monkeypatch):
     stage = W.stage_table
     monkeypatch.setattr(W, "stage_table", lambda df, *a: pytest.fail("staged") if "created_at" in df.columns else stage(df, *a))
     assert planned.ledger.groupBy("pk", "request_id").count().filter("count > 1").count() == 0
+
+
+def test_latest_row_takes_only_its_columns(spark, planned):
+    assert "prepare_request_date" not in plan_of(catalog_more.alc_17(spark, "own rows")).partition("Scan")[0]
+    latest = {r.request_id: r.workflow_step for r in catalog_more.alc_17(spark, "own rows").collect()}
+    want = {}
+    for r in planned.ledger.collect():
+        want[r.request_id] = max(want.get(r.request_id, ("",)), (r.created_at, r.workflow_step))
+    assert latest == {k: v[1] for k, v in want.items()}
