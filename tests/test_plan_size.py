@@ -91,3 +91,10 @@ def test_latest_row_takes_only_its_columns(spark, planned):
     for r in planned.ledger.collect():
         want[r.request_id] = max(want.get(r.request_id, ("",)), (r.created_at, r.workflow_step))
     assert latest == {k: v[1] for k, v in want.items()}
+
+
+def test_lake_stores_the_tables_that_are_read(spark, planned):
+    [images] = catalog_reports.lake_images(spark, "own rows", "shipment_ledger")
+    assert images.count() == planned.ledger.count()
+    entry = catalog_reports._LAKE.pop(results.session_key(spark, "own rows"))
+    assert list(files.folders(spark, entry[0])) == ["shipment_ledger"]
