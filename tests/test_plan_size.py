@@ -93,6 +93,22 @@ def test_latest_row_takes_only_its_columns(spark, planned):
     assert latest == {k: v[1] for k, v in want.items()}
 
 
+def test_cancellation_leaves_the_ledger_where_it_is(spark, tmp_path, monkeypatch):
+    ledger = spark.createDataFrame([(f"2024-01-15~{C.STEP_SENDER}", f"R{n}", f"IUN-{n}", C.STEP_SENDER, at("2024-01-01")) for n in range(9)],
+                                   "pk string, request_id string, iun string, workflow_step string, created_at string")
+    timeline = spark.createDataFrame([(f"IUN-{n}", f"PREPARE_R{n}", "PREPARE_ANALOG_DOMICILE") for n in range(9)], "iun string, element_id string, category string")
+    batch = bed.cdc_records(spark.createDataFrame([(3, "P", dt.date(2020, 1, 1))], "o_orderkey long, o_orderstatus string, o_orderdate date"))
+    seen, latest = [], S.L.latest_per_request
+    monkeypatch.setattr(S.L, "latest_per_request", lambda df: seen.append(plan_of(df)) or latest(df))
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        S.cancel_batch(batch, 0, str(tmp_path), timeline, ledger, F.lit("2024-01-08").cast("date"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in seen[0] and "Exchange hashpartitioning" not in seen[0]
+    assert [r.request_id for r in S.requests_found(spark, str(tmp_path)).collect()] == ["R3"]
+
+
 def test_lake_stores_the_tables_that_are_read(spark, planned):
     [images] = catalog_reports.lake_images(spark, "own rows", "shipment_ledger")
     assert images.count() == planned.ledger.count()
