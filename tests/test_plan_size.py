@@ -109,6 +109,21 @@ def test_cancellation_leaves_the_ledger_where_it_is(spark, tmp_path, monkeypatch
     assert [r.request_id for r in S.requests_found(spark, str(tmp_path)).collect()] == ["R3"]
 
 
+def test_delete_meets_the_ledger_once(spark, tmp_path, monkeypatch):
+    rows = [(WEEK, s, f"{WEEK}~{s}", f"R{n}", "RS", 0, "PA", "P", "001", "D", at(WEEK)) for n in range(6) for s in (C.STEP_SENDER, C.STEP_PRINT)]
+    ledger = spark.createDataFrame(rows, "delivery_week date, workflow_step string, pk string, request_id string, product_type string, attempt int, "
+                                         "sender_pa_id string, province string, cap string, unified_delivery_driver string, created_at string")
+    used = spark.createDataFrame([("D", "001", WEEK, 6)], "unified_delivery_driver string, geo_key string, delivery_week date, used_capacity int")
+    limit = spark.createDataFrame([], "pk string, delivery_date date, number_of_shipment int")
+    store = PlannerStore(spark, str(tmp_path)).create(ledger, used, limit)
+    changes = []
+    monkeypatch.setattr(PlannerStore, "change", lambda self, contents, stop_after=None: changes.append(contents))
+    ids = spark.createDataFrame([("R1",), ("R1",), (None,)], "request_id string")
+    store.delete_requests(ids)
+    assert changes[0]["ledger"][1].count() == 10
+    assert not any("request_id" in line for df in changes[0]["ledger"] for line in plan_of(df).splitlines() if "Join" in line)
+
+
 def test_lake_stores_the_tables_that_are_read(spark, planned):
     [images] = catalog_reports.lake_images(spark, "own rows", "shipment_ledger")
     assert images.count() == planned.ledger.count()
