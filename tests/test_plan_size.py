@@ -124,6 +124,13 @@ def test_delete_meets_the_ledger_once(spark, tmp_path, monkeypatch):
     assert not any("request_id" in line for df in changes[0]["ledger"] for line in plan_of(df).splitlines() if "Join" in line)
 
 
+def test_first_put_is_written_at_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(LS, "stage_table", lambda *a: pytest.fail("staged"))
+    rows = [("a", WEEK, "S", 1), ("a", WEEK, "S", None), ("a", WEEK, "S", 2), (None, WEEK, "S", 4), (None, WEEK, "S", 3)]
+    LS.upsert(spark, f"{tmp_path}/l", spark.createDataFrame(rows, "id string, delivery_week date, workflow_step string, v int"), ["id"])
+    assert {(r.id, r.v) for r in spark.read.parquet(f"{tmp_path}/l").collect()} == {("a", 2), (None, 4)}
+
+
 def test_lake_stores_the_tables_that_are_read(spark, planned):
     [images] = catalog_reports.lake_images(spark, "own rows", "shipment_ledger")
     assert images.count() == planned.ledger.count()
