@@ -10,6 +10,7 @@ from capaflow.operators import ranking
 from capaflow.plans import results
 from capaflow.plans import weekly as W
 from capaflow.sources import files
+from capaflow.sources import testdata as T
 from capaflow.sources import ledger_store as LS
 from capaflow.sources.planner_store import PlannerStore
 from capaflow.streaming import cancel as S
@@ -136,3 +137,31 @@ def test_lake_stores_the_tables_that_are_read(spark, planned):
     assert images.count() == planned.ledger.count()
     entry = catalog_reports._LAKE.pop(results.session_key(spark, "own rows"))
     assert list(files.folders(spark, entry[0])) == ["shipment_ledger"]
+
+
+def test_orders_meet_customers_before_line_items(spark, tmp_path):
+    def rows(name, *cols, n=5000):
+        spark.range(n).selectExpr(*cols).write.parquet(f"{tmp_path}/{name}.parquet")
+    day = "timestamp'1995-03-01' as {}".format
+    rows("region", "cast(id as int) r_regionkey", "'R' r_name", n=1)
+    rows("nation", "cast(id as int) n_nationkey", "concat('N', id) n_name", "0 n_regionkey", n=3)
+    rows("customer", "xxhash64(id) c_custkey", "cast(id % 4 as int) c_nationkey")
+    rows("orders", "xxhash64(-id) o_orderkey", "if(id = 7, null, xxhash64(id div 2)) o_custkey", day("o_orderdate"))
+    rows("lineitem", "xxhash64(-(id div 3)) l_orderkey", "1 l_linenumber", "xxhash64(id) l_partkey", "id l_suppkey",
+         "1.5D l_extendedprice", "'A' l_returnflag", day("l_shipdate"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4096")
+        shp = T.shipments(spark, str(tmp_path))
+        plan = plan_of(shp)
+        got = {r.province: r["count"] for r in shp.groupBy("province").count().collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plan.count("Exchange hashpartitioning") == 4
+    assert plan.index("SortMergeJoin [l_orderkey") < plan.index("SortMergeJoin [o_custkey")
+    want = {}
+    for i in range(5000):
+        nation = i // 3 // 2 % 4
+        if nation < 3 and i // 3 != 7:
+            want[f"N{nation}"] = want.get(f"N{nation}", 0) + 1
+    assert got == want
