@@ -165,3 +165,15 @@ def test_orders_meet_customers_before_line_items(spark, tmp_path):
         if nation < 3 and i // 3 != 7:
             want[f"N{nation}"] = want.get(f"N{nation}", 0) + 1
     assert got == want
+
+
+def test_pages_send_a_request_id_once(spark, planned):
+    pages = catalog_more.lkp_02(spark, "own rows")
+    assert "length(request_id" in plan_of(pages) and "hashpartitioning(pk" not in plan_of(pages)
+    try:
+        spark.conf.set("capaflow.rank.strategy", "range")
+        ranged = sorted(map(tuple, catalog_more.lkp_02(spark, "own rows").collect()))
+    finally:
+        spark.conf.unset("capaflow.rank.strategy")
+    want = sorted((r.pk, r.sk, r.request_id, 1) for r in catalog_more.prj_02(spark, "own rows").collect())
+    assert sorted(map(tuple, pages.collect())) == ranged == want
