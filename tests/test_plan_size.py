@@ -177,3 +177,14 @@ def test_pages_send_a_request_id_once(spark, planned):
         spark.conf.unset("capaflow.rank.strategy")
     want = sorted((r.pk, r.sk, r.request_id, 1) for r in catalog_more.prj_02(spark, "own rows").collect())
     assert sorted(map(tuple, pages.collect())) == ranged == want
+
+
+def test_sorted_ledger_derives_its_keys_behind_the_exchange(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(WEEK, s, r) for s in ("A", "B") for r in ("x", None, "y", "y")], "delivery_week date, workflow_step string, request_id string")
+    sent, deal = [], type(df).repartitionByRange
+    monkeypatch.setattr(type(df), "repartitionByRange", lambda self, *by: sent.append(self.columns) or deal(self, *by))
+    derived = {"pk": F.concat_ws("~", "delivery_week", "workflow_step"), "sk": F.concat_ws("~", F.lit("D"), "request_id")}
+    LS.write_sorted(df.withColumns({"pk": derived["pk"]}), f"{tmp_path}/l", derived)
+    assert sent == [["delivery_week", "workflow_step", "request_id"]]
+    got = sorted(tuple(r) for r in LS.range_scan(spark, f"{tmp_path}/l", "B", prefix="D~").select("pk", "sk", "request_id").collect())
+    assert got == [(f"{WEEK}~B", "D~x", "x"), (f"{WEEK}~B", "D~y", "y"), (f"{WEEK}~B", "D~y", "y")]
