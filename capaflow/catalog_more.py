@@ -215,8 +215,7 @@ def agg_06(spark, sf_dir):
 def join_03(spark, sf_dir):
     """Declared capacity per province with strict validity bounds (from < t < to)."""
     inp = W.load_inputs(spark, sf_dir)
-    pw = inp.shipments.select("tender_id", "province", "delivery_week").distinct()
-    return CAP.drivers_on_province(pw, inp.capacity, inclusive=False).drop("activation_from")
+    return CAP.drivers_on_province(inp.province_weeks, inp.capacity, inclusive=False).drop("activation_from")
 
 
 @query("join_06")

@@ -188,3 +188,28 @@ def test_sorted_ledger_derives_its_keys_behind_the_exchange(spark, tmp_path, mon
     assert sent == [["delivery_week", "workflow_step", "request_id"]]
     got = sorted(tuple(r) for r in LS.range_scan(spark, f"{tmp_path}/l", "B", prefix="D~").select("pk", "sk", "request_id").collect())
     assert got == [(f"{WEEK}~B", "D~x", "x"), (f"{WEEK}~B", "D~y", "y"), (f"{WEEK}~B", "D~y", "y")]
+
+
+def test_components_write_no_shipments(spark, tmp_path, monkeypatch):
+    def rows(name, *cols, n=300):
+        spark.range(n).selectExpr(*cols).write.parquet(f"{tmp_path}/{name}.parquet")
+    rows("region", "cast(id as int) r_regionkey", "'R' r_name", n=1)
+    rows("nation", "cast(id as int) n_nationkey", "concat('N', id) n_name", "0 n_regionkey", n=3)
+    rows("customer", "id c_custkey", "cast(id % 4 as int) c_nationkey")
+    rows("orders", "id o_orderkey", "if(id = 7, null, id div 2) o_custkey", "timestamp'1995-03-01' o_orderdate")
+    rows("lineitem", "id div 3 l_orderkey", "cast(id % 8 as int) l_linenumber", "id l_partkey", "id l_suppkey", "1.5D l_extendedprice",
+         "substr('ANR', cast(id % 3 as int) + 1, 1) l_returnflag", "if(id % 50 = 0, null, timestamp'1995-03-01' + make_interval(0, 0, 0, cast(id as int))) l_shipdate")
+    stage = W.stage_table
+    monkeypatch.setattr(W, "stage_table", lambda df, *a: pytest.fail("staged") if "request_id" in df.columns else stage(df, *a))
+    inp = W.load_inputs(spark, str(tmp_path))
+    lean = [sorted(map(str, df.collect())) for df in (W.sender_step(inp).components, inp.capacity, inp.estimates, inp.print_config)]
+    assert all(lean)
+    monkeypatch.setattr(W, "stage_table", stage)
+    shp = inp.shipments
+    plain = W.Inputs(shp, inp.coverage, inp.capacity, inp.estimates, inp.print_config)
+    assert lean[0] == sorted(map(str, W.sender_step(plain).components.collect()))
+    per_sender = {tuple(r)[:4]: r.n for r in shp.groupBy("sender_pa_id", "product_type", "province", "delivery_week").agg(F.count("*").alias("n")).collect()
+                  if r.product_type != "RS"}
+    assert sorted(per_sender.values()) == sorted(r.original_estimate for r in inp.estimates.collect())
+    weeks = [r["count"] for r in shp.groupBy("delivery_week").count().collect()]
+    assert {r.daily_capacity for r in inp.print_config.collect()} == {sum(weeks) // len(weeks) // 12, sum(weeks) // len(weeks) // 9}
