@@ -23,7 +23,8 @@ STEP_SEQ = {C.STEP_SENDER: 0, C.STEP_DRIVER: 1, C.STEP_RESIDUAL: 1, C.STEP_PRINT
 
 
 def _stamp(week: Column, hours: int) -> Column:
-    return F.date_format(week.cast("timestamp") + F.expr(f"INTERVAL {hours} HOURS"), C.TS_FORMAT)
+    # the day as pk and output write it, so that it is formatted once a row
+    return F.concat(F.date_format(week, "yyyy-MM-dd"), F.lit(f"T{hours:02d}:00:00.000Z"))
 
 
 def _rows(df: DataFrame, step: str, week: Column, hours: int) -> DataFrame:

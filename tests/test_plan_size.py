@@ -213,3 +213,13 @@ def test_components_write_no_shipments(spark, tmp_path, monkeypatch):
     assert sorted(per_sender.values()) == sorted(r.original_estimate for r in inp.estimates.collect())
     weeks = [r["count"] for r in shp.groupBy("delivery_week").count().collect()]
     assert {r.daily_capacity for r in inp.print_config.collect()} == {sum(weeks) // len(weeks) // 12, sum(weeks) // len(weeks) // 9}
+
+
+def test_a_ledger_row_formats_its_day_once(spark, planned):
+    whole = plan_of(catalog_more.prj_03(spark, "own rows"))
+    assert "INTERVAL" not in whole and "HH:mm" not in whole
+    hours = {C.STEP_SENDER: 0, C.STEP_DRIVER: 1, C.STEP_RESIDUAL: 1, C.STEP_PRINT: 2, C.STEP_PHASE_2: 3}
+    own = [r for r in planned.ledger.collect() if not r.created_at.endswith("T04:00:00.000Z")]
+    assert own and all(r.created_at == f"{r.delivery_week}T0{hours[r.workflow_step]}:00:00.000Z" for r in own)
+    pushed = [r for r in planned.ledger.collect() if r.created_at.endswith("T04:00:00.000Z")]
+    assert pushed and all(r.created_at[:10] == str(r.delivery_week - dt.timedelta(days=7)) for r in pushed)
