@@ -62,10 +62,14 @@ def request_flags(ledger: DataFrame) -> DataFrame:
 
 def sender_counts(ledger: DataFrame) -> DataFrame:
     """AGG-13: distinct requests, distinct RS, distinct second attempts of the week's input per key."""
-    flags = request_flags(_step(ledger, C.STEP_SENDER)).filter("is_input")
+    second = F.coalesce(F.col("attempt") == 1, F.lit(False))
+    # the week's own rows only: whether a request is queued again is not asked here
+    inputs = (_step(ledger, C.STEP_SENDER)
+              .select("delivery_week", F.col("sender_pa_id").alias("pa_id"), "province", "product_type", "request_id", second.alias("second"))
+              .groupBy(*KEY, "request_id").agg(F.bool_or("second").alias("in_second")))
     rs = F.col("product_type") == "RS"
-    return flags.groupBy(*KEY).agg(F.count(F.lit(1)).alias("shipments"), F.count_if(rs).alias("rs"),
-                                   F.count_if("in_second").alias("second_attempts"))
+    return inputs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("shipments"), F.count_if(rs).alias("rs"),
+                                    F.count_if("in_second").alias("second_attempts"))
 
 
 def not_passed(ledger: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from capaflow import catalog_more, catalog_reports, config as C
 from capaflow.operators import allocate as A
 from capaflow.operators import ranking
+from capaflow.plans import reports as R
 from capaflow.plans import results
 from capaflow.plans import weekly as W
 from capaflow.sources import files
@@ -223,3 +224,20 @@ def test_a_ledger_row_formats_its_day_once(spark, planned):
     assert own and all(r.created_at == f"{r.delivery_week}T0{hours[r.workflow_step]}:00:00.000Z" for r in own)
     pushed = [r for r in planned.ledger.collect() if r.created_at.endswith("T04:00:00.000Z")]
     assert pushed and all(r.created_at[:10] == str(r.delivery_week - dt.timedelta(days=7)) for r in pushed)
+
+
+LEDGER = "delivery_week date, workflow_step string, sender_pa_id string, province string, product_type string, attempt int, request_id string, unified_delivery_driver string, cap string"
+
+
+def queue(*rows):
+    """Sender rows: (weeks after WEEK, request, attempt, product, driver, cap, province)."""
+    return [(None if w is None else WEEK + dt.timedelta(days=7 * w), C.STEP_SENDER, "PA", prov, prod, a, r, d, cap) for w, r, a, prod, d, cap, prov in rows]
+
+
+def test_sender_counts_take_the_input_once(spark):
+    ledger = spark.createDataFrame(queue((0, "a", 1, "RS", None, "1", "P"), (0, "a", 0, "RS", None, "1", "P"), (0, None, None, "AR", None, "1", "P"),
+                                         (0, None, 1, "AR", None, "1", "P"), (1, "b", 0, None, None, "1", "P"), (None, "c", 1, "AR", None, "1", "P")), LEDGER)
+    counts = R.sender_counts(ledger)
+    assert "Generate" not in plan_of(counts)
+    got = {(r.delivery_week, r.product_type): (r.shipments, r.rs, r.second_attempts) for r in counts.collect()}
+    assert got == {(WEEK, "RS"): (1, 1, 1), (WEEK, "AR"): (1, 0, 1), (WEEK + dt.timedelta(days=7), None): (1, 0, 0), (None, "AR"): (1, 0, 1)}
