@@ -158,7 +158,8 @@ def cutoff(ledger: DataFrame) -> DataFrame:
 
 def geo_provinces(cut: DataFrame) -> DataFrame:
     """SET-02: distinct (week, geo key, province) of the week's shipments."""
-    return cut.select("delivery_week", _geo_keys(), "province").distinct()
+    places = cut.select("delivery_week", "cap", "province").distinct()
+    return places.select("delivery_week", _geo_keys(), "province").distinct()
 
 
 def capacities_with_province(caps: DataFrame, cut: DataFrame) -> DataFrame:
@@ -169,21 +170,17 @@ def capacities_with_province(caps: DataFrame, cut: DataFrame) -> DataFrame:
 def overflow_rows(ledger: DataFrame, caps: DataFrame) -> DataFrame:
     """JOIN-13: requests of a week that are queued again next week, under each saturated geo key (used = declared)."""
     sender = _step(ledger, C.STEP_SENDER)
-    here = F.bool_or(F.col("shift") == 0)
-    # one shuffle on (week, request): was it input of the week, and who was to deliver it next week
-    both = sender.select("request_id", "unified_delivery_driver", "cap", "province",
-                         F.explode(F.array(F.struct(F.col("delivery_week").alias("w"), F.lit(0).alias("shift")),
-                                           F.struct(F.date_sub("delivery_week", 7).alias("w"), F.lit(1).alias("shift")))).alias("x"))
-    again = (both.select(F.col("x.w").alias("delivery_week"), "request_id", F.col("x.shift").alias("shift"),
-                         F.when(F.col("x.shift") == 1, F.struct("unified_delivery_driver", "cap", "province")).alias("next"))
-             .groupBy("delivery_week", "request_id").agg(here.alias("here"), F.collect_set("next").alias("next"))
-             .filter("here").select("delivery_week", "request_id", F.explode("next").alias("n"))
-             .select("delivery_week", "request_id", "n.*"))
     full = (caps.filter(F.col("used_capacity") == F.col("declared_capacity"))
             .select("delivery_week", "unified_delivery_driver", "geo_key"))
+    saturated = ["delivery_week", "unified_delivery_driver", "geo_key"]
+    # who was to deliver it next week, where that is under a saturated geo key at all
+    queued = (sender.filter(F.col("unified_delivery_driver").isNotNull())
+              .select(F.date_sub("delivery_week", 7).alias("delivery_week"), "request_id", "unified_delivery_driver", "cap", "province")
+              .select("*", _geo_keys()).join(full, saturated, "left_semi").drop("geo_key").distinct())
+    here = sender.select(F.col("delivery_week").alias("_week"), F.col("request_id").alias("_request"))
+    again = queued.join(here, (F.col("delivery_week") == F.col("_week")) & F.col("request_id").eqNullSafe(F.col("_request")), "left_semi")
     keyed = again.select("delivery_week", "unified_delivery_driver", "request_id", _geo_keys())
-    return keyed.join(full, ["delivery_week", "unified_delivery_driver", "geo_key"]).select(
-        "delivery_week", "unified_delivery_driver", "geo_key", "request_id")
+    return keyed.join(full, saturated).select(*saturated, "request_id")
 
 
 def overflow_counts(rows: DataFrame) -> DataFrame:

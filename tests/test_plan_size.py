@@ -241,3 +241,17 @@ def test_sender_counts_take_the_input_once(spark):
     assert "Generate" not in plan_of(counts)
     got = {(r.delivery_week, r.product_type): (r.shipments, r.rs, r.second_attempts) for r in counts.collect()}
     assert got == {(WEEK, "RS"): (1, 1, 1), (WEEK, "AR"): (1, 0, 1), (WEEK + dt.timedelta(days=7), None): (1, 0, 0), (None, "AR"): (1, 0, 1)}
+
+
+def test_only_saturated_keys_are_sent_for_overflow(spark):
+    rows = [(0, r, 0, "AR", None, "1", "P") for r in ("a", "a", "b", "c", None)]
+    rows += [(1, "a", 0, "AR", "D", "1", "P"), (1, "a", 0, "AR", "D", "1", "P"), (1, "a", 0, "AR", "D", "2", "P"), (1, "b", 0, "AR", "E", "1", "P"),
+             (1, "c", 0, "AR", "D", "3", "Q"), (1, None, 0, "AR", "D", "P", "P"), (1, "new", 0, "AR", "D", "1", "P"), (None, "a", 0, "AR", "D", "1", "P")]
+    ledger = spark.createDataFrame(queue(*rows), LEDGER)
+    caps = spark.createDataFrame([(WEEK, "D", "P", 5, 5), (WEEK, "D", "1", 2, 2), (WEEK, "D", "3", 1, 2), (WEEK, "E", "1", 0, 1), (None, "D", "1", 1, 1)],
+                                 "delivery_week date, unified_delivery_driver string, geo_key string, used_capacity int, declared_capacity int")
+    over = R.overflow_rows(ledger, caps)
+    assert "collect_set" not in plan_of(over)
+    got = sorted((str(r.request_id), r.geo_key) for r in over.collect())
+    assert got == [("None", "P"), ("a", "1"), ("a", "P"), ("a", "P")]
+    assert {(r.unified_delivery_driver, r.geo_key, r.overflow) for r in R.overflow_counts(over).collect()} == {("D", "P", 1), ("D", "1", 1)}
