@@ -255,3 +255,51 @@ def test_only_saturated_keys_are_sent_for_overflow(spark):
     got = sorted((str(r.request_id), r.geo_key) for r in over.collect())
     assert got == [("None", "P"), ("a", "1"), ("a", "P"), ("a", "P")]
     assert {(r.unified_delivery_driver, r.geo_key, r.overflow) for r in R.overflow_counts(over).collect()} == {("D", "P", 1), ("D", "1", 1)}
+
+
+def test_a_pass_over_the_split_serves_all_steps(spark, planned, monkeypatch):
+    planned.sender.split
+    scans = []
+    monkeypatch.setattr(A, "declared_and_used", lambda needs, *a, f=A.declared_and_used, **k: scans.append(plan_of(needs)) or f(needs, *a, **k))
+    monkeypatch.setattr(ranking, "largest_group", lambda *a: pytest.fail("measured on the shipments"))
+    spark.conf.set("capaflow.rank.maxGroupRows", "30")   # above each province's week, below the 40 rows of all
+    try:
+        planned.caps.residual.count()
+    finally:
+        spark.conf.unset("capaflow.rank.maxGroupRows")
+    assert len(scans) == 4 and not any("request_id" in p or "next_step" in p and "priority" in p for p in scans)
+    keys = planned.caps.keys(C.STEP_RESIDUAL)
+    assert keys.agg(F.sum("n")).first()[0] == planned.sender.split.filter(F.col("next_step") == C.STEP_RESIDUAL).count()
+
+
+def test_sender_ranks_are_not_measured_on_the_shipments(spark, planned, monkeypatch):
+    monkeypatch.setattr(ranking, "largest_group", lambda *a: pytest.fail("measured on the shipments"))
+    spark.conf.set("capaflow.rank.maxGroupRows", "30")
+    try:
+        assert planned.sender.split.count() == 40
+    finally:
+        spark.conf.unset("capaflow.rank.maxGroupRows")
+    assert (planned.sender.bound, planned.sender.group_bound) == (40, 20)
+
+
+def test_a_sort_is_dealt_by_rows(spark):
+    df = spark.range(40).selectExpr("id % 20 k", "id v")
+    spark.conf.set("capaflow.rank.taskRows", "2")
+    try:
+        assert ranking.dealt(df, ["k"], 40).rdd.getNumPartitions() == max(20, spark.sparkContext.defaultParallelism)
+    finally:
+        spark.conf.unset("capaflow.rank.taskRows")
+
+
+def test_used_capacity_reads_the_rows_once(planned, monkeypatch):
+    rows, seen = planned.caps.driver, []
+    monkeypatch.setattr(A, "stage_table", lambda df, *a, f=A.stage_table: seen.append(plan_of(df)) or f(df, *a))
+    used = A.used_capacity(rows)
+    assert len(seen) == 1 and seen[0].count("Scan parquet") == 1 and "prov_pos" not in plan_of(used)
+    want = {}
+    for r in rows.collect():
+        for geo, counts in ((r.province, (r.prov_residual or 0) > 0), (r.cap, r.accepted)):
+            if counts:
+                key = (r.unified_delivery_driver, geo, r.delivery_week)
+                want[key] = want.get(key, 0) + r.accepted
+    assert {(r.unified_delivery_driver, r.geo_key, r.delivery_week): r.used_capacity for r in used.collect()} == want
