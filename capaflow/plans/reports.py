@@ -25,6 +25,26 @@ def _step(ledger: DataFrame, step: str) -> DataFrame:
     return ledger.filter(F.col("workflow_step") == step)
 
 
+def candidates(ledger: DataFrame) -> DataFrame:
+    """Sender rows as input of their week and as queued ``again`` after the week before, where a week has rows of both kinds: weeks are few."""
+    week, sender = F.col("delivery_week"), _step(ledger, C.STEP_SENDER)
+    weeks = sender.select("delivery_week").distinct()
+    rows = sender.select("delivery_week", F.col("sender_pa_id").alias("pa_id"), "province", "product_type", "request_id",
+                         F.coalesce(F.col("attempt") == 1, F.lit(False)).alias("second"))
+    before = weeks.select(F.date_sub(week, 7).alias("_week"))
+    both = weeks.join(F.broadcast(before), week.eqNullSafe(F.col("_week")), "left_semi").select(week.alias("_both"))
+    asked = week.eqNullSafe(F.col("_both"))   # rows without a week are in the one week that they name
+    inputs = rows.join(F.broadcast(both), asked, "left_semi")
+    again = rows.withColumn("delivery_week", F.date_sub(week, 7)).join(F.broadcast(both), asked, "left_semi")
+    return inputs.withColumn("again", F.lit(False)).unionByName(again.withColumn("again", F.lit(True)))
+
+
+def queued_again(ledger: DataFrame) -> DataFrame:
+    """Keys of a week with a request of its input that is queued again a week later, at the same attempt (``is_back`` of ``request_flags``)."""
+    met = candidates(ledger).groupBy(*KEY, "request_id", "second").agg(F.bool_and("again").alias("_only"), F.bool_or("again").alias("_some"))
+    return met.filter(F.col("_some") & ~F.col("_only")).select(*KEY).distinct()
+
+
 def _week_marks(ledger: DataFrame) -> DataFrame:
     """Ledger rows as marks on (week, request).
 
@@ -112,9 +132,17 @@ _HELD = "declared or limited or is_input or passed or phase_2"
 
 def key_coverage(ledger: DataFrame, estimates: DataFrame, used_limits: DataFrame) -> DataFrame:
     """JOIN-11: which of the six inputs hold each key."""
-    rows = _report_rows(ledger, estimates, used_limits).filter(_HELD)
     names = {"in_estimates": "declared", "in_limits": "limited", "in_total": "is_input", "in_passed": "passed",
              "in_not_passed": "is_back", "in_phase_2": "phase_2"}
+    # whether a key holds rows is told by the keys; request by request, only who is queued again meets the input
+    step = F.col("workflow_step")
+    held = (ledger.filter(step.isin(C.STEP_SENDER, C.STEP_PRINT, C.STEP_PHASE_2))
+            .groupBy("delivery_week", F.col("sender_pa_id").alias("pa_id"), "province", "product_type")
+            .agg(F.bool_or(step == C.STEP_SENDER).alias("is_input"), F.bool_or(step == C.STEP_PRINT).alias("passed"),
+                 F.bool_or(step == C.STEP_PHASE_2).alias("phase_2")))
+    rows = held
+    for more, name in ((estimate_view(estimates), "declared"), (limit_view(used_limits), "limited"), (queued_again(ledger), "is_back")):
+        rows = rows.unionByName(more.select(*KEY, F.lit(True).alias(name)), allowMissingColumns=True)
     return rows.groupBy(*KEY).agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in names.items()])
 
 

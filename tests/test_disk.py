@@ -57,3 +57,20 @@ def test_the_copy_of_the_print_rank_goes(spark, planned, conf):
     out = W.print_step(drv, res, planned.inputs.print_config, 40)
     assert staged(spark, "rank-") == before
     assert sorted(map(str, out.collect())) == sorted(map(str, planned.released.collect()))
+
+
+def test_coverage_sends_only_who_may_be_queued_again(spark):
+    rows = [(0, r, 0, "AR", None, "1", "P") for r in ("a", "a", "b", None)] + [(0, "s", 1, "AR", None, "1", "Q"), (0, "s", 0, "AR", None, "1", "S")]
+    rows += [(1, "a", 0, "AR", "D", "1", "P"), (1, "s", 0, "AR", "D", "1", "Q"), (1, None, 0, "AR", "D", "1", "P"), (1, "s", None, "AR", "D", "1", "S"),
+             (None, "n", 0, "AR", None, "1", "P"), (None, None, None, None, None, None, None), (9, "z", 0, "AR", None, "1", "P"), (3, "y", 0, "RS", None, "1", "P")]
+    rows = queue(*rows) + [(WEEK, step, "PA", p, "AR", 0, "a", "D", "1") for step, p in ((C.STEP_PRINT, "P"), (C.STEP_PHASE_2, "T"), (C.STEP_DRIVER, "U"))]
+    ledger = spark.createDataFrame(rows, LEDGER)
+    est = spark.createDataFrame([("PA", "AR", "P", WEEK, 5, 20.0, 6), ("PB", "AR", None, None, 5, 20.0, 6)],
+                                "pa_id string, product_type string, province string, delivery_date date, weekly_estimate int, monthly_estimate double, original_estimate int")
+    lim = spark.createDataFrame([(WEEK, "PA", "AR", "Q", 3)], "delivery_date date, pa_id string, product_type string, province string, sender_limit int")
+    names = {"in_estimates": "declared", "in_limits": "limited", "in_total": "is_input", "in_passed": "passed", "in_not_passed": "is_back", "in_phase_2": "phase_2"}
+    want = R._report_rows(ledger, est, lim).filter(R._HELD).groupBy(*R.KEY).agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in names.items()])
+    got = R.key_coverage(ledger, est, lim)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert {(r.delivery_week, r.province) for r in got.collect() if r.in_not_passed} == {(WEEK, "P"), (WEEK, "S"), (None, "P"), (None, None)}
+    assert "z" not in {r.request_id for r in R.candidates(ledger).collect()}
