@@ -74,3 +74,20 @@ def test_coverage_sends_only_who_may_be_queued_again(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert {(r.delivery_week, r.province) for r in got.collect() if r.in_not_passed} == {(WEEK, "P"), (WEEK, "S"), (None, "P"), (None, None)}
     assert "z" not in {r.request_id for r in R.candidates(ledger).collect()}
+
+
+def test_second_put_is_made_step_by_step(spark, planned, monkeypatch):
+    puts = []
+    monkeypatch.setattr(LS, "upsert", lambda s, p, rows, key, f=LS.upsert: puts.append({r[0] for r in rows.select("workflow_step").distinct().collect()}) or f(s, p, rows, key))
+    before = staged(spark, "upsert") | staged(spark, "second")
+    got = {(r.pk, r.request_id): (r.unified_delivery_driver, r.priority) for r in catalog_sources.src_10(spark, "own rows").collect()}
+    assert puts == [{C.STEP_SENDER}, {C.STEP_SENDER}, {C.STEP_PRINT}]
+    assert staged(spark, "upsert") | staged(spark, "second") == before
+    want = {}
+    drivers = {r.request_id: (r.unified_delivery_driver, r.priority) for r in planned.sender.enriched.collect()}
+    for r in planned.ledger.collect():
+        if r.workflow_step == C.STEP_SENDER and r.created_at.endswith("T00:00:00.000Z"):
+            want[r.pk, r.request_id] = drivers[r.request_id] if r.product_type == "RS" or r.attempt == 1 else (None, None)
+        elif r.workflow_step == C.STEP_PRINT:
+            want[r.pk, r.request_id] = (r.unified_delivery_driver, r.priority)
+    assert got == want
