@@ -91,3 +91,53 @@ def test_second_put_is_made_step_by_step(spark, planned, monkeypatch):
         elif r.workflow_step == C.STEP_PRINT:
             want[r.pk, r.request_id] = (r.unified_delivery_driver, r.priority)
     assert got == want
+
+
+def test_sorted_ledger_and_ranges_take_a_step_at_a_time(spark, planned, monkeypatch, conf):
+    steps = []
+
+    def seen(df):
+        steps.append({r[0] for r in df.select("workflow_step").distinct().collect()})
+        return df
+    monkeypatch.setattr(LS, "write_sorted", lambda df, *a, f=LS.write_sorted: f(seen(df), *a))
+    path = catalog_more.sorted_ledger(spark, "own rows")
+    del catalog_more._SORTED[results.session_key(spark, "own rows")]
+    assert spark.read.parquet(path).count() == planned.ledger.count()
+    conf("capaflow.rank.strategy", "range")
+    monkeypatch.setattr(ranking, "stage_table", lambda df, *a, f=ranking.stage_table: f(seen(df) if "_row" in df.columns else df, *a))
+    catalog_more.lkp_02(spark, "own rows")
+    assert len(steps) == 12 and all(len(s) <= 1 for s in steps)
+
+
+def test_rows_of_known_unknown_and_no_step(spark):
+    ledger = spark.createDataFrame([(s, n) for n, s in enumerate([C.STEP_SENDER, C.STEP_PRINT, "OTHER", None])], "workflow_step string, n int")
+    parts = [sorted(r.n for r in p.collect()) for p in L.by_step(ledger)]
+    assert sorted(parts) == [[], [], [], [0], [1], [2, 3]]
+
+
+def test_delete_cascade_keys(spark, planned):
+    tails = {r.request_id for r in planned.released.collect() if not r.released}
+    want = set()
+    for r in planned.ledger.filter(F.col("request_id").isin(*tails)).collect():
+        wk, before = str(r.delivery_week), str(r.delivery_week - dt.timedelta(days=7))
+        want |= {("ledger", f"{r.pk}~{r.request_id}", wk), ("exempt_counter", f"{r.province}~{r.product_type}", wk), ("print_counter", "PRINT", wk),
+                 ("used_sender_limit", f"{r.sender_pa_id}~{r.product_type}~{r.province}", before)}
+        if r.workflow_step == C.STEP_PRINT:
+            want |= {("used_capacity", f"{r.unified_delivery_driver}~{geo}", wk) for geo in (r.cap, r.province)}
+    got = [tuple(r) for r in catalog_more.join_14(spark, "own rows").collect()]
+    got = [(t, k, str(w)) for t, k, w in got]
+    assert tails and len(got) == len(set(got)) and set(got) == want
+
+
+def test_marks_of_a_deletion_go(spark, tmp_path, conf):
+    conf("capaflow.rank.maxOffsetRowsToBroadcast", "0")
+    rows = [(WEEK, s, f"{WEEK}~{s}", f"R{n}", "RS", 0, "PA", "P", "001", "D", f"{WEEK}T00:00:00.000Z") for n in range(6) for s in (C.STEP_SENDER, C.STEP_PRINT)]
+    ledger = spark.createDataFrame(rows, "delivery_week date, workflow_step string, pk string, request_id string, product_type string, attempt int, "
+                                         "sender_pa_id string, province string, cap string, unified_delivery_driver string, created_at string")
+    used = spark.createDataFrame([("D", "001", WEEK, 6)], "unified_delivery_driver string, geo_key string, delivery_week date, used_capacity int")
+    store = PlannerStore(spark, str(tmp_path)).create(ledger, used, spark.createDataFrame([], "pk string, delivery_date date, number_of_shipment int"))
+    before = staged(spark, "marked")
+    store.delete_requests(spark.createDataFrame([("R1",), ("R1",), (None,)], "request_id string"))
+    assert sorted({r.request_id for r in store.read("ledger").collect()}) == ["R0", "R2", "R3", "R4", "R5"] and store.read("ledger").count() == 10
+    assert [r.used_capacity for r in store.read("used_capacity").collect()] == [5]
+    assert staged(spark, "marked") == before and "_marked" not in files.folders(spark, str(tmp_path))
