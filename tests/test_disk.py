@@ -141,3 +141,12 @@ def test_marks_of_a_deletion_go(spark, tmp_path, conf):
     assert sorted({r.request_id for r in store.read("ledger").collect()}) == ["R0", "R2", "R3", "R4", "R5"] and store.read("ledger").count() == 10
     assert [r.used_capacity for r in store.read("used_capacity").collect()] == [5]
     assert staged(spark, "marked") == before and "_marked" not in files.folders(spark, str(tmp_path))
+
+
+def test_lake_images_are_dealt_a_step_at_a_time(spark, planned, monkeypatch):
+    steps = []
+    monkeypatch.setattr(cdc, "store", lambda images, path, f=cdc.store: steps.append(
+        {r[0] for r in images.select("dynamodb.NewImage.workflow_step.S").distinct().collect()}) or f(images, path))
+    [images] = catalog_reports.lake_images(spark, "own rows", "shipment_ledger")
+    catalog_reports._LAKE.pop(results.session_key(spark, "own rows"))
+    assert all(len(s) <= 1 for s in steps) and images.count() == planned.ledger.count()
