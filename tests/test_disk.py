@@ -150,3 +150,27 @@ def test_lake_images_are_dealt_a_step_at_a_time(spark, planned, monkeypatch):
     [images] = catalog_reports.lake_images(spark, "own rows", "shipment_ledger")
     catalog_reports._LAKE.pop(results.session_key(spark, "own rows"))
     assert all(len(s) <= 1 for s in steps) and images.count() == planned.ledger.count()
+
+
+def test_many_cancelled_ids_meet_the_ledger_a_step_at_a_time(spark, planned, conf):
+    ids = stage_table(spark.createDataFrame([("R1",), ("R2",), ("none",), (None,)], "request_id string"), "ids")
+    few = sorted(map(str, L.rows_of(planned.ledger, ids).collect()))
+    conf("capaflow.rank.maxOffsetRowsToBroadcast", "0")
+    before = staged(spark, "rows-of-ids")
+    assert sorted(map(str, L.rows_of(planned.ledger, ids).collect())) == few and few
+    assert len(staged(spark, "rows-of-ids") - before) == len(L.by_step(planned.ledger))
+
+
+def test_a_cancellation_batch_leaves_only_its_results(spark, tmp_path, conf):
+    from capaflow.streaming import cancel as S
+    from testbed import stream as bed
+    conf("capaflow.rank.maxOffsetRowsToBroadcast", "0")
+    ledger = spark.createDataFrame([(f"2024-01-15~{C.STEP_SENDER}", f"R{n}", f"IUN-{n}", C.STEP_SENDER, "2024-01-01T00:00:00.000Z") for n in range(9)],
+                                   "pk string, request_id string, iun string, workflow_step string, created_at string")
+    timeline = spark.createDataFrame([(f"IUN-{n}", f"PREPARE_R{n}", "PREPARE_ANALOG_DOMICILE") for n in range(9)], "iun string, element_id string, category string")
+    batch = bed.cdc_records(spark.createDataFrame([(3, "P", dt.date(2020, 1, 1))], "o_orderkey long, o_orderstatus string, o_orderdate date"))
+    before = staged(spark, "")
+    S.cancel_batch(batch, 0, str(tmp_path), timeline, ledger, F.lit("2024-01-08").cast("date"))
+    assert staged(spark, "") == before
+    assert [(r.request_id, r.cancellable) for r in S.requests_found(spark, str(tmp_path)).collect()] == [("R3", True)]
+    assert [r.pk for r in S.tombstones(spark, str(tmp_path), ledger).collect()] == [f"{C.DELETED_PREFIX}2024-01-15~{C.STEP_SENDER}"]
